@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 
 def _cleaned(items: Column) -> Column:
-    return F.filter(F.transform(items, F.trim), lambda x: x != "")
+    return F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def parse_list(c: Column) -> Column:

@@ -54,8 +54,10 @@ def rows_of(columns, rows):
 
 
 def compare(spark, con, folder, name, fn, sql):
+    start = time.time()
     df = fn(spark, folder)
     got = rows_of(df.columns, df.collect())
+    spent = time.time() - start
     if sql is None:
         return None, f"{len(got)} rows, no SQL"
     cur = con.execute(sql)
@@ -64,10 +66,9 @@ def compare(spark, con, folder, name, fn, sql):
     if sorted(names) != sorted(df.columns):
         return False, f"columns {sorted(df.columns)} != {sorted(names)}"
     if got != want:
-        extra = [r for r in got if r not in set(want)][:3]
-        lost = [r for r in want if r not in set(got)][:3]
+        extra, lost = sorted(set(got) - set(want))[:3], sorted(set(want) - set(got))[:3]
         return False, f"rows {len(got)} vs {len(want)}\n   spark {sorted(names)}: {str(extra)[:900]}\n   sql: {str(lost)[:900]}"
-    return True, f"{len(got)} rows"
+    return True, f"{len(got)} rows (spark {spent:.1f}s)"
 
 
 def main(prefixes):
