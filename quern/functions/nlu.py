@@ -22,9 +22,20 @@ KNOWN_METRICS = [
 
 
 def whole_word_matches(text: Column, phrases: list[str]) -> Column:
-    """Sorted distinct phrases of a short fixed list that occur as whole words."""
-    hits = [F.when(F.regexp_like(text, F.lit(r"(?U)\b" + p + r"\b")), F.lit(p)) for p in sorted(set(phrases))]
-    return F.array_compact(F.array(*hits))
+    """Sorted distinct phrases of a short fixed list that occur as whole words.
+
+    One pass with one pattern: at every word start the longest phrase is taken, and phrases
+    that are its leading words are added, as they occur there too.
+    """
+    by_length = sorted(set(phrases), key=lambda p: (-len(p), p))
+    pattern = r"(?U)\b(?=(" + "|".join(by_length) + r")\b)"
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    leading = {p: [q for q in by_length if p.startswith(q + " ")] for p in by_length}
+    also = [F.when(F.array_contains(found, p), F.array(*[F.lit(q) for q in qs])) for p, qs in leading.items() if qs]
+    if also:
+        empty = F.array().cast("array<string>")
+        found = F.concat(found, *[F.coalesce(a, empty) for a in also])
+    return F.array_sort(F.array_distinct(found))
 
 
 # Attribute patterns; the first non-empty group holds the number.

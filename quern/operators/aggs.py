@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,23 +120,67 @@ def profile_warnings(df: DataFrame) -> DataFrame:
     return by_column.unionByName(table(share, "high missing ratio")).unionByName(table(copies, "high duplicate ratio"))
 
 
+def pearson(a: Column, b: Column) -> Column:
+    """Correlation over the rows where both are present; missing when either is constant there.
+
+    Spark's own `corr` divides by zero on a constant column under ANSI mode.
+    """
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
+# Up to this many columns every pair is an aggregate expression of its own.
+NARROW = 8
+
+
+def _pair_sums(width: int):
+    """Task function: sums over the rows where both columns of a pair are present."""
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            raw = np.stack(batch["v"].to_numpy()).astype(np.float64)
+            seen = ~np.isnan(raw)
+            x, m = np.where(seen, raw, 0.0), seen.astype(np.float64)
+            part = np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
+            total = part if total is None else total + part
+        if total is not None:
+            i, j = np.triu_indices(width, 1)
+            yield pd.DataFrame({"i": i, "j": j, **{n: total[t][i, j] for t, n in enumerate(("n", "sx", "sy", "sxx", "syy", "sxy"))}})
+
+    return run
+
+
+def _wide_correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Pair sums by matrix products per partition; columns are shifted by their means first so
+    that the sums stay small. Missing values travel as NaN."""
+    means = one_row(df, *[F.coalesce(F.avg(col(c).cast("double")), F.lit(0.0)) for c in cols])
+    shifted = F.array(*[F.coalesce(col(c).cast("double") - F.lit(m), F.lit(float("nan"))) for c, m in zip(cols, means)])
+    schema = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
+    sums = df.select(shifted.alias("v")).mapInPandas(_pair_sums(len(cols)), schema)
+    n, sx, sy, sxx, syy, sxy = (F.sum(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy"))
+    vx, vy = sxx - F.try_divide(sx * sx, n), syy - F.try_divide(sy * sy, n)
+    # A constant column leaves only rounding noise as its variance.
+    real = (vx > 1e-12 * sxx) & (vy > 1e-12 * syy)
+    r = F.when(real, F.try_divide(sxy - F.try_divide(sx * sy, n), F.sqrt(vx * vy)))
+    names = F.array(*[F.lit(c) for c in cols])
+    return sums.groupBy("i", "j").agg(r.alias("r")).select(names[F.col("i")].alias("left"), names[F.col("j")].alias("right"), "r")
+
+
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of every column pair in one aggregate; missing handled per pair."""
     cols = list(columns or numeric_columns(df))
+    if len(cols) > NARROW:
+        return _wide_correlations(df, cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-
-    def pair(a: str, b: str) -> Column:
-        both = col(a).isNotNull() & col(b).isNotNull()
-        x, y = F.when(both, col(a).cast("double")), F.when(both, col(b).cast("double"))
-        return F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.corr(x, y))
-
-    row = df.agg(*[pair(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    row = df.agg(*[pearson(col(a), col(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     return row.select(F.inline(F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)])))
 
 
 def target_correlations(df: DataFrame, target: str, columns: Sequence[str] | None = None, k: int = 15) -> DataFrame:
     cols = [c for c in (columns or numeric_columns(df)) if c != target]
-    stats = per_column(df, cols, {"r": lambda c: F.abs(F.corr(col(c).cast("double"), col(target).cast("double")))})
+    stats = per_column(df, cols, {"r": lambda c: F.abs(pearson(col(c), col(target)))})
     return stats.orderBy(F.desc_nulls_last("r"), "column").limit(k)
 
 

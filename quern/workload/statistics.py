@@ -95,6 +95,18 @@ def a07(spark, d):
     return rounded(aggs.correlations(table(spark, d, "lineitem"), NUM), "r")
 
 
+GAPS = [f"case when l_linenumber <> {i} then {c} end" for i, c in enumerate(("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", "l_quantity * l_tax", "0.5::double"))]
+
+
+@query("a07_wide_correlations", "with g as (select " + ", ".join(f"{e} as c{i}" for i, e in enumerate(GAPS)) + " from lineitem) " + " union all ".join(
+    f"select 'c{i}' as \"left\", 'c{j}' as \"right\", {'null' if j == 9 else f'round(corr(c{i}, c{j}), 6) + 0'} as r from g" for i in range(10) for j in range(i + 1, 10)))
+def a07_wide(spark, d):
+    values = [F.col(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey", "l_suppkey", "l_orderkey", "l_linenumber")]
+    values += [F.col("l_quantity") * F.col("l_tax"), F.lit(0.5)]
+    gaps = table(spark, d, "lineitem").select(*[F.when(F.col("l_linenumber") != i, v).alias(f"c{i}") for i, v in enumerate(values)])
+    return rounded(aggs.correlations(gaps), "r")
+
+
 @query("a08_target_correlations", "select * from (" + " union all ".join(f"select '{c}' as \"column\", round(abs(corr({c}, l_extendedprice)), 6) as r from lineitem" for c in ("l_quantity", "l_discount", "l_tax")) + ")")
 def a08(spark, d):
     return rounded(aggs.target_correlations(table(spark, d, "lineitem"), "l_extendedprice", NUM), "r")
