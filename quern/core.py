@@ -133,6 +133,15 @@ def attach(df: DataFrame, stats: DataFrame, keys: Iterable[str], how: str = "lef
     return df.join(stats, list(keys), how)
 
 
+def explode_rows(df: DataFrame, keep: Sequence[Column | str], items: Column, value: str, position: str = "_at") -> DataFrame:
+    """One row per array item with its position.
+
+    A plain explode makes Spark add a filter on the size of the array below it, which computes
+    an expensive array (tokens, chunks, parsed payloads) twice; the outer form does not.
+    """
+    return df.select(*keep, F.posexplode_outer(items).alias(position, value)).where(F.col(position).isNotNull())
+
+
 def hash_unit(*cols: Column, seed: int = 42) -> Column:
     """Reproducible number in [0, 1) from the md5 of the key text and a seed."""
     text = F.concat_ws("|", *[c.cast("string") for c in cols], F.lit(str(seed)))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +41,16 @@ def clean_document(c: Column, remove_special: bool = False) -> Column:
     return strip_ends(F.coalesce(out, F.lit("")))
 
 
+def clean_documents(df: DataFrame, column: str) -> DataFrame:
+    """Clean a text column and drop the documents that become empty.
+
+    A document survives when it holds anything but whitespace and control characters; testing
+    that on the raw text spares cleaning it a second time for the filter.
+    """
+    kept = df.where(F.regexp_like(F.col(column), F.lit(r"(?U)[^\s\x00-\x1f\x7f]")))
+    return kept.withColumn(column, clean_document(F.col(column)))
+
+
 def clean_ascii(c: Column) -> Column:
     """Lower-case ASCII letters and digits only, words one blank apart."""
     return squeeze(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9\s]", " "))

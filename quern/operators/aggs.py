@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.core import attach, bounded_levels, col, describe_rows, is_numeric, numeric_columns, one_row, per_column, string_columns
+from quern.core import attach, bounded_levels, col, describe_rows, explode_rows, is_numeric, numeric_columns, one_row, per_column, string_columns
 from quern.operators.quality import duplicate_counts
 from quern.operators.quantiles import group_quantiles, quantiles
 
@@ -276,7 +276,7 @@ def best_rows(df: DataFrame, task: str, name: str, higher: Sequence[str], lower:
 
 def exploded_counts(df: DataFrame, labels: Column, k: int | None = None) -> DataFrame:
     """Counts of the labels inside a list column, most frequent first."""
-    counts = df.select(F.explode(labels).alias("label")).groupBy("label").agg(F.count("*").alias("rows"))
+    counts = explode_rows(df, [], labels, "label").groupBy("label").agg(F.count("*").alias("rows"))
     ordered = counts.orderBy(F.desc("rows"), "label")
     return ordered.limit(k) if k else ordered
 

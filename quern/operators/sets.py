@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.core import attach, col, one_row
+from quern.core import attach, col, explode_rows, one_row
 from quern.operators.validate import fingerprint
 from quern.operators.windows import fold_of
 
@@ -112,5 +112,5 @@ def match_phrases(df: DataFrame, text: str, phrases: DataFrame, keys: Sequence[s
     for n in range(1, longest + 1):
         word = r"\w+" + r" \w+" * (n - 1)
         runs.append(F.regexp_extract_all(F.lower(col(text)), F.lit(r"(?U)\b(?=(" + word + r")\b)"), F.lit(1)))
-    found = df.select(*keys, F.explode(F.array_distinct(F.concat(*runs))).alias("phrase"))
+    found = explode_rows(df, keys, F.array_distinct(F.concat(*runs)), "phrase")
     return found.join(phrases.select("phrase").distinct(), "phrase").select(*keys, "phrase")

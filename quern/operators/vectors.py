@@ -65,6 +65,11 @@ def _scan(queries, k: int, inner: bool, skip_self: bool, names: tuple[str, str])
     return run
 
 
+def _id(df: DataFrame, name: str) -> Column:
+    """Ids travel as text or as whole numbers."""
+    return col(name) if isinstance(df.schema[name].dataType, T.StringType) else col(name).cast("long")
+
+
 def _keep(parts: list[pd.DataFrame], k: int) -> pd.DataFrame:
     ranked = pd.concat(parts, ignore_index=True).sort_values(["q", "distance", "item"])
     return ranked[ranked.groupby("q").cumcount() < k]
@@ -87,20 +92,20 @@ def nearest(
     The corpus is scanned where it lies. Each task holds one block of query vectors, whose
     size is checked, and gives at most k rows per query to the merge, so no pair table exists.
     More queries than a block are searched in several scans. Distance is squared L2, or the
-    negative inner product; ids are whole numbers; ties go to the smaller item id.
+    negative inner product; ties go to the smaller item id.
     """
     n, low, high = dimensions(queries, query_vector)
     items, item_low, item_high = dimensions(corpus, item_vector)
     if n and items and not low == high == item_low == item_high:
         raise ValueError(f"query dimension {low}..{high} does not fit item dimension {item_low}..{item_high}")
-    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("item_id", T.LongType()), T.StructField("distance", T.DoubleType())])
+    rows = corpus.where(col(item_vector).isNotNull()).select(_id(corpus, item_id).alias("i"), col(item_vector).alias("v"))
+    asked = queries.where(col(query_vector).isNotNull()).select(_id(queries, query_id).alias("i"), col(query_vector).alias("v"))
+    schema = T.StructType([T.StructField("query_id", asked.schema["i"].dataType), T.StructField("item_id", rows.schema["i"].dataType), T.StructField("distance", T.DoubleType())])
     spark = corpus.sparkSession
     if not n or not items or k <= 0:
         found = spark.createDataFrame([], schema)
     else:
         blocks = max(1, -(-n * high * 8 // (query_bytes or QUERY_BYTES)))
-        rows = corpus.where(col(item_vector).isNotNull()).select(col(item_id).cast("long").alias("i"), col(item_vector).alias("v"))
-        asked = queries.where(col(query_vector).isNotNull()).select(col(query_id).cast("long").alias("i"), col(query_vector).alias("v"))
         found = None
         for b in range(blocks):
             part = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)).toPandas()
@@ -116,7 +121,7 @@ def nearest(
 def knn_predict(train: DataFrame, test: DataFrame, k: int, row_id: str, vector: str, target: str, weights: str = "uniform", regression: bool = False, skip_self: bool = False) -> DataFrame:
     """k-nearest-neighbour vote (smallest class on a tie) or mean: (row_id, prediction)."""
     hits = nearest(test, train, k, row_id, vector, row_id, vector, skip_self=skip_self)
-    labels = train.select(col(row_id).cast("long").alias("item_id"), col(target).alias("target"))
+    labels = train.select(_id(train, row_id).alias("item_id"), col(target).alias("target"))
     voted = hits.join(labels, "item_id")
     if weights == "distance":
         # An exact match outvotes everything else.

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.core import attach, col, hash_unit
+from quern.core import attach, col, explode_rows, hash_unit
 from quern.operators import ordered
 from quern.operators.quantiles import group_quantiles
 
@@ -80,8 +80,8 @@ def moving_average_forecast(df: DataFrame, keys: Sequence[str], order: Sequence[
         return F.concat(acc, F.array(mean))
 
     full = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.col("tail"), extend)
-    points = F.posexplode(F.slice(full, -steps, steps)).alias("step", "forecast")
-    return tail.select(*keys, points).withColumn("step", F.col("step") + 1)
+    points = explode_rows(tail, keys, F.slice(full, -steps, steps), "forecast", "step")
+    return points.withColumn("step", F.col("step") + 1)
 
 
 def autoregressive_forecast(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, steps: int = 5, block_rows: int | None = None) -> DataFrame:
@@ -112,7 +112,7 @@ def autoregressive_forecast(df: DataFrame, keys: Sequence[str], order: Sequence[
 
     start = F.array(F.struct(F.col("last").cast("double").alias("level"), F.col("last_diff").cast("double").alias("diff")))
     path = F.slice(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step), 2, steps)
-    return fit.select(*keys, F.posexplode(path).alias("step", "point")).select(*keys, (F.col("step") + 1).alias("step"), F.col("point.level").alias("forecast"))
+    return explode_rows(fit, keys, path, "point", "step").select(*keys, (F.col("step") + 1).alias("step"), F.col("point.level").alias("forecast"))
 
 
 def ranked(df: DataFrame, score: str, name: str, k: int | None = None) -> DataFrame:

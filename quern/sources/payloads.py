@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.core import explode_rows
+
 # Envelope keys in order of precedence.
 ENVELOPE_KEYS = ["results", "records", "data", "items"]
 
@@ -24,7 +26,7 @@ def unwrap(payload: Column) -> Column:
 def read_payloads(df: DataFrame, payload: str, schema: str | T.StructType | None = None, keys: list[str] | None = None) -> DataFrame:
     """One row per record, typed by `schema` or as JSON text in `record`."""
     keys = keys or []
-    rows = df.select(*keys, F.posexplode(unwrap(F.col(payload))).alias("position", "_v"))
+    rows = explode_rows(df, keys, unwrap(F.col(payload)), "_v", "position")
     text = rows.select(*keys, "position", F.to_json("_v").alias("record"))
     if schema is None:
         return text

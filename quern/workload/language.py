@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quern.core import explode_rows
 from quern.core import read_table as table
 from quern.functions import dates, lists, nlu, numeric, text
 from quern.operators import sets
@@ -182,8 +183,8 @@ CLEAN_DOC = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(r
 def x21(spark, d):
     breaks = F.replace(F.replace("text", F.lit(" "), F.lit("  ")), F.lit("\n"), F.lit(" \r\n\n\n "))
     raw = F.concat(F.lit("  "), breaks, F.lit("\x07\t\tend "))
-    docs = table(spark, d, "documents").select("doc_id", text.clean_document(raw).alias("cleaned"))
-    return docs.where("cleaned != ''").select("doc_id", F.md5("cleaned").alias("cleaned"))
+    docs = table(spark, d, "documents").select("doc_id", raw.alias("raw"))
+    return text.clean_documents(docs, "raw").select("doc_id", F.md5("raw").alias("cleaned"))
 
 
 @query("x22_clean_ascii", r"select doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))) as cleaned from documents")
@@ -438,6 +439,6 @@ def x37_columns(spark, d):
 @query("k04_top_keywords", f"""select doc_id, word, n, rank from (select doc_id, word, count(*) as n, row_number() over (partition by doc_id order by count(*) desc, min(pos)) as rank
     from (select doc_id, unnest(t) as word, generate_subscripts(t, 1) as pos from (select doc_id, list_filter(string_split({clean_sql('text')}, ' '), lambda w: length(w) > 2 and not list_contains({sql_list(text.KEYWORD_STOPS)}, w)) as t from documents)) group by 1, 2) where rank <= 10""")
 def k04(spark, d):
-    tokens = table(spark, d, "documents").select("doc_id", F.posexplode(text.keyword_tokens(F.col("text"))).alias("pos", "word"))
+    tokens = explode_rows(table(spark, d, "documents"), ["doc_id"], text.keyword_tokens(F.col("text")), "word", "pos")
     counts = tokens.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
     return sets.top_per_group(counts, ["doc_id"], [F.desc("n"), F.col("first_pos")], 10).drop("first_pos")
