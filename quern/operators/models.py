@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import time
 from collections.abc import Sequence
+from functools import reduce
 from itertools import product
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -14,10 +15,10 @@ from pyspark.ml import regression as R
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.core import attach, col, describe_rows, explode_rows, hash_unit, one_row
+from quern.core import attach, col, describe_rows, explode_rows, hash_unit, materialize, one_row
 from quern.operators import evaluate, ordered
 from quern.operators.shape import signed_log, signed_log_inverse
 from quern.operators.windows import fold_of
@@ -116,44 +117,67 @@ def batch_predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     return done.select(*df.columns, "prediction", *extra)
 
 
-def score_model(scored: DataFrame, label: str, task: str) -> dict[str, float]:
+def scored_pairs(scored: DataFrame, label: str, task: str) -> DataFrame:
+    """Truth, prediction and (binary classifiers) the probability of class 1, all as doubles."""
+    binary = "probability_class_1" in scored.columns and "probability_class_2" not in scored.columns
+    chance = F.col("probability_class_1") if task == "classification" and binary else F.lit(None).cast("double")
+    return scored.select(col(label).cast("double").alias("_y"), F.col("prediction").cast("double").alias("_p"), chance.alias("_chance"))
+
+
+def score_pairs(pairs: DataFrame, task: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Metrics per key, all keys in one job."""
     if task == "regression":
-        return evaluate.regression_metrics(scored, label, "prediction").collect()[0].asDict()
-    pairs = scored.select(col(label).cast("double").alias("_y"), F.col("prediction").cast("double").alias("_p"), *[c for c in scored.columns if c == "probability_class_1"])
-    out = evaluate.classification_metrics(pairs, "_y", "_p").collect()[0].asDict()
-    if "probability_class_1" in scored.columns and "probability_class_2" not in scored.columns:
-        out["roc_auc"] = evaluate.roc_auc(pairs, "_y", "probability_class_1").collect()[0]["auc"]
-    return {("f1_score" if k == "f1" else k): v for k, v in out.items()}
+        return evaluate.regression_metrics(pairs, "_y", "_p", keys)
+    found = evaluate.classification_metrics(pairs, "_y", "_p", keys).withColumnRenamed("f1", "f1_score")
+    areas = evaluate.roc_auc(pairs, "_y", "_chance", keys).withColumnRenamed("auc", "roc_auc")
+    return attach(found, areas, keys) if keys else found.join(areas)
+
+
+def score_model(scored: DataFrame, label: str, task: str) -> dict[str, float]:
+    return score_pairs(scored_pairs(scored, label, task), task).collect()[0].asDict()
 
 
 # ---- comparison, tuning, curves -------------------------------------------------------
 
 
 def compare(train_df: DataFrame, test_df: DataFrame, features: Sequence[str], label: str, algorithms: dict[str, dict]) -> tuple[list[dict], dict[str, PipelineModel]]:
-    """Train each algorithm on one split; a failing one is recorded and skipped."""
-    rows, fitted = [], {}
+    """Train each algorithm on one split; a failing one is recorded and skipped.
+
+    The columns in use are written once, so no algorithm computes its input again.
+    """
+    train_df, test_df = (materialize(df.select(*dict.fromkeys([*features, label])), "split") for df in (train_df, test_df))
+    rows, fitted, pairs = [], {}, {}
     for name, params in algorithms.items():
+        row = {"model_name": name, "task_type": None, "training_time_seconds": 0.0, "metrics": {}, "hyperparameters": {k: str(v) for k, v in params.items()}, "error": None}
+        rows.append(row)
         start = time.perf_counter()
         try:
-            model = train(train_df, features, label, name, params)
-            spent = time.perf_counter() - start
-            scored = batch_predict(model, test_df)
-            rows.append({"model_name": name, "task_type": task_of(name), "training_time_seconds": round(spent, 4), "metrics": score_model(scored, label, task_of(name)), "hyperparameters": {k: str(v) for k, v in params.items()}, "error": None})
-            fitted[name] = model
+            row["task_type"] = task_of(name)
+            fitted[name] = train(train_df, features, label, name, params)
+            row["training_time_seconds"] = round(time.perf_counter() - start, 4)
+            part = scored_pairs(batch_predict(fitted[name], test_df), label, task_of(name)).withColumn("_model", F.lit(name))
+            known = pairs.get(task_of(name))
+            pairs[task_of(name)] = part if known is None else known.unionByName(part)
         except Exception as exc:  # the other models still count
-            rows.append({"model_name": name, "task_type": None, "training_time_seconds": 0.0, "metrics": {}, "hyperparameters": {k: str(v) for k, v in params.items()}, "error": str(exc).split("\n")[0]})
+            row["error"] = str(exc).split("\n")[0]
+    for task, scored in pairs.items():
+        for r in score_pairs(scored, task, ["_model"]).collect():
+            found = r.asDict()
+            target = next(row for row in rows if row["model_name"] == found["_model"])
+            target["metrics"] = {k: v for k, v in found.items() if k != "_model" and v is not None}
     return rows, fitted
 
 
 def cross_validate(df: DataFrame, key: str, features: Sequence[str], label: str, algorithm: str, folds: int = 5, params: dict | None = None) -> DataFrame:
     """Score per fold (accuracy or r2): (fold, score); summarise with `aggs.summarize`."""
-    marked = df.withColumn("_fold", fold_of(col(key), folds=folds))
+    marked = materialize(df.select(*dict.fromkeys([*features, label]), fold_of(col(key), folds=folds).alias("_fold")), "folds")
     task, rows = task_of(algorithm), []
     for f in range(folds):
         model = train(marked.where(F.col("_fold") != f), features, label, algorithm, params)
-        metrics = score_model(batch_predict(model, marked.where(F.col("_fold") == f)), label, task)
-        rows.append((f, float(metrics["accuracy" if task == "classification" else "r2"])))
-    return describe_rows(df.sparkSession, rows, "fold int, score double")
+        held = scored_pairs(batch_predict(model, marked.where(F.col("_fold") == f)), label, task)
+        rows.append(held.withColumn("fold", F.lit(f)))
+    name = "accuracy" if task == "classification" else "r2"
+    return score_pairs(reduce(DataFrame.unionByName, rows), task, ["fold"]).select("fold", F.col(name).alias("score"))
 
 
 def tune(df: DataFrame, key: str, features: Sequence[str], label: str, algorithm: str, grid: dict[str, list] | None = None, sample: int | None = None, folds: int = 3, parallelism: int = 4, seed: int = 42) -> tuple[PipelineModel, DataFrame]:
@@ -179,16 +203,20 @@ def tune(df: DataFrame, key: str, features: Sequence[str], label: str, algorithm
 
 def learning_curve(df: DataFrame, key: str, features: Sequence[str], label: str, algorithm: str, shares: Sequence[float] = (0.1, 0.325, 0.55, 0.775, 1.0), params: dict | None = None) -> DataFrame:
     """Train and test score on nested hash samples of the training rows."""
-    marked = random_split(df, key, {"train": 0.8, "test": 0.2}).withColumn("_u", hash_unit(col(key), seed=7))
+    split = random_split(df, key, {"train": 0.8, "test": 0.2})
+    marked = materialize(split.select(*dict.fromkeys([*features, label]), "split", hash_unit(col(key), seed=7).alias("_u")), "curve")
     test, task, rows = marked.where("split = 'test'"), task_of(algorithm), []
     name = "accuracy" if task == "classification" else "r2"
     for share in shares:
         part = marked.where((F.col("split") == "train") & (F.col("_u") < share))
         model = train(part, features, label, algorithm, params)
-        seen = score_model(batch_predict(model, part), label, task)[name]
-        fresh = score_model(batch_predict(model, test), label, task)[name]
-        rows.append((float(share), part.count(), float(seen), float(fresh)))
-    return describe_rows(df.sparkSession, rows, "share double, rows bigint, train_score double, test_score double")
+        for side, held in (("train", part), ("test", test)):
+            pairs = scored_pairs(batch_predict(model, held), label, task)
+            rows.append(pairs.withColumns({"share": F.lit(float(share)), "side": F.lit(side)}))
+    every = reduce(DataFrame.unionByName, rows)
+    scores = score_pairs(every, task, ["share", "side"]).groupBy("share").pivot("side", ["train", "test"]).agg(F.first(name))
+    sizes = every.where("side = 'train'").groupBy("share").agg(F.count("*").alias("rows"))
+    return scores.join(sizes, "share").select("share", "rows", F.col("train").alias("train_score"), F.col("test").alias("test_score"))
 
 
 # ---- explanations ---------------------------------------------------------------------
@@ -223,7 +251,11 @@ def permutation_importance(model: PipelineModel, df: DataFrame, key: str, featur
         donors = placed.select((F.col("_pos") % rows + 1).alias("_pos"), F.col("_x").alias("_d"))
         part = placed.join(donors, "_pos").withColumn("_repeat", F.lit(r))
         trials = part if trials is None else trials.unionByName(part)
-    swaps = [F.struct(F.lit(i).alias("_feature"), F.transform("_x", lambda v, j, i=i: F.when(j == i, F.element_at("_d", i + 1)).otherwise(v)).alias("_v")) for i in range(len(features))]
+
+    def swapped(i: int) -> Column:
+        return F.transform("_x", lambda v, j: F.when(j == i, F.element_at("_d", i + 1)).otherwise(v))
+
+    swaps = [F.struct(F.lit(i).alias("_feature"), swapped(i).alias("_v")) for i in range(len(features))]
     mixed = explode_rows(trials, [label, "_repeat"], F.array(*swaps), "s").select(label, "_repeat", "s.*")
     scored = last.transform(mixed.withColumn("_features", MF.array_to_vector("_v")))
     plain = last.transform(base.withColumn("_features", MF.array_to_vector("_x")))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quern.core import describe_rows, scratch_dir
 from quern.core import read_table as table
-from quern.operators import aggs, evaluate, models, spatial, validate, windows
+from quern.operators import aggs, evaluate, models, ordered, spatial, validate, windows
 from quern.plans import training
 from quern.streaming import streams
 from quern.workload.registry import query
@@ -258,7 +258,7 @@ def order_points(spark, d):
 @query("g01_load_tiers", f"select 2 as tier, case when multi then 'MultiPolygon' else 'Polygon' end as geometry_type, count(*) as features, sum(case when multi then 2 else 1 end)::bigint as rings from {BOXES} group by 2")
 def g01(spark, d):
     path = scratch_dir(spark, "tier")
-    boundary_texts(spark, d).select("value").coalesce(4).write.partitionBy().text(path)
+    boundary_texts(spark, d).select("value").write.text(path)
     features = spatial.parse_collections(spark.read.text(path).withColumn("tier", F.lit(2)), "value", ["tier"])
     return features.groupBy("tier", "geometry_type").agg(F.count("*").alias("features"), F.sum(F.size("rings")).alias("rings"))
 
@@ -325,11 +325,17 @@ def g10(spark, d):
 
 
 def arriving_events(spark, d, files=6):
-    """The events written as files in time order, as they would arrive."""
-    path = scratch_dir(spark, "arrivals")
+    """The events written file after file in time order, as they would arrive."""
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    e.repartitionByRange(files, "ts").sortWithinPartitions("ts").write.parquet(path)
-    return path, e.schema
+    return land_in_order(e, scratch_dir(spark, "arrivals"), files), e.schema
+
+
+def land_in_order(events, path, files=6):
+    cuts = events.agg(F.percentile_approx(F.unix_micros("ts"), [i / files for i in range(1, files)])).collect()[0][0]
+    part = ordered.cut_tree(F.unix_micros("ts"), cuts)
+    for i in range(files):
+        events.where(part == i).coalesce(1).write.mode("append").parquet(path)
+    return path
 
 
 @query("z01_chunked_append", "select event_id, case when event_type = 'purchase' then round(value * 1.18::double, 6) else value end as taxed from events")
@@ -377,9 +383,8 @@ def z04(spark, d):
 
 @query("z05_drop_repeats", "select event_id, event_type from events")
 def z05(spark, d):
-    path = scratch_dir(spark, "arrivals")
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    e.unionByName(e).repartitionByRange(6, "ts").write.parquet(path)
+    path = land_in_order(e.unionByName(e), scratch_dir(spark, "arrivals"))
     out = scratch_dir(spark, "out")
     stream = streams.file_stream(spark, path, e.schema, files_per_batch=2)
     streams.append_all(stream, out, scratch_dir(spark, "checkpoint"), lambda s: streams.drop_repeats(s, "ts", ["event_id"]).select("event_id", "event_type"))
