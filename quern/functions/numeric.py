@@ -23,8 +23,8 @@ def threshold_category(value: Column, edges: Sequence[float], labels: Sequence[s
     return out.when(value > edges[-1], labels[-1]).otherwise("Missing")
 
 
-def median_category(df: DataFrame, column: str, below: str, above: str, out: str) -> DataFrame:
-    median = quantiles(df, [column], [0.5])[column][0]
+def median_category(df: DataFrame, column: str, below: str, above: str, out: str, source: DataFrame | None = None) -> DataFrame:
+    median = quantiles(df if source is None else source, [column], [0.5])[column][0]
     return df.withColumn(out, F.when(col(column) < median, below).when(col(column) >= median, above).otherwise("Missing"))
 
 
@@ -33,9 +33,9 @@ def safe_ratio(top: Column, bottom: Column, scale: float = 1.0, positive: bool =
     return F.when(bottom > 0 if positive else bottom != 0, top / bottom * scale)
 
 
-def joint_risk(df: DataFrame, high: str, low: str) -> DataFrame:
+def joint_risk(df: DataFrame, high: str, low: str, source: DataFrame | None = None) -> DataFrame:
     """Flags: `high` at or above its median, `low` below its median, and both together."""
-    found = quantiles(df, [high, low], [0.5])
+    found = quantiles(df if source is None else source, [high, low], [0.5])
     up = F.coalesce(col(high) >= found[high][0], F.lit(False))
     down = F.coalesce(col(low) < found[low][0], F.lit(False))
     return df.withColumns({"high_flag": up.cast("int"), "low_flag": down.cast("int"), "risk_flag": (up & down).cast("int")})

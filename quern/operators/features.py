@@ -30,8 +30,9 @@ def iqr_flags(df: DataFrame, cols: Sequence[str], factor: float = 1.5) -> dict[s
     return {c: F.coalesce((col(c) < a) | (col(c) > b), F.lit(False)) for c, (a, b) in iqr_fences(df, cols, factor).items()}
 
 
-def mark_outliers(df: DataFrame, cols: Sequence[str], factor: float = 1.5, suffix: str = "_outlier") -> DataFrame:
-    return df.withColumns({c + suffix: f.cast("int") for c, f in iqr_flags(df, cols, factor).items()})
+def mark_outliers(df: DataFrame, cols: Sequence[str], factor: float = 1.5, suffix: str = "_outlier", source: DataFrame | None = None) -> DataFrame:
+    """0/1 outlier columns; the fences come from `source` when `df` is costly to compute."""
+    return df.withColumns({c + suffix: f.cast("int") for c, f in iqr_flags(df if source is None else source, cols, factor).items()})
 
 
 def zscore_flags(df: DataFrame, cols: Sequence[str], threshold: float = 3.0) -> dict[str, Column]:
@@ -174,9 +175,11 @@ def label_encode(df: DataFrame, cols: Sequence[str], missing: str = "code") -> D
     out = df
     for c in cols:
         text = col(c).cast("string")
-        base = replace_columns(out, {c: F.coalesce(text, F.lit("nan")) if missing == "code" else text})
-        codes = level_codes(base, c).select(F.col("level").alias(c), F.col("code").cast("long").alias("_code"))
-        out = replace_columns(attach(base, codes, [c]).select(*base.columns, "_code"), {c: F.coalesce("_code", F.lit(-1))}).drop("_code")
+        value = F.coalesce(text, F.lit("nan")) if missing == "code" else text
+        # The levels come from the given table, not from the joins made so far.
+        codes = level_codes(df.select(value.alias(c)), c).select(F.col("level").alias(c), F.col("code").cast("long").alias("_code"))
+        joined = attach(replace_columns(out, {c: value}), codes, [c]).select(*out.columns, "_code")
+        out = replace_columns(joined, {c: F.coalesce("_code", F.lit(-1))}).drop("_code")
     return out
 
 

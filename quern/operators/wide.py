@@ -33,12 +33,19 @@ def statistics(cols: Sequence[str]) -> dict[str, Column]:
     """Row mean, median, min, max, sample std and range over the present years."""
     values = _present(cols)
     n = F.size(values)
-    mean = F.when(n > 0, F.aggregate(values, F.lit(0.0), lambda s, v: s + v) / n)
+
+    def grow(s: Column, v: Column) -> Column:
+        """Running count, mean and squared deviation, so one pass serves mean and std."""
+        count = s["n"] + 1
+        mean = s["mean"] + (v - s["mean"]) / count
+        return F.struct(count.alias("n"), mean.alias("mean"), (s["m2"] + (v - s["mean"]) * (v - mean)).alias("m2"))
+
+    moments = F.aggregate(values, F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2")), grow)
     ranked = F.array_sort(values)
     mid = F.when(n > 0, (F.element_at(ranked, F.floor((n + 1) / 2).cast("int")) + F.element_at(ranked, F.floor((n + 2) / 2).cast("int"))) / 2)
-    squares = F.aggregate(F.transform(values, lambda v: (v - mean) * (v - mean)), F.lit(0.0), lambda s, v: s + v)
     low, high = F.array_min(values), F.array_max(values)
-    return {"mean": mean, "median": mid, "min": low, "max": high, "std": F.when(n > 1, F.sqrt(squares / (n - 1))), "range": high - low}
+    std = F.when(n > 1, F.sqrt(moments["m2"] / (n - 1)))
+    return {"mean": F.when(n > 0, moments["mean"]), "median": mid, "min": low, "max": high, "std": std, "range": high - low}
 
 
 def _percent(change: Column, base: Column) -> Column:

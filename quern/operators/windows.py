@@ -12,22 +12,26 @@ from quern.operators import ordered
 from quern.operators.quantiles import group_quantiles
 
 
-def group_broadcast(df: DataFrame, keys: Sequence[str], value: str, stats: Sequence[str] = ("count", "sum", "mean"), prefix: str = "group") -> DataFrame:
+def group_broadcast(df: DataFrame, keys: Sequence[str], value: str, stats: Sequence[str] = ("count", "sum", "mean"), prefix: str = "group", source: DataFrame | None = None) -> DataFrame:
     """Group statistics on every row, by aggregate and join so that a hot key is combined
-    map-side instead of gathered in one window partition. Rows with a missing key get missing."""
+    map-side instead of gathered in one window partition. Rows with a missing key get missing.
+
+    `source` is the table to aggregate when `df` already carries joined columns: aggregating
+    such a `df` would repeat its joins, and a chain of them would double the plan at each step.
+    """
     simple = {
         "count": F.count(col(value)),
         "sum": F.sum(col(value)),
         "mean": F.avg(col(value)),
         "nunique": F.count_distinct(col(value)),
     }
-    out = df
+    out, source = df, df if source is None else source
     plain = [s for s in stats if s in simple]
     if plain:
-        agg = df.groupBy(*keys).agg(*[simple[s].alias(f"{prefix}_{s}") for s in plain])
+        agg = source.groupBy(*keys).agg(*[simple[s].alias(f"{prefix}_{s}") for s in plain])
         out = attach(out, agg, keys)
     if "median" in stats:
-        med = group_quantiles(df, keys, [value], [0.5]).withColumnRenamed(f"{value}_q0", f"{prefix}_median")
+        med = group_quantiles(source, keys, [value], [0.5]).withColumnRenamed(f"{value}_q0", f"{prefix}_median")
         out = attach(out, med, keys)
     return out
 
@@ -39,8 +43,8 @@ def group_share(df: DataFrame, keys: Sequence[str], value: str, out: str = "shar
     return attach(df, total, keys).withColumn(out, share).drop("_total")
 
 
-def group_deviation(df: DataFrame, keys: Sequence[str], value: str, around: str = "mean", out: str = "deviation") -> DataFrame:
-    marked = group_broadcast(df, keys, value, [around], prefix="_g")
+def group_deviation(df: DataFrame, keys: Sequence[str], value: str, around: str = "mean", out: str = "deviation", source: DataFrame | None = None) -> DataFrame:
+    marked = group_broadcast(df, keys, value, [around], "_g", source)
     return marked.withColumn(out, col(value) - F.col(f"_g_{around}")).drop(f"_g_{around}")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.core import bounded_levels, col, describe_rows, numeric_columns, one_row, replace_columns, string_columns, time_columns
+from quern.core import bounded_levels, col, describe_rows, materialize, numeric_columns, one_row, replace_columns, string_columns, time_columns
 from quern.functions import dates, text
 from quern.operators import features, quality, shape
 
@@ -31,7 +31,7 @@ def transform_table(
 ) -> DataFrame:
     """Clean, impute, add date parts, z-score, one-hot and fit to a schema.
 
-    The result is one lazy plan; only fitted statistics and category levels reach the driver.
+    Only fitted statistics and category levels reach the driver.
     """
     if not isinstance(df, DataFrame):
         raise TypeError(f"expected a DataFrame, got {type(df).__name__}")
@@ -39,6 +39,8 @@ def transform_table(
         raise ValueError("cannot process an empty table")
     out = shape.standardize_text(shape.standardize_columns(df))
     out = quality.remove_duplicates(out, dedup_subset, "first", dedup_order)
+    # Half a dozen passes fit statistics on the deduplicated rows: shuffle them once.
+    out = materialize(out, "transform")
     out = quality.impute(out, missing_strategy)
     if normalize_cols:
         out = quality.impute(shape.coerce_numeric(out, normalize_cols), missing_strategy, normalize_cols)
@@ -82,7 +84,7 @@ def preprocess(df: DataFrame, config: dict | None = None, target: str | None = N
         fitted["fill"] = quality.fill_values(train if train is not None else df, df.columns, cfg["missing_strategy"])
         out = quality.apply_fill(df, fitted["fill"])
     if cfg["remove_duplicates"]:
-        out = quality.remove_duplicates(out)
+        out = materialize(quality.remove_duplicates(out), "preprocess")
     if cfg["handle_outliers"]:
         measured = [c for c in numeric_columns(out) if c != row_id]
         out = features.handle_outliers(out, cfg["outlier_method"], cfg["outlier_threshold"], cfg["outlier_strategy"], measured)
