@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -128,9 +128,13 @@ class Tables:
         return self._write(fitted, f"{self._generation(table)}/batch-{uuid.uuid4().hex}")
 
     def _write(self, df: DataFrame, path: str) -> int:
-        seen = Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
-        return seen.get["rows"]
+        """Rows written, counted from the new files' footers.
+
+        An Observation would count while writing, but it leaves the session unserialisable, which
+        breaks scoring with models whose training summary refers to it.
+        """
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path).count()
 
     def _where(self, df: DataFrame, where: dict[str, Any] | None) -> Column:
         """Equality filters combined with AND; a value of another type is converted to the column's."""
