@@ -64,6 +64,16 @@ def read_table(spark: SparkSession, folder: str, name: str, *cols: str) -> DataF
     return df.select(*cols) if cols else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a few files out to all cores before work that is heavy per row.
+
+    A table in fewer files than cores would keep most cores idle. Larger tables pass through
+    without a shuffle, as their files already fill the cluster.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def one_row(df: DataFrame, *aggs: Column):
     """A single row of aggregates on the driver."""
     return df.agg(*aggs).collect()[0]

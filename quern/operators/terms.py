@@ -9,7 +9,7 @@ from pyspark.ml import functions as MF
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, IndexToString, Normalizer, RegexTokenizer, StopWordsRemover, StringIndexer, Word2Vec
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.core import attach, col, explode_rows, hash_unit
@@ -45,7 +45,9 @@ def bag_of_words(df: DataFrame, doc: str, tokens: Column, min_df: int | float =
     rows = df.select(col(doc)).distinct().count()
     low = min_df * rows if isinstance(min_df, float) else min_df
     high = max_df * rows if isinstance(max_df, float) else max_df
-    vocabulary = document_frequencies(counts).where((F.col("df") >= low) & (F.col("df") <= high))
+    # Testing the total keeps the counts in this branch, so both branches share one shuffle and
+    # the texts are cut into tokens once.
+    vocabulary = document_frequencies(counts).where((F.col("df") >= low) & (F.col("df") <= high) & (F.col("total") > 0))
     if max_features:
         vocabulary = vocabulary.orderBy(F.desc("total"), "term").limit(max_features)
     return attach(counts, vocabulary.select("term", "df"), ["term"], "inner").select(doc, "term", "count", "df")
@@ -61,8 +63,10 @@ def tf_idf(df: DataFrame, doc: str, tokens: Column, min_df: int | float = 1, max
     rows = df.select(col(doc)).distinct().count()
     tf = 1 + F.ln(F.col("count")) if sublinear else F.col("count").cast("double")
     raw = bag.select(doc, "term", (tf * (F.ln(F.lit(1.0 + rows) / (1 + F.col("df"))) + 1)).alias("raw"))
-    norms = raw.groupBy(doc).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return attach(raw, norms, [doc]).select(doc, "term", (F.col("raw") / F.col("norm")).alias("weight"))
+    # A document's terms come from one text, so a window per document stays small, and it spares
+    # computing the weights once for the norm and once for the join.
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(doc)))
+    return raw.select(doc, "term", (F.col("raw") / norm).alias("weight"))
 
 
 def top_terms(weights: DataFrame, group: str, k: int) -> DataFrame:

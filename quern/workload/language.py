@@ -4,12 +4,18 @@ from pyspark.sql import functions as F
 
 from quern.core import explode_rows
 from quern.core import read_table as table
+from quern.core import spread
 from quern.functions import dates, lists, nlu, numeric, text
 from quern.operators import sets
 from quern.workload.registry import query
 from quern.workload.statistics import rounded
 
 
+def texts(spark, d, *cols):
+    """The documents, dealt out to all cores."""
+    return spread(table(spark, d, "documents", *cols))
+
+
 def sql_list(items):
     return "[" + ", ".join("'" + i.replace("'", "''") + "'" for i in items) + "]"
 
@@ -144,7 +150,7 @@ def x14(spark, d):
     (contains(lower(text), 'method') or contains(lower(text), 'model') or contains(lower(text), 'the'))::int as keyword from documents""")
 def x16(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").select(
+    return texts(spark, d).select(
         "doc_id", text.contains_any(t, "?").alias("question"), text.contains_any(t, "-").alias("hyphen"), text.contains_any(t, "method", "model", "the").alias("keyword"))
 
 
@@ -167,7 +173,7 @@ def clean_sql(c):
 
 @query("x20_clean_text", f"select doc_id, md5({clean_sql('text')}) as cleaned from documents")
 def x20(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(text.clean_text(F.col("text"))).alias("cleaned"))
+    return texts(spark, d).select("doc_id", F.md5(text.clean_text(F.col("text"))).alias("cleaned"))
 
 
 @query("x20_clean_pages", f"select page_id, md5({clean_sql('html')}) as cleaned from pages")
@@ -183,13 +189,13 @@ CLEAN_DOC = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(r
 def x21(spark, d):
     breaks = F.replace(F.replace("text", F.lit(" "), F.lit("  ")), F.lit("\n"), F.lit(" \r\n\n\n "))
     raw = F.concat(F.lit("  "), breaks, F.lit("\x07\t\tend "))
-    docs = table(spark, d, "documents").select("doc_id", raw.alias("raw"))
+    docs = texts(spark, d).select("doc_id", raw.alias("raw"))
     return text.clean_documents(docs, "raw").select("doc_id", F.md5("raw").alias("cleaned"))
 
 
 @query("x22_clean_ascii", r"select doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))) as cleaned from documents")
 def x22(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(text.clean_ascii(F.col("text"))).alias("cleaned"))
+    return texts(spark, d).select("doc_id", F.md5(text.clean_ascii(F.col("text"))).alias("cleaned"))
 
 
 def split_sql(c):
@@ -198,14 +204,14 @@ def split_sql(c):
 
 @query("x23_text_features", f"""select doc_id, length(text) as text_length, len({split_sql('text')}) as text_word_count, len(list_distinct({split_sql('text')})) as text_unique_word_count from documents""")
 def x23(spark, d):
-    return table(spark, d, "documents").select("doc_id", *[e.alias(n) for n, e in text.text_features(F.col("text"), "text").items()])
+    return texts(spark, d).select("doc_id", *[e.alias(n) for n, e in text.text_features(F.col("text"), "text").items()])
 
 
 @query("x24_word_and_sentence_counts", f"""select doc_id, n as words, s as sentences, round(case when n > 0 then length(text) / n else 0 end, 6) as mean_length from
     (select doc_id, text, len(regexp_extract_all(text, '[{W}]+')) as n, len(regexp_extract_all(text, '[.!?]+')) as s from documents)""")
 def x24(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", text.regex_words(t).alias("words"), text.sentence_marks(t).alias("sentences"), F.round(text.mean_word_length(t), 6).alias("mean_length"))
+    return texts(spark, d).select("doc_id", text.regex_words(t).alias("words"), text.sentence_marks(t).alias("sentences"), F.round(text.mean_word_length(t), 6).alias("mean_length"))
 
 
 @query("x25_prompt_stats", rf"""select conv_id, turn, length(text) as characters, len({split_sql('text')}) as words, len(regexp_extract_all(text, '\n')) + 1 as lines,
@@ -246,7 +252,7 @@ def marked_documents(spark, d):
     tail = F.concat(
         F.lit(" Acme Corp paid ₹ "), n.cast("string"), F.lit(" crore and €5."), (n % 10).cast("string"), F.lit(" million, up "), (n % 100).cast("string"),
         F.lit(".5 % since "), (F.lit(1990) + n % 60).cast("string"), F.lit(" or 3/"), (F.lit(1) + n % 28).cast("string"), F.lit("/2024"))
-    return table(spark, d, "documents").select("doc_id", F.concat("text", tail).alias("text"))
+    return texts(spark, d).select("doc_id", F.concat("text", tail).alias("text"))
 
 
 @query("x27_entities", rf"""select doc_id, md5({entity_sql(PLAIN, r'\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,3})\b')}) as names,
@@ -289,7 +295,7 @@ def questions(spark, d):
     other = F.when(key % 2 == 0, "  ").otherwise(F.concat(F.lit("random noise "), "o_orderstatus"))
     kind = F.col("o_orderpriority")
     q = F.when(kind == "1-URGENT", predict).when(kind == "2-HIGH", view).when(kind == "3-MEDIUM", metric).when(kind == "4-NOT SPECIFIED", "Explain how credit risk is handled, please").otherwise(other)
-    return table(spark, d, "orders").select("o_orderkey", q.alias("q"))
+    return spread(table(spark, d, "orders")).select("o_orderkey", q.alias("q"))
 
 
 def first_sql(p, groups, flags="low"):
@@ -375,21 +381,21 @@ NORMAL = rf"list_filter(string_split_regex(regexp_replace(regexp_replace(lower(t
 
 @query("x33_normal_tokens", f"select doc_id, len(t) as tokens, md5(array_to_string(t, ' ')) as joined from (select doc_id, {NORMAL} as t from documents)")
 def x33(spark, d):
-    t = table(spark, d, "documents").select("doc_id", text.normal_tokens(F.col("text")).alias("t"))
+    t = texts(spark, d).select("doc_id", text.normal_tokens(F.col("text")).alias("t"))
     return t.select("doc_id", F.size("t").alias("tokens"), F.md5(F.array_join("t", " ")).alias("joined"))
 
 
 @query("a27_token_reduction", rf"""select sum(b)::bigint as original_tokens, sum(a)::bigint as processed_tokens, sum(b - a)::bigint as removed_tokens, round(avg(round((b - a) * 100.0 / nullif(b, 0), 2)), 4) as mean_reduction
     from (select len(regexp_extract_all(text, '[{W}]+|[^{W}\s]')) as b, len({NORMAL}) as a from documents)""")
 def a27(spark, d):
-    parts = table(spark, d, "documents").select(*[e.alias(n) for n, e in text.token_reduction(F.col("text")).items()])
+    parts = texts(spark, d).select(*[e.alias(n) for n, e in text.token_reduction(F.col("text")).items()])
     return parts.agg(F.sum("original_tokens").alias("original_tokens"), F.sum("processed_tokens").alias("processed_tokens"), F.sum("removed_tokens").alias("removed_tokens"), F.round(F.avg("reduction_percent"), 4).alias("mean_reduction"))
 
 
 @query("x34_sentences", r"""select doc_id, len(s) as sentences, md5(array_to_string(s, '|')) as joined from (select doc_id,
     list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as s from documents)""")
 def x34(spark, d):
-    s = table(spark, d, "documents").select("doc_id", text.sentences(F.col("text")).alias("s"))
+    s = texts(spark, d).select("doc_id", text.sentences(F.col("text")).alias("s"))
     return s.select("doc_id", F.size("s").alias("sentences"), F.md5(F.array_join("s", "|")).alias("joined"))
 
 
@@ -439,6 +445,6 @@ def x37_columns(spark, d):
 @query("k04_top_keywords", f"""select doc_id, word, n, rank from (select doc_id, word, count(*) as n, row_number() over (partition by doc_id order by count(*) desc, min(pos)) as rank
     from (select doc_id, unnest(t) as word, generate_subscripts(t, 1) as pos from (select doc_id, list_filter(string_split({clean_sql('text')}, ' '), lambda w: length(w) > 2 and not list_contains({sql_list(text.KEYWORD_STOPS)}, w)) as t from documents)) group by 1, 2) where rank <= 10""")
 def k04(spark, d):
-    tokens = explode_rows(table(spark, d, "documents"), ["doc_id"], text.keyword_tokens(F.col("text")), "word", "pos")
+    tokens = explode_rows(texts(spark, d), ["doc_id"], text.keyword_tokens(F.col("text")), "word", "pos")
     counts = tokens.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
     return sets.top_per_group(counts, ["doc_id"], [F.desc("n"), F.col("first_pos")], 10).drop("first_pos")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quern.core import describe_rows, scratch_dir
+from quern.core import describe_rows, scratch_dir, spread
 from quern.core import read_table as table
 from quern.operators import aggs, evaluate, models, ordered, spatial, validate, windows
 from quern.plans import training
@@ -27,7 +27,7 @@ def l02(spark, d):
 
 def document_table(spark, d):
     """Labelled documents with simple size features."""
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents"))
     t = F.col("text")
     sized = docs.select(
         "doc_id", F.col("n_chars").cast("double").alias("chars"), F.size(F.split(t, " ")).cast("double").alias("words"), F.regexp_count(t, F.lit("[.!?]")).cast("double").alias("marks"),
@@ -228,7 +228,7 @@ BOXES = """(select c_custkey, n_name as state, c_name as district, 60.125 + (c_c
 
 def boundary_texts(spark, d):
     """One FeatureCollection text per customer."""
-    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = spread(table(spark, d, "customer")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     key = F.col("c_custkey")
     x, y = F.lit(60.125) + (key * 7 % 160) / 4, F.lit(5.125) + (key * 11 % 128) / 4
     x = F.when(key % 60 == 2, x + 200).otherwise(x)
@@ -252,7 +252,7 @@ def boundaries(spark, d):
 
 def order_points(spark, d):
     key = F.col("o_orderkey")
-    return table(spark, d, "orders").select("o_orderkey", (F.lit(60.0) + (key * 13 % 4200) / 100).alias("lon"), (F.lit(5.0) + (key * 17 % 3300) / 100).alias("lat"))
+    return spread(table(spark, d, "orders", "o_orderkey")).select("o_orderkey", (F.lit(60.0) + (key * 13 % 4200) / 100).alias("lon"), (F.lit(5.0) + (key * 17 % 3300) / 100).alias("lat"))
 
 
 @query("g01_load_tiers", f"select 2 as tier, case when multi then 'MultiPolygon' else 'Polygon' end as geometry_type, count(*) as features, sum(case when multi then 2 else 1 end)::bigint as rings from {BOXES} group by 2")

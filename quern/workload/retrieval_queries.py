@@ -8,7 +8,7 @@ from quern.core import read_table as table
 from quern.functions import nlu, text
 from quern.operators import chunks, ordered, retrieval, terms, vectors
 from quern.plans import knowledge
-from quern.workload.language import W, sql_list
+from quern.workload.language import W, sql_list, texts
 from quern.workload.registry import query
 from quern.workload.statistics import rounded
 
@@ -26,12 +26,12 @@ RARE = f"(select term, count(*) as df, sum(n) as total from {COUNTS} group by 1
 
 @query("n01_bag_of_words", f'select doc_id, term, n as "count", df from {COUNTS} join {RARE} using (term)')
 def n01(spark, d):
-    return terms.bag_of_words(table(spark, d, "documents", "doc_id", "text"), "doc_id", terms.term_tokens(F.col("text")), 5, 0.5)
+    return terms.bag_of_words(texts(spark, d, "doc_id", "text"), "doc_id", terms.term_tokens(F.col("text")), 5, 0.5)
 
 
 @query("n02_corpus_frequencies", f'select term, sum(n)::bigint as "count" from {COUNTS} group by 1')
 def n02(spark, d):
-    return terms.corpus_frequencies(table(spark, d, "documents", "text"), terms.term_tokens(F.col("text")))
+    return terms.corpus_frequencies(texts(spark, d, "text"), terms.term_tokens(F.col("text")))
 
 
 def tfidf_sql(rows, tf="n", vocabulary="row_number() over () > 0", having="true"):
@@ -42,7 +42,7 @@ def tfidf_sql(rows, tf="n", vocabulary="row_number() over () > 0", having="true"
 
 @query("n03_tf_idf", f"select doc_id, term, round(weight, 6) as weight from {tfidf_sql(COUNTS, having='count(*) >= 2')}")
 def n03(spark, d):
-    docs = table(spark, d, "documents", "doc_id", "text")
+    docs = texts(spark, d, "doc_id", "text")
     return rounded(terms.tf_idf(docs, "doc_id", terms.term_tokens(F.col("text")), min_df=2), "weight")
 
 
@@ -52,13 +52,13 @@ BIGRAMS = f"""(select doc_id, term, count(*) as n from (select doc_id, unnest(li
 
 @query("n03_tf_idf_bigrams_sublinear", f"select doc_id, term, round(weight, 6) as weight from {tfidf_sql(BIGRAMS, '(1 + ln(n))', 'row_number() over (order by sum(n) desc, term) <= 2000')}")
 def n03_bigrams(spark, d):
-    docs = table(spark, d, "documents", "doc_id", "text")
+    docs = texts(spark, d, "doc_id", "text")
     tokens = terms.term_tokens(F.col("text"), text.ENGLISH_STOPS, bigrams=True)
     return rounded(terms.tf_idf(docs, "doc_id", tokens, max_features=2000, sublinear=True), "weight")
 
 
 def document_weights(spark, d):
-    docs = table(spark, d, "documents", "doc_id", "text")
+    docs = texts(spark, d, "doc_id", "text")
     return terms.tf_idf(docs, "doc_id", terms.term_tokens(F.col("text")), min_df=2)
 
 
@@ -77,7 +77,7 @@ def n04(spark, d):
 
 
 def labelled_texts(spark, d):
-    return table(spark, d, "documents", "doc_id", "text").join(table(spark, d, "labels", "doc_id", "quality"), "doc_id").withColumn("label", F.col("quality").cast("string"))
+    return texts(spark, d, "doc_id", "text").join(table(spark, d, "labels", "doc_id", "quality"), "doc_id").withColumn("label", F.col("quality").cast("string"))
 
 
 @query("n05_text_naive_bayes")
@@ -96,7 +96,7 @@ def n06(spark, d):
 
 @query("n06_class_terms")
 def n06_terms(spark, d):
-    model = terms.train_text_classifier(table(spark, d, "documents", "text", "lang"), "text", "lang", "logistic", features=2000)
+    model = terms.train_text_classifier(texts(spark, d, "text", "lang"), "text", "lang", "logistic", features=2000)
     return describe_rows(spark, terms.class_top_terms(model, 30), "label string, term string, coefficient double")
 
 
@@ -123,12 +123,12 @@ def n08(spark, d):
 
 @query("n09_lda_topics")
 def n09(spark, d):
-    return terms.lda_topics(table(spark, d, "documents", "text"), "text")
+    return terms.lda_topics(texts(spark, d, "text"), "text")
 
 
 @query("n10_word_vectors")
 def n10(spark, d):
-    model = terms.word_vectors(table(spark, d, "documents", "text"), "text", size=32)
+    model = terms.word_vectors(texts(spark, d, "text"), "text", size=32)
     return model.getVectors().select("word", F.size(vector_to_array("vector")).alias("size"))
 
 
@@ -138,13 +138,13 @@ MONEY = r"(?i)[₹$€£]\s?\d[\d,]*(?:\.\d+)?\s?(?:crore|lakh|million|billion|t
 @query("n11_entity_counts", rf"""select 'PERCENT' as label, count(*) as documents, sum(n)::bigint as spans from (select len(list_distinct(list_transform(regexp_extract_all(text, '\d+(?:\.\d+)?\s?%'), lambda x: trim(x)))) as n from documents) where n > 0 having count(*) > 0
     union all select 'MONEY', count(*), sum(n)::bigint from (select len(list_distinct(list_transform(regexp_extract_all(text, '{MONEY}'), lambda x: trim(x)))) as n from documents) where n > 0 having count(*) > 0""")
 def n11(spark, d):
-    found = terms.entity_counts(table(spark, d, "documents"), "doc_id", text.entities(F.col("text")))
+    found = terms.entity_counts(texts(spark, d), "doc_id", text.entities(F.col("text")))
     return found.where(F.col("label").isin("PERCENT", "MONEY"))
 
 
 @query("n12_text_embeddings")
 def n12(spark, d):
-    docs = table(spark, d, "documents", "doc_id", "text")
+    docs = texts(spark, d, "doc_id", "text")
     v = terms.HashEmbedder(384).fit(docs, "text").transform(docs, "text")
     length = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
     return v.select("doc_id", F.size("vector").alias("dimension"), F.round(length, 6).alias("length"))
@@ -224,25 +224,25 @@ WINDOWS = r"""(select doc_id, list_filter([regexp_replace(substring(text, (s + 1
 
 @query("r02_window_chunks", f"select doc_id, doc_id || '-chunk-' || i as chunk_id, (i - 1)::int as chunk_index, len(p) as chunk_total, md5(p[i]) as body from (select doc_id, p, unnest(range(1, len(p) + 1))::int as i from {WINDOWS})")
 def r02(spark, d):
-    cut = chunks.window_chunks(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+    cut = chunks.window_chunks(texts(spark, d, "doc_id", "text"), "doc_id", "text")
     return cut.select("doc_id", "chunk_id", "chunk_index", "chunk_total", F.md5("text").alias("body"))
 
 
 @query("r03_chunk_statistics", f"select doc_id, list_min(l) as min_chars, list_max(l) as max_chars, round(list_avg(l), 6) as mean_chars, len(l) as chunks from (select doc_id, list_transform(p, lambda x: length(x)) as l from {WINDOWS}) where len(l) > 0")
 def r03(spark, d):
-    return rounded(chunks.chunk_statistics(chunks.window_chunks(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text"), "doc_id"), "mean_chars")
+    return rounded(chunks.chunk_statistics(chunks.window_chunks(texts(spark, d, "doc_id", "text"), "doc_id", "text"), "doc_id"), "mean_chars")
 
 
 @query("r01_recursive_chunks")
 def r01(spark, d):
-    cut = chunks.recursive_chunks(table(spark, d, "documents", "doc_id", "source", "text"), "doc_id", "text")
+    cut = chunks.recursive_chunks(texts(spark, d, "doc_id", "source", "text"), "doc_id", "text")
     return cut.select("doc_id", "source", "chunk_id", "chunk_index", "chunk_total", F.length("text").alias("chars"), F.md5("text").alias("body"))
 
 
 @query("h05_chunk_separators")
 def h05(spark, d):
     """Chunks measured in words, cut at sentence ends before blanks."""
-    cut = chunks.recursive_chunks(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", 80, 10, (". ", " "), lambda t: len(t.split()))
+    cut = chunks.recursive_chunks(texts(spark, d, "doc_id", "text"), "doc_id", "text", 80, 10, (". ", " "), lambda t: len(t.split()))
     return cut.select("chunk_id", "chunk_total", F.md5("text").alias("body"))
 
 
@@ -368,7 +368,7 @@ def r05(spark, d):
 
 
 def corpus(spark, d):
-    return table(spark, d, "documents", "doc_id", "source", "text").withColumnRenamed("doc_id", "document_id")
+    return texts(spark, d, "doc_id", "source", "text").withColumnRenamed("doc_id", "document_id")
 
 
 def benchmark_questions(spark, d):

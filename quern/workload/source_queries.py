@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.core import read_table as table
-from quern.core import scratch_dir
+from quern.core import scratch_dir, spread
 from quern.functions import text, udfs
 from quern.operators import validate
 from quern.sources import catalogue, documents, files, payloads, tables, workbooks
@@ -99,7 +99,7 @@ def s05(spark, d):
 
 def payload_rows(spark, d):
     """One API payload per order in four envelope shapes."""
-    o = table(spark, d, "orders", "o_orderkey", "o_totalprice", "o_orderstatus")
+    o = spread(table(spark, d, "orders", "o_orderkey", "o_totalprice", "o_orderstatus"))
     record = F.struct(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("price"))
     two = F.array(record, record)
     shape = F.col("o_orderkey") % 4
