@@ -24,8 +24,8 @@ def value_counts(df: DataFrame, column: str, keep_missing: bool = False) -> Data
     """Counts per value, most frequent first, with the share of the counted rows."""
     counted = df if keep_missing else df.where(col(column).isNotNull())
     counts = counted.groupBy(col(column).alias("value")).agg(F.count("*").alias("rows"))
-    total = counted.agg(F.count("*").alias("_total"))
-    return counts.join(total).select("value", "rows", (F.col("rows") / F.col("_total")).alias("share")).orderBy(F.desc("rows"), "value")
+    total = counted.count()
+    return counts.select("value", "rows", (F.col("rows") / F.lit(total)).alias("share")).orderBy(F.desc("rows"), "value")
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
@@ -65,9 +65,9 @@ def describe_texts(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     out = []
     for c in columns or string_columns(df):
         counts = df.where(col(c).isNotNull()).groupBy(col(c).cast("string").alias("v")).agg(F.count("*").alias("n"))
-        top = counts.agg(F.sum("n").alias("count"), F.count("*").alias("unique"), F.max("n").alias("freq"))
-        first = counts.orderBy(F.desc("n"), "v").limit(1).select(F.col("v").alias("top"))
-        out.append(top.join(first, how="left").select(F.lit(c).alias("column"), "count", "unique", "top", "freq"))
+        most = F.max(F.col("n")).alias("freq")
+        first = F.min_by("v", F.struct(-F.col("n"), "v")).alias("top")
+        out.append(counts.agg(F.sum("n").alias("count"), F.count("*").alias("unique"), first, most).select(F.lit(c).alias("column"), "*"))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -228,8 +228,8 @@ def pivot_wide(df: DataFrame, index: str, category: str, value: str, levels: Seq
 def category_shares(df: DataFrame, key: str, value: str) -> DataFrame:
     """Percent of the total and mean per category."""
     totals = df.groupBy(key).agg(F.sum(value).alias("total"), F.avg(value).alias("mean"))
-    whole = totals.agg(F.sum("total").alias("_all"))
-    return totals.join(whole).select(key, "mean", F.try_divide(F.col("total") * 100, F.col("_all")).alias("percent"))
+    whole = one_row(df, F.sum(value))[0]
+    return totals.select(key, "mean", F.try_divide(F.col("total") * 100, F.lit(whole)).alias("percent"))
 
 
 def summarize(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -284,10 +284,8 @@ def exploded_counts(df: DataFrame, labels: Column, k: int | None = None) -> Data
 def class_balance(df: DataFrame, target: str) -> DataFrame:
     """Count and share per class and whether a stratified split is possible."""
     counts = df.where(col(target).isNotNull()).groupBy(col(target).cast("string").alias("class")).agg(F.count("*").alias("rows"))
-    whole = counts.agg(F.sum("rows").alias("_all"), F.count("*").alias("_classes"), F.min("rows").alias("_least"))
-    return counts.join(whole).select(
-        "class", "rows", (F.col("rows") / F.col("_all")).alias("share"), ((F.col("_classes") >= 2) & (F.col("_least") >= 2)).alias("can_stratify")
-    )
+    rows, classes, least = one_row(counts, F.sum("rows"), F.count("*"), F.min("rows"))
+    return counts.select("class", "rows", (F.col("rows") / F.lit(rows)).alias("share"), F.lit(classes >= 2 and least >= 2).alias("can_stratify"))
 
 
 def detect_task_type(df: DataFrame, target: str) -> str:
@@ -317,10 +315,10 @@ def grouped_importance(features: DataFrame, sources: Sequence[str]) -> DataFrame
     by_length = sorted(sources, key=len, reverse=True)
     owner = F.coalesce(*[F.when((F.col("feature") == s) | F.startswith("feature", F.lit(s + "_")), F.lit(s)) for s in by_length], F.col("feature"))
     total = features.groupBy(owner.alias("source")).agg(F.sum("importance").alias("importance"))
-    whole = total.agg(F.sum("importance").alias("_all"))
+    whole = one_row(total, F.sum("importance"))[0]
     # One row per source column, so ranking them in one place is bounded by the table's width.
     rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("importance"), "source"))
-    return total.join(whole).select("source", "importance", F.try_divide(F.col("importance") * 100, F.col("_all")).alias("percent"), rank.alias("rank"))
+    return total.select("source", "importance", F.try_divide(F.col("importance") * 100, F.lit(whole)).alias("percent"), rank.alias("rank"))
 
 
 def text_lengths(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -128,9 +128,11 @@ def score_pairs(pairs: DataFrame, task: str, keys: Sequence[str] = ()) -> DataFr
     """Metrics per key, all keys in one job."""
     if task == "regression":
         return evaluate.regression_metrics(pairs, "_y", "_p", keys)
+    if not keys:
+        return score_pairs(pairs.withColumn("_all", F.lit(1)), task, ["_all"]).drop("_all")
     found = evaluate.classification_metrics(pairs, "_y", "_p", keys).withColumnRenamed("f1", "f1_score")
     areas = evaluate.roc_auc(pairs, "_y", "_chance", keys).withColumnRenamed("auc", "roc_auc")
-    return attach(found, areas, keys) if keys else found.join(areas)
+    return attach(found, areas, keys)
 
 
 def score_model(scored: DataFrame, label: str, task: str) -> dict[str, float]:

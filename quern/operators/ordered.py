@@ -18,7 +18,9 @@ from pyspark.sql import types as T
 from quern.core import col, one_row
 
 BLOCK_ROWS = 1_000_000
-MAX_BLOCKS = 512
+# Cuts taken from the data, and equal slices between two cuts when that is not enough.
+MAX_CUTS = 256
+MAX_SLICES = 4096
 
 
 def _axis(df: DataFrame, name: str) -> Column:
@@ -45,10 +47,18 @@ def block_column(df: DataFrame, order: Sequence[str], block_rows: int | None = N
     total = df.count()
     if total <= block_rows:
         return None
-    blocks = min(MAX_BLOCKS, -(-total // block_rows))
-    probs = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
-    cuts = one_row(df, F.percentile_approx(axis, probs, F.lit(10_000)))[0] or []
-    return F.coalesce(cut_tree(axis, sorted(set(cuts))), F.lit(-1))
+    blocks = -(-total // block_rows)
+    spans = min(MAX_CUTS, blocks)
+    slices = min(MAX_SLICES, -(-blocks // spans))
+    probs = F.array(*[F.lit(i / spans) for i in range(spans + 1)])
+    edges = sorted(set(one_row(df, F.percentile_approx(axis, probs, F.lit(10_000)))[0] or []))
+    inner = edges[1:-1]
+    span = cut_tree(axis, inner)
+    if slices > 1 and len(edges) > 1:
+        low, high = (F.element_at(F.array(*[F.lit(float(e)) for e in side]), span + 1) for side in (edges[:-1], edges[1:]))
+        place = F.floor((axis.cast("double") - low) / (high - low) * slices)
+        span = span * slices + F.greatest(F.lit(0), F.least(F.lit(slices - 1), place))
+    return F.coalesce(span.cast("int"), F.lit(-1))
 
 
 def _chain(df: DataFrame, keys: Sequence[str], carry: DataFrame) -> DataFrame:

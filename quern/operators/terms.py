@@ -12,7 +12,7 @@ from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, IndexToString, N
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.core import attach, col, explode_rows, hash_unit
+from quern.core import attach, col, explode_rows, hash_unit, one_row
 from quern.functions.text import ENGLISH_STOPS
 from quern.operators.sets import top_per_group
 
@@ -80,13 +80,12 @@ def chi_square(weights: DataFrame, doc: str, labels: DataFrame, label: str) -> D
     documents of the term's total weight."""
     labelled = weights.join(labels.select(doc, col(label).alias("_class")), doc)
     observed = labelled.groupBy("term", "_class").agg(F.sum("weight").alias("o"))
-    classes = labels.groupBy(col(label).alias("_class")).agg(F.count("*").alias("n"))
-    whole = classes.agg(F.sum("n").alias("all"), F.collect_list(F.struct("_class", "n")).alias("classes"))
-    totals = observed.groupBy("term").agg(F.sum("o").alias("total"), F.map_from_entries(F.collect_list(F.struct("_class", "o"))).alias("seen"))
-    cells = totals.join(whole).select("term", "total", "seen", "all", F.explode("classes").alias("c"))
-    expected = F.col("total") * F.col("c.n") / F.col("all")
-    gap = F.coalesce(F.try_element_at("seen", F.col("c._class")), F.lit(0.0)) - expected
-    return cells.groupBy("term").agg(F.sum(gap * gap / expected).alias("chi2"))
+    # Σ (o − e)²/e over all classes, with e = total·share, is Σ o²/(total·share) − total: classes
+    # where the term is absent need no row of their own.
+    sizes = labels.groupBy(col(label).alias("_class")).agg(F.count("*").alias("n"))
+    share = attach(observed, sizes, ["_class"]).withColumn("share", F.col("n") / F.lit(labels.count()))
+    per_term = share.groupBy("term").agg(F.sum("o").alias("total"), F.sum(F.col("o") * F.col("o") / F.col("share")).alias("s"))
+    return per_term.select("term", (F.col("s") / F.col("total") - F.col("total")).alias("chi2"))
 
 
 def entity_counts(df: DataFrame, doc: str, entities: Column) -> DataFrame:
@@ -159,8 +158,8 @@ def train_text_classifier(df: DataFrame, text: str, label: str, model: str = "na
         rows = df
     elif model == "logistic":
         sizes = df.groupBy(col(label)).agg(F.count("*").alias("_n"))
-        total = sizes.agg(F.sum("_n").alias("_all"), F.count("*").alias("_k"))
-        weight = sizes.join(total).select(col(label), (F.col("_all") / (F.col("_k") * F.col("_n"))).alias("_weight"))
+        total, classes = one_row(sizes, F.sum("_n"), F.count("*"))
+        weight = sizes.select(col(label), (F.lit(total) / (F.lit(classes) * F.col("_n"))).alias("_weight"))
         rows = attach(df, weight, [label])
         estimator = LogisticRegression(featuresCol="_features", labelCol="_label", weightCol="_weight", predictionCol="_prediction", probabilityCol="_probability", rawPredictionCol="_raw", maxIter=100, regParam=0.01)
     else:

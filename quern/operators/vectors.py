@@ -138,16 +138,18 @@ def knn_predict(train: DataFrame, test: DataFrame, k: int, row_id: str, vector:
 
 def store_integrity(documents: DataFrame, vectors: DataFrame, key: str, vector: str, dimension: int) -> DataFrame:
     """One row: vectors, documents, wrong dimensions, broken values, orphans both ways, status."""
-    v = vectors.agg(
+    v = one_row(
+        vectors,
         F.count("*").alias("vectors"),
         F.count_if(F.coalesce(F.size(col(vector)), F.lit(-1)) != dimension).alias("wrong_dimension"),
         F.count_if(F.exists(col(vector), lambda x: x.isNull() | F.isnan(x.cast("double")))).alias("broken"),
     )
-    d = documents.agg(F.count("*").alias("documents"))
+    total = documents.count()
     sides = documents.select(key, F.lit(1).alias("d"), F.lit(0).alias("v")).unionByName(vectors.select(key, F.lit(0).alias("d"), F.lit(1).alias("v")))
     gaps = sides.groupBy(key).agg(F.max("d").alias("d"), F.max("v").alias("v")).agg(
         F.count_if((F.col("d") == 1) & (F.col("v") == 0)).alias("without_vector"), F.count_if((F.col("d") == 0) & (F.col("v") == 1)).alias("without_document")
     )
-    bad = (F.col("wrong_dimension") + F.col("broken") + F.col("without_vector") + F.col("without_document")) > 0
-    status = F.when(F.col("vectors") == 0, "FAIL").when(bad | (F.col("vectors") != F.col("documents")), "WARN").otherwise("PASS")
-    return v.join(d).join(gaps).withColumn("status", status)
+    bad = (F.lit(v["wrong_dimension"] + v["broken"]) + F.col("without_vector") + F.col("without_document")) > 0
+    status = F.lit("FAIL") if not v["vectors"] else F.when(bad | F.lit(v["vectors"] != total), "WARN").otherwise("PASS")
+    measured = [F.lit(v[n]).alias(n) for n in ("vectors", "wrong_dimension", "broken")]
+    return gaps.select(*measured, F.lit(total).alias("documents"), "without_vector", "without_document", status.alias("status"))

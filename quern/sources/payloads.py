@@ -39,6 +39,6 @@ def assemble_pages(df: DataFrame, page: str, payload: str, page_size: int, keys:
     keys = keys or []
     sized = df.withColumn("_n", F.size(unwrap(F.col(payload))))
     ends = sized.where(F.col("_n") < page_size).groupBy(*keys).agg(F.min(page).alias("_last"))
-    joined = sized.join(ends, keys, "left") if keys else sized.join(ends, how="left")
+    joined = sized.join(ends, keys, "left") if keys else sized.withColumn("_last", F.lit(ends.collect()[0]["_last"]))
     wanted = joined.where(F.col("_last").isNull() | (F.col(page) <= F.col("_last"))).drop("_n", "_last")
     return read_payloads(wanted, payload, schema, [*keys, page])
