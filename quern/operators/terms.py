@@ -196,7 +196,9 @@ def class_top_terms(model: PipelineModel, k: int = 30) -> list[tuple[str, str, f
 def lda_topics(df: DataFrame, text: str, topics: int = 5, terms: int = 8, min_df: float = 2.0, max_df: float = 0.9, seed: int = 42) -> DataFrame:
     """(topic, position, term, weight) of the strongest words per topic."""
     tokens = df.withColumn("_tokens", term_tokens(col(text), ENGLISH_STOPS))
-    vectors = CountVectorizer(inputCol="_tokens", outputCol="_tf", minDF=min_df, maxDF=max_df).fit(tokens)
+    counter = CountVectorizer(inputCol="_tokens", outputCol="_tf", minDF=min_df)
+    # Spark reads a maxDF of 1.0 as "in one document"; here it means no upper limit.
+    vectors = (counter.setMaxDF(max_df) if max_df < 1 else counter).fit(tokens)
     model = LDA(k=topics, seed=seed, maxIter=10, featuresCol="_tf").fit(vectors.transform(tokens))
     names = F.array(*[F.lit(w) for w in vectors.vocabulary]) if len(vectors.vocabulary) <= 1000 else None
     found = model.describeTopics(terms)
