@@ -18,11 +18,11 @@ def nation_years(spark, d):
 MELTED = f"(unpivot {NATION_YEARS} on {', '.join(YEARS)} into name name value value)"
 
 
-@query("dom_economic", f"""with s as (select n_name, c_mktsegment, avg(value) as mean, stddev_samp(value) as std, regr_slope(value, substring(name, 2)::int) as slope from {MELTED} group by 1, 2),
+@query("dom_economic", f"""with s as (select n_name, c_mktsegment, avg(value) as mean, stddev_samp(value) as std, case when count(value) >= 2 then regr_slope(value, substring(name, 2)::int) end as slope from {MELTED} group by 1, 2),
     q as (select quantile_cont(mean, 0.25) q1, quantile_cont(mean, 0.75) q3 from s)
-    select n_name, c_mktsegment, round(mean, 4) as mean, round(std, 4) as std, round(slope, 4) as trend_slope, case when slope > 0 then 'Increasing' when slope < 0 then 'Decreasing' else 'Stable' end as trend_direction,
+    select n_name, c_mktsegment, round(mean, 4) as mean, round(std, 4) as std, round(slope, 4) as trend_slope, case when slope > 0 then 'Increasing' when slope < 0 then 'Decreasing' when slope = 0 then 'Stable' else 'No Trend' end as trend_direction,
       dense_rank() over (order by n_name) - 1 as n_name_id, dense_rank() over (order by c_mktsegment) - 1 as c_mktsegment_id, count(*) over (partition by n_name) as n_name_records_count, count(*) over (partition by n_name, c_mktsegment) as pair_records_count,
-      (mean < q1 - 1.5 * (q3 - q1) or mean > q3 + 1.5 * (q3 - q1))::int as mean_outlier, round((pow(y2001 / y1995, 1 / 6) - 1) * 100, 6) as cagr_percent, 0 as missing_values
+      (mean < q1 - 1.5 * (q3 - q1) or mean > q3 + 1.5 * (q3 - q1))::int as mean_outlier, round((pow(y2001 / y1995, 1 / 6) - 1) * 100, 6) as cagr_percent, {" + ".join(f"({y} is null)::int" for y in YEARS)} as missing_values
     from s join {NATION_YEARS} using (n_name, c_mktsegment), q""")
 def economic(spark, d):
     out = domains.economic_features(nation_years(spark, d), "n_name", "c_mktsegment")
@@ -30,7 +30,7 @@ def economic(spark, d):
     return rounded(rounded(out, "mean", "std", "trend_slope", digits=4), "cagr_percent")
 
 
-@query("dom_market", f"""select n_name, c_mktsegment, round(y2001 - y2000, 4) as latest_change, round((y2001 - y1995) / abs(y1995) * 100, 6) as percent_change, round(ln(1 + y2001), 6) as latest_log, 'Positive' as latest_status from {NATION_YEARS}""")
+@query("dom_market", f"""select n_name, c_mktsegment, round(y2001 - y2000, 4) as latest_change, round((y2001 - y1995) / abs(y1995) * 100, 6) as percent_change, round(ln(1 + y2001), 6) as latest_log, case when y2001 > 0 then 'Positive' else 'Missing' end as latest_status from {NATION_YEARS}""")
 def market(spark, d):
     named = nation_years(spark, d).withColumnsRenamed({y: f"{y[1:]} [YR{y[1:]}]" for y in YEARS})
     out = domains.market_features(named).select("n_name", "c_mktsegment", "latest_change", "percent_change", "latest_log", "latest_status")
