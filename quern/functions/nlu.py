@@ -112,32 +112,40 @@ DEFAULT_DATE = "2026-09-21"
 UNRECOGNIZED = "Query could not be mapped to an actionable domain. Please formulate an economic, spatial, or prediction query."
 
 
+# Services and endpoints.
+SERVICES = {
+    "GIS_VIEW": "GIS_SPATIAL_SERVICE", "PREDICTION": "ML_INFERENCE_SERVICE", "DATA_METRIC": "BACKEND_DATA_SERVICE", "FAQ": "RAG_KNOWLEDGE_SERVICE",
+    "UNKNOWN_INTENT": "FALLBACK_HANDLER",
+}
+PLACE_ENDPOINT, TIER_ENDPOINT = "/api/v1/spatial/query", "/api/v1/spatial/boundaries/1"
+SCORING_ENDPOINT, DATA_ENDPOINT, QUESTION_ENDPOINT = "/predict", "/process", "/api/v1/ai/query"
+HOME_STATE, METRIC_PROFILE, ANSWER_CHUNKS = "Telangana", "company_financials", 3
+
+
 def structured_request(query: Column, intent_name: Column, found: Column) -> Column:
     """JSON request for the service that should answer a question."""
     place = F.try_element_at(found["locations"], F.lit(1))
 
-    def request(service: str, endpoint, method: str, body: dict[str, Column]) -> Column:
-        schema = F.struct(
-            (endpoint if isinstance(endpoint, Column) else F.lit(endpoint)).alias("endpoint"), F.lit(method).alias("method"), *[v.alias(k) for k, v in body.items()]
-        )
-        return F.to_json(F.struct(F.lit(service).alias("target_service"), schema.alias("request_schema")))
+    def request(label: str, endpoint: str, method: str, name: str, body: Column) -> Column:
+        schema = F.struct(F.lit(endpoint).alias("endpoint"), F.lit(method).alias("method"), body.alias(name))
+        return F.to_json(F.struct(F.lit(SERVICES[label]).alias("target_service"), schema.alias("request_schema")))
 
-    by_place = F.struct(place.alias("q"), F.lit("Telangana").alias("state"))
-    spatial = F.when(place.isNotNull(), request("GIS_SPATIAL_SERVICE", "/api/v1/spatial/query", "GET", {"params": by_place})).otherwise(
-        request("GIS_SPATIAL_SERVICE", "/api/v1/spatial/boundaries/1", "GET", {"params": F.struct(F.lit(1).alias("tier"))})
-    )
+    by_place = F.struct(place.alias("q"), F.lit(HOME_STATE).alias("state"))
+    by_tier = F.struct(F.lit(1).alias("tier"))
+    spatial = F.when(place.isNotNull(), request("GIS_VIEW", PLACE_ENDPOINT, "GET", "params", by_place)).otherwise(request("GIS_VIEW", TIER_ENDPOINT, "GET", "params", by_tier))
     fields = [F.coalesce(found["features"][n], F.lit(v)).alias(n) for n, v in REQUEST_DEFAULTS.items()]
     fields += [F.lit(v).alias(n) for n, v in REQUEST_TEXTS.items()]
     fields.append(F.coalesce(F.try_element_at(found["dates"], F.lit(1)), F.lit(DEFAULT_DATE)).alias("application_date"))
     filters = F.struct(found["locations"].alias("locations"), found["metrics"].alias("metrics"), found["dates"].alias("dates"))
-    metric = F.struct(F.lit("company_financials").alias("profile"), filters.alias("filters"))
+    metric = F.struct(F.lit(METRIC_PROFILE).alias("profile"), filters.alias("filters"))
+    asked = F.struct(query.alias("query"), F.lit(ANSWER_CHUNKS).alias("k"))
     fallback = F.struct(F.lit("unrecognized").alias("status"), F.lit(UNRECOGNIZED).alias("message"))
     return (
         F.when(intent_name == "GIS_VIEW", spatial)
-        .when(intent_name == "PREDICTION", request("ML_INFERENCE_SERVICE", "/predict", "POST", {"payload": F.struct(*fields)}))
-        .when(intent_name == "DATA_METRIC", request("BACKEND_DATA_SERVICE", "/process", "POST", {"payload": metric}))
-        .when(intent_name == "FAQ", request("RAG_KNOWLEDGE_SERVICE", "/api/v1/ai/query", "POST", {"payload": F.struct(query.alias("query"), F.lit(3).alias("k"))}))
-        .otherwise(F.to_json(F.struct(F.lit("FALLBACK_HANDLER").alias("target_service"), fallback.alias("request_schema"))))
+        .when(intent_name == "PREDICTION", request("PREDICTION", SCORING_ENDPOINT, "POST", "payload", F.struct(*fields)))
+        .when(intent_name == "DATA_METRIC", request("DATA_METRIC", DATA_ENDPOINT, "POST", "payload", metric))
+        .when(intent_name == "FAQ", request("FAQ", QUESTION_ENDPOINT, "POST", "payload", asked))
+        .otherwise(F.to_json(F.struct(F.lit(SERVICES["UNKNOWN_INTENT"]).alias("target_service"), fallback.alias("request_schema"))))
     )
 
 

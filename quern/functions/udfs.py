@@ -27,5 +27,8 @@ def column_of(df: DataFrame, columns: list[str], fn: Callable[[pd.DataFrame], pd
 
     The function must treat rows independently: a batch is any run of rows.
     """
-    apply = F.pandas_udf(lambda s: fn(s), dtype, functionType=F.PandasUDFType.SCALAR)
-    return df.withColumn(out, apply(F.struct(*[col(c) for c in columns])))
+
+    def run(rows: pd.DataFrame) -> pd.Series:
+        return fn(rows)
+
+    return df.withColumn(out, F.pandas_udf(run, dtype)(F.struct(*[col(c) for c in columns])))

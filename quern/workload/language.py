@@ -385,11 +385,11 @@ def x33(spark, d):
     return t.select("doc_id", F.size("t").alias("tokens"), F.md5(F.array_join("t", " ")).alias("joined"))
 
 
-@query("a27_token_reduction", rf"""select sum(b)::bigint as original_tokens, sum(a)::bigint as processed_tokens, sum(b - a)::bigint as removed_tokens, round(avg(round((b - a) * 100.0 / nullif(b, 0), 2)), 4) as mean_reduction
+@query("a27_token_reduction", rf"""select sum(b)::bigint as original_tokens, sum(a)::bigint as processed_tokens, sum(b - a)::bigint as removed_tokens, round(avg(round((b - a) * 100.0 / nullif(b, 0), 2)), 6) as mean_reduction
     from (select len(regexp_extract_all(text, '[{W}]+|[^{W}\s]')) as b, len({NORMAL}) as a from documents)""")
 def a27(spark, d):
     parts = texts(spark, d).select(*[e.alias(n) for n, e in text.token_reduction(F.col("text")).items()])
-    return parts.agg(F.sum("original_tokens").alias("original_tokens"), F.sum("processed_tokens").alias("processed_tokens"), F.sum("removed_tokens").alias("removed_tokens"), F.round(F.avg("reduction_percent"), 4).alias("mean_reduction"))
+    return parts.agg(F.sum("original_tokens").alias("original_tokens"), F.sum("processed_tokens").alias("processed_tokens"), F.sum("removed_tokens").alias("removed_tokens"), F.round(F.avg("reduction_percent"), 6).alias("mean_reduction"))
 
 
 @query("x34_sentences", r"""select doc_id, len(s) as sentences, md5(array_to_string(s, '|')) as joined from (select doc_id,

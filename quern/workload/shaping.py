@@ -402,12 +402,12 @@ def v07_collisions(spark, d):
 
 
 @query("v08_split_overlap", """
-  with s as (select text, case when doc_id % 10 < 7 then 'train' when doc_id % 10 = 7 then 'validation' else 'test' end as split from documents),
+  with s as (select text, case when source < 'src15' then 'train' when source < 'src2' then 'validation' else 'test' end as split from documents),
        t as (select text, max((split = 'train')::int) as train, max((split = 'validation')::int) as validation, max((split = 'test')::int) as test from s group by text)
   select 'train' as "left", 'validation' as "right", sum(train * validation)::bigint as overlap, true as same_columns from t
   union all select 'train', 'test', sum(train * test)::bigint, true from t
   union all select 'validation', 'test', sum(validation * test)::bigint, true from t""")
 def v08(spark, d):
-    df = table(spark, d, "documents", "doc_id", "text")
-    part = F.col("doc_id") % 10
-    return validate.split_overlaps({"train": df.where(part < 7), "validation": df.where(part == 7), "test": df.where(part > 7)}, ["text"])
+    df = table(spark, d, "documents", "source", "text")
+    parts = {"train": "source < 'src15'", "validation": "source >= 'src15' and source < 'src2'", "test": "source >= 'src2'"}
+    return validate.split_overlaps({n: df.where(test) for n, test in parts.items()}, ["text"])
