@@ -57,14 +57,15 @@ def fill_values(df: DataFrame, columns: Sequence[str], strategy: str, fallback:
     mean and median apply to numeric columns; with `fallback` other columns take their mode,
     then the word "unknown".
     """
-    gaps = one_row(df, *[F.count_if(col(c).isNull()) for c in columns])
-    open_cols = [c for c, n in zip(columns, gaps) if n > 0]
+    rows, *present = one_row(df, F.count("*"), *[F.count(col(c)) for c in columns])
+    sizes = dict(zip(columns, present))
+    open_cols = [c for c in columns if sizes[c] < rows]
     numbers = [c for c in open_cols if is_numeric(df.schema[c].dataType)]
     values: dict[str, object] = {}
     if strategy == "mean" and numbers:
         values.update(zip(numbers, one_row(df, *[F.avg(col(c)) for c in numbers])))
     elif strategy == "median":
-        values.update({c: q[0] for c, q in quantiles(df, numbers, [0.5]).items()})
+        values.update({c: q[0] for c, q in quantiles(df, numbers, [0.5], sizes=[sizes[c] for c in numbers]).items()})
     by_mode = open_cols if strategy == "mode" else [c for c in open_cols if c not in numbers and fallback]
     for c in by_mode:
         found = mode_value(df, c)

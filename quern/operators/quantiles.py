@@ -77,11 +77,12 @@ def _wide(long: DataFrame, keys: list[str], cols: Sequence[str], probs: Sequence
     return long.groupBy(*keys).agg(*cells)
 
 
-def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], limit: int = GROUP_LIMIT) -> dict[str, list[float | None]]:
-    """Whole-table quantiles per column, on the driver."""
+def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], limit: int = GROUP_LIMIT, sizes: Sequence[int] | None = None) -> dict[str, list[float | None]]:
+    """Whole-table quantiles per column, on the driver; `sizes` spares counting the values again."""
     if not cols:
         return {}
-    sizes = one_row(df, *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(cols)])
+    if sizes is None:
+        sizes = one_row(df, *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(cols)])
     if max(sizes) <= limit:
         grid = F.array(*[F.lit(float(p)) for p in probs])
         row = one_row(df, *[F.percentile(col(c).cast("double"), grid).alias(f"q{i}") for i, c in enumerate(cols)])
