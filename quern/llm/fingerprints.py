@@ -103,13 +103,19 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     Next is by ascending key; rows that share a key share their next document, and of rows that share the next key
     the smallest text is taken. Texts are dealt by key once; starts of texts then travel to the key before.
     """
-    rows = docs.select(col(key).alias("k"), F.coalesce(col(text).cast("string"), F.lit("")).alias("t"))
-    need = rows.groupBy("k").agg((F.max(F.length("t")) / 2).cast("int").alias("need"))
-    follow = successors(rows, "k")
-    links = materialize(follow.join(need, follow["k"].eqNullSafe(need["k"])).select(follow["k"].alias("to"), F.col("next_k"), "need"), "links")
-    first = rows.select("k", "t", F.row_number().over(Window.partitionBy("k").orderBy("t")).alias("nth")).where("nth = 1")
-    starts = first.join(links, first["k"].eqNullSafe(links["next_k"])).select("to", F.expr("substring(t, 1, need)").alias("start"), lanes(F.col("t")).alias("next_lanes"))
-    return rows.join(starts, rows["k"].eqNullSafe(starts["to"]), "left").select(F.col("k").alias(key), F.col("t").alias(text), F.expr("substring(start, 1, cast(length(t) div 2 as int))").alias("next_text"), "next_lanes")
+    name = F.coalesce(F.concat(F.lit("="), col(key).cast("string")), F.lit("-"))  # a null key is a key, too
+    rows = docs.select(name.alias("at"), F.coalesce(col(text).cast("string"), F.lit("")).alias("t"))
+    follow = successors(docs.select(col(key).alias("k")), "k")
+    named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    need = rows.groupBy("at").agg((F.max(F.length("t")) / 2).cast("int").alias("need"))
+    links = materialize(follow.select("k", named("k").alias("at"), named("next_k").alias("next_at")).join(need, "at"), "links")
+    # the first row of each key, found by lag: a rank filter would cut the rows before the shuffle, which then
+    # could not be shared with the other side of the join
+    nth = rows.select("at", "t", F.lag(F.lit(1)).over(Window.partitionBy("at").orderBy("t")).alias("before"))
+    starts = nth.where("before is null").join(links.select(F.col("next_at").alias("at"), F.col("at").alias("to"), "need"), "at")
+    starts = starts.select(F.col("to").alias("at"), F.expr("substring(t, 1, need)").alias("start"), lanes(F.col("t")).alias("next_lanes"))
+    out = rows.join(starts, "at").join(links.select("at", "k"), "at")
+    return out.select(F.col("k").alias(key), F.col("t").alias(text), F.expr("substring(start, 1, cast(length(t) div 2 as int))").alias("next_text"), "next_lanes")
 
 
 def edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
