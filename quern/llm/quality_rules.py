@@ -23,6 +23,7 @@ MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 DIMS = range(5)
 PAIRS = list(combinations_with_replacement(DIMS, 2))
 SCALE = 10_000
+SALTS = 32  # parts of a hot group while rows meet its estimate
 # Least spread of each statistic on its log scale, so that a group without any variation rejects no small change.
 FLOORS = [0.15, 0.20, 0.20, 0.20, 0.20]
 _VECTOR = [f"_y{j}" for j in DIMS]
@@ -64,7 +65,7 @@ def measure(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         _repeat_words(F.col("_v")).cast("long"),
     ]
-    d = c.select(*kept, _GROUP, *[s.alias(m) for s, m in zip(stats, MEASURES, strict=True)], F.size("_lines").alias("_n_lines"), F.regexp_count("_text", F.lit(r"\p{Lu}")).alias("_capitals"))
+    d = c.select(*kept, _GROUP, *[s.alias(m) for s, m in zip(stats, MEASURES, strict=True)], F.size("_lines").alias("_n_lines"), F.regexp_count("_text", F.lit(r"\p{Lu}")).alias("_capitals"), F.rand(0).alias("_stop"))
     chars, count = F.greatest("word_chars", F.lit(1)), F.greatest("n_words", F.lit(1))
     vector = [
         F.log(chars / count),
@@ -73,7 +74,9 @@ def measure(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
         F.log(F.lit(0.25) + F.col("n_repeat_words") / count),
         F.log(F.lit(0.05) + F.col("_capitals") / chars),
     ]
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    # The last term is never true. Its random number keeps Spark from pushing filters on the verdict below these
+    # projections, where it would compute their arrays once more, inside lambdas.
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")) | (F.col("_stop") < 0)
     return d.select(*kept, *MEASURES, failed.alias("base_failed"), *[F.round(x * SCALE).cast("long").alias(y) for x, y in zip(vector, _VECTOR, strict=True)], _GROUP)
 
 
@@ -156,7 +159,9 @@ def _concentrate(rows: DataFrame, est: DataFrame, share: float) -> DataFrame:
     Rows are counted and summed per step of the log distance, so a hot group sends a few sums per task; the step
     that reaches the share counts whole.
     """
-    near = rows.join(est, "_pool").select("_pool", *_VECTOR, F.floor(F.log1p(F.greatest(distance(), F.lit(0.0))) * 32).alias("bin"))
+    salted = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    copies = est.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    near = salted.join(copies, ["_pool", "_salt"]).select("_pool", *_VECTOR, F.floor(F.log1p(F.greatest(distance(), F.lit(0.0))) * 32).alias("bin"))
     exact = lambda e: F.sum(e.cast("decimal(20,0)"))
     sums = near.groupBy("_pool", "bin").agg(F.count("*").alias("n"), *[exact(F.col(f"_y{j}")).alias(f"s{j}") for j in DIMS], *[exact(F.col(f"_y{i}") * F.col(f"_y{j}")).alias(f"p{i}{j}") for i, j in PAIRS])
     by = Window.partitionBy("_pool")
@@ -204,8 +209,6 @@ def filter_documents(docs: DataFrame, text: str = "text", lang: str = "lang", so
     """
     measured = measure(docs, text, lang, source)
     estimates = materialize(fit(materialize(measured.select("base_failed", *_VECTOR, _GROUP), "measures")), "mcd")
-    names = without(docs, [*MEASURES, "base_failed", *_VECTOR, _GROUP, "distance", "kept"]).columns
-    if len(names) < len(docs.columns):  # clashing columns are put aside under a struct and come back
-        boxed = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("_row"), col(text).alias("_t"), col(lang).alias("_l"), col(source).alias("_s"))
-        return judge(measure(boxed, "_t", "_l", "_s"), estimates).where("kept").select("_row.*")
-    return judge(measured, estimates).where("kept").select(*[col(c) for c in docs.columns])
+    boxed = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("_row"), col(text).alias("_t"), col(lang).alias("_l"), col(source).alias("_s"))
+    judged = judge(measure(boxed, "_t", "_l", "_s"), estimates)
+    return judged.where("kept").select("_row.*")
