@@ -22,6 +22,7 @@ from quern.llm.batches import lists, slices, without
 
 SLOTS = 1 << 15
 CHUNK = 4 << 20
+EVEN = 0.05
 UNKNOWN = "und"
 EDGE = 32
 
@@ -155,8 +156,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", script_share: f
     langs = sorted(counts["lang"].unique())
     n = np.zeros((len(langs), SLOTS + OTHER + 1))
     n[np.searchsorted(langs, counts["lang"]) if langs else [], counts["slot"]] = counts["n"]
-    grams, letters = n[:, :SLOTS] + 0.5, n[:, SLOTS:]
-    logp = np.log(grams / grams.sum(1, keepdims=True)).astype(np.float32)
+    grams, letters = n[:, :SLOTS], n[:, SLOTS:]
+    # a part of each distribution is even, so an unseen gram costs the same in a language with much text or little
+    logp = np.log((1 - EVEN) * grams / np.maximum(grams.sum(1, keepdims=True), 1) + EVEN / SLOTS).astype(np.float32)
     uses = (letters >= script_share * np.maximum(letters.sum(1, keepdims=True), 1)) & (letters > 0)
     return LanguageModel(langs, np.concatenate([logp, np.zeros((len(langs), 1), np.float32)], axis=1), uses.T.copy())
 

@@ -70,10 +70,17 @@ def _match(rows: DataFrame, table: DataFrame, how: str = "left") -> DataFrame:
     return rows.join(table, rows["source"].eqNullSafe(table["_s"]), how).drop("_s")
 
 
+def _order(key: str) -> Column:
+    """What orders documents within a source: rank, then key (null last), then size."""
+    return F.struct(F.col("rank").alias("r"), F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("size").alias("n"))
+
+
 def plan(sized: DataFrame, goal: DataFrame) -> DataFrame:
-    """Per source: whole copies, the rest, and where the sample ends. `sized` has source, size, rank (stored).
+    """Per source: whole copies, the rest, and where the sample ends. `sized` has source, size, rank, key (stored).
 
-    The end is found by two histograms of the rank (4,096 bins each per source, summed in the map tasks).
+    The end is found by two histograms of the rank (4,096 bins each per source, summed in the map tasks); the rows of
+    the last bin, about one in 2^24 of a source and rows of equal rank, are then taken in order while that brings the
+    sum nearer to the rest.
     """
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     base = goal.select(F.col("source").alias("_s"), "source_size", "target", whole.cast("long").alias("whole"))
@@ -82,23 +89,23 @@ def plan(sized: DataFrame, goal: DataFrame) -> DataFrame:
     one = _limit(rows, F.shiftright("rank", LEVELS[0]), ("bin1", "start1"))
     inside = _match(rows.drop("before"), one, "inner").where(F.shiftright("rank", LEVELS[0]) == F.col("bin1")).withColumnRenamed("start1", "before")
     two = _limit(inside, F.shiftright("rank", LEVELS[1]), ("bin2", "start2"))
-    return base.join(one.withColumnRenamed("_s", "_o"), F.col("_s").eqNullSafe(F.col("_o")), "left").drop("_o").join(two.withColumnRenamed("_s", "_o"), F.col("_s").eqNullSafe(F.col("_o")), "left").drop("_o")
-
-
-def choose(rows: DataFrame, ends: DataFrame, order: list[Column]) -> DataFrame:
-    """Adds source_size, target and `copies` to rows with source, size and rank.
-
-    Rows before the last bin are taken, rows after it are not; those inside it (about one in 2^24 of a source, and
-    rows of equal rank) are taken in order of rank, then `order`, while that brings the sum nearer to the rest.
-    """
+    edge = _match(inside.drop("before", "bin1"), two, "inner").where(F.shiftright("rank", LEVELS[1]) == F.col("bin2"))
+    upto = F.sum("size").over(Window.partitionBy("source").orderBy("order").rowsBetween(Window.unboundedPreceding, 0)) + F.col("start2")
+    taken = edge.withColumn("order", _order("key")).withColumn("upto", upto).where(2 * F.col("upto") - F.col("size") <= 2 * F.col("rest"))
+    last = taken.groupBy(F.col("source").alias("_s")).agg(F.max("order").alias("last"))
+    out = base
+    for more in (two.select("_s", "bin2"), last):
+        out = out.join(more.withColumnRenamed("_s", "_o"), F.col("_s").eqNullSafe(F.col("_o")), "left").drop("_o")
+    return out
+
+
+def choose(rows: DataFrame, ends: DataFrame, key: str) -> DataFrame:
+    """Adds source_size, target and `copies` to rows with source, size, rank and key."""
     held = _match(rows, ends)
-    inside = F.coalesce(F.shiftright("rank", LEVELS[1]) == F.col("bin2"), F.lit(False))
-    taken = F.coalesce(F.shiftright("rank", LEVELS[1]) < F.col("bin2"), F.lit(True))
-    clear = held.where(~inside).withColumn("_more", (taken & (F.col("rest") > 0)).cast("long"))
-    upto = F.sum("size").over(Window.partitionBy("source").orderBy("rank", *order).rowsBetween(Window.unboundedPreceding, 0)) + F.col("start2")
-    edge = held.where(inside).withColumn("_more", ((2 * upto - F.col("size") <= 2 * F.col("rest")) & (F.col("rest") > 0)).cast("long"))
-    out = clear.unionByName(edge)
-    return out.withColumn("copies", F.col("whole") + F.col("_more")).drop("whole", "rest", "bin1", "start1", "bin2", "start2", "_more")
+    bin2 = F.shiftright("rank", LEVELS[1])
+    sampled = F.col("bin2").isNull() | (bin2 < F.col("bin2")) | ((bin2 == F.col("bin2")) & F.coalesce(_order(key) <= F.col("last"), F.lit(False)))
+    more = (sampled & (F.col("rest") > 0)).cast("long")
+    return held.withColumn("copies", F.col("whole") + more).drop("whole", "rest", "bin2", "last")
 
 
 def relative_odds(size: Column) -> Column:
@@ -110,18 +117,18 @@ def mix(docs: DataFrame, size: Column, key: str = "doc_id", source: str = "sourc
     """Adds `size`, `source_size`, `target`, `copies` to every row; `copies` is how often the mix repeats it.
 
     Null sources are a source of their own, null sizes count as 0, null keys share one random number (such rows of
-    one source are taken or left in order of size). Repeated rows are documents of their own. Input columns with
-    the new names are replaced.
+    one source are taken or left in order of size). Rows that equal the last taken one in key and size are taken with
+    it. Input columns with the new names are replaced.
     """
     new = ["size", "source_size", "target", "copies"]
     kept = [c for c in without(docs, [*new, "_key", "rank", "whole", "rest"]).columns if c.lower() != "source"]
     n = F.coalesce(size.cast("long"), F.lit(0).cast("long"))
     rows = docs.select(*[col(c) for c in kept], col(source).cast("string").alias("source"), n.alias("size"), col(key).alias("_key"))
     rows = rows.withColumn("rank", rank_key(F.col("_key"), relative_odds(F.col("size")), seed))
-    sized = materialize(rows.select("source", "size", "rank"), "sizes")
+    sized = materialize(rows.select("source", "size", "rank", F.col("_key").alias("key")), "sizes")
     goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), list(weights), factor, most)
     ends = materialize(plan(sized, goal), "mix")
-    return choose(rows, ends, [F.col("_key").asc_nulls_last(), F.col("size")]).drop("_key", "rank")
+    return choose(rows, ends, "_key").drop("_key", "rank")
 
 
 def repeat(mixed: DataFrame) -> DataFrame:

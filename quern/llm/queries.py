@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.core import materialize, read_table
-from quern.llm import fingerprints, language, mixing, pieces, quality_rules, token_counts
+from quern.llm import chat, fingerprints, language, mixing, pieces, quality_rules, simhash, substrings, token_counts, url_filter
 from quern.llm.batches import words
 from quern.llm.registry import QUERIES, SQL, query  # noqa: F401
 
@@ -103,3 +103,48 @@ def op9_multiset_hash(spark: SparkSession, folder: str) -> DataFrame:
     both = fingerprints.fingerprint(both, "edited_text", "edited_fingerprint")
     a, b, c = F.col("fingerprint"), F.col("edited_fingerprint"), F.col("next_lanes")
     return both.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), fingerprints.as_text(a).alias("fingerprint"), fingerprints.as_text(b).alias("edited_fingerprint"), fingerprints.likeness(a, b).alias("near_edited"), fingerprints.likeness(a, c).alias("near_next"))
+
+
+CHAT_SQL = """
+with c as (
+  select conv_id, list({r: coalesce('=' || role, '-'), t: coalesce('=' || text, '-')} order by turn nulls first, role nulls first, text) as l,
+         string_agg('<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' order by turn nulls first, role nulls first, text) as rendered
+  from conversations group by conv_id),
+w as (select l, min(conv_id) as conv_id, count(*) as copies, min_by(rendered, conv_id) as rendered from c group by l),
+p as (select distinct l[1:k] as l from (select l, unnest(range(1, len(l))) as k from w))
+select conv_id, len(l)::BIGINT as n_turns, copies, rendered from w anti join p using (l)
+"""
+
+
+@query("op2_snapshot_collapse", CHAT_SQL)
+def op2_snapshot_collapse(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations that no longer logged one extends, rendered."""
+    return chat.collapse(read_table(spark, folder, "conversations", "conv_id", "turn", "role", "text"))
+
+
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+@query("op7_path_templates")
+def op7_path_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every page by rule or by learned path template; a page is bad if its label says low quality or toxic."""
+    labels = read_table(spark, folder, "labels", "doc_id", "quality", "toxic")
+    bad = (F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)
+    pages = read_table(spark, folder, "pages", "page_id", "url")
+    out = url_filter.judge(pages, labels.select(F.col("doc_id").alias("page_id"), bad.cast("int").alias("bad")), URL_RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
+@query("op10_simhash_tiles")
+def op10_simhash_tiles(spark: SparkSession, folder: str) -> DataFrame:
+    """SimHash of every document and the component it belongs to at two differing bits or fewer."""
+    out = simhash.components(read_table(spark, folder, "documents", "doc_id", "text"))
+    return out.select(F.col("k").alias("doc_id"), F.lower(F.lpad(F.hex(F.get("lanes", 0)), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+@query("op8_window_doubling")
+def op8_window_doubling(spark: SparkSession, folder: str) -> DataFrame:
+    """What stays of every document when repeated windows of 20 words go."""
+    docs = read_table(spark, folder, "documents", "doc_id", "text")
+    out = substrings.remove_repeats(docs, size=20, n_words="n_words", n_removed="n_removed")
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.array_join(words(F.col("text")), " "), 256).alias("kept_sha256"))
