@@ -96,6 +96,8 @@ class Words:
         best, span, need = np.arange(n), 1, size - BASE + 1
         while span < need:
             step = min(span, need - span)
+            if step >= n:  # fewer words than that hold no window
+                break
             other = best[step:]
             better = h[other] < h[best[: n - step]]
             best = best.copy()
