@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import pairwise
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +25,16 @@ from quern.core import col
 from quern.llm.batches import lists, slices, without
 
 CHUNK = 4 << 20
-KEEP = 400_000  # pre-tokens remembered in a worker; only speed depends on it
+KEEP = 1_000_000  # pre-tokens, and stretches, remembered in a worker; only speed depends on it
+SHORT = 64  # longer ones are forgotten after their block of texts
 
 # Fixed value: the published pre-token pattern of this vocabulary.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 SPACES = regex.compile(r"\s{2,}")
+BLANKS = frozenset(regex.findall(r"\s", "".join(map(chr, range(0xD800)))))
+# Blanks and what follows up to the next blank, or up to a mark after letters and digits: no pre-token reaches over
+# the end of such a stretch.
+STRETCH = re.compile("[{0}]*[^\\W_]++(?![^{0},.;:!?)])|[{0}]*[^{0}]+|[{0}]+".format(re.escape("".join(sorted(BLANKS)))))
 CONTRACTION = regex.compile(r"'(?:re|ve|ll)")
 
 
@@ -55,13 +61,25 @@ class PrefixCounter:
         of = byte_letters()
         raw = lambda token: bytes(of[c] for c in token)
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
-        self.rank = {(raw(a), raw(b)): i for i, (a, b) in enumerate(pairs)}
-        self.tokens = sorted({raw(t) for t in spec["model"]["vocab"]})
+        self.tokens = sorted({bytes((b,)) for b in of.values()} | {raw(a + b) for a, b in pairs})
         self.number = {t: i for i, t in enumerate(self.tokens)}
         self.longest = max(map(len, self.tokens), default=1)
+        # merge that makes each token (its rank, left and right part); single bytes have none
+        self.made, self.left, self.right = (np.full(len(self.tokens), -1, np.int64) for _ in range(3))
+        for i, (x, y) in enumerate(pairs):
+            t = self.number[raw(x + y)]
+            if self.made[t] < 0:
+                self.made[t], self.left[t], self.right[t] = i, self.number[raw(x)], self.number[raw(y)]
+        keys = np.array([self.number[raw(x)] * len(self.tokens) + self.number[raw(y)] for x, y in pairs], np.int64)
+        self.merge_rank = np.argsort(keys, kind="stable")
+        self.merge_keys = keys[self.merge_rank]
+        self.rank = {k: i for i, k in enumerate(keys.tolist())}
+        self.tree = list(zip(self.made.tolist(), self.left.tolist(), self.right.tolist(), strict=True))
         self.special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.split = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.known: dict[str, bytes] = {}
+        self.stretches: dict[str, bytes] = {}
+        self.passing: list[str] = []
         self.apart: dict[int, bool] = {}
         rng = np.random.default_rng(7)
         self.letter = rng.integers(1, 1 << 63, 256, np.uint64)
@@ -99,17 +117,45 @@ class PrefixCounter:
         return np.where(self.hash[one] == h, one, np.where(self.hash[two] == h, two, -1))
 
     def stay_apart(self, left: int, right: int) -> bool:
-        """Whether the encoder, given only these two tokens' bytes, returns just these two tokens."""
-        rank, never, pair = self.rank, 1 << 30, (self.tokens[left], self.tokens[right])
-        parts = [bytes((b,)) for b in pair[0] + pair[1]]
-        while tuple(parts) != pair:
-            ranks = [rank.get(p, never) for p in pairwise(parts)]
-            first = min(ranks, default=never)
-            if first == never:
+        """Whether the encoder, given only these two tokens' bytes, returns just these two tokens.
+
+        Merges happen in the order of their ranks. Undone from the last one on, they show every pair of neighbours
+        that ever met at the border; the tokens grow together if such a pair has a merge due before both are used up.
+        """
+        never = 1 << 60
+        left_until = right_until = never
+        while True:
+            rank = self.rank.get(left * len(self.tokens) + right, never)
+            if rank < left_until and rank <= right_until:
                 return False
-            at = ranks.index(first)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return pair not in rank
+            (left_made, _, left_end), (right_made, right_start, _) = self.tree[left], self.tree[right]
+            if left_made < 0 and right_made < 0:
+                return True
+            if right_made >= left_made:
+                right, right_until = right_start, right_made
+            else:
+                left, left_until = left_end, left_made
+
+    def all_apart(self, key: np.ndarray) -> np.ndarray:
+        """`stay_apart` of many pairs, one undone merge of each at a time."""
+        width, never = len(self.tokens), 1 << 60
+        out = np.ones(len(key), bool)
+        at = np.arange(len(key))
+        left, right = np.divmod(key, width)
+        left_until, right_until = np.full(len(key), never), np.full(len(key), never)
+        while len(at):
+            now = left * width + right
+            i = np.minimum(np.searchsorted(self.merge_keys, now), len(self.merge_keys) - 1)
+            rank = np.where(self.merge_keys[i] == now, self.merge_rank[i], never) if len(self.merge_keys) else np.full(len(at), never)
+            grown = (rank < left_until) & (rank <= right_until)
+            out[at[grown]] = False
+            left_made, right_made = self.made[left], self.made[right]
+            go = ~grown & ((left_made >= 0) | (right_made >= 0))
+            later = right_made >= left_made
+            right_until, left_until = np.where(later, right_made, right_until)[go], np.where(later, left_until, left_made)[go]
+            left, right = np.where(later, left, self.right[left])[go], np.where(later, self.left[right], right)[go]
+            at = at[go]
+        return out
 
     def pair(self, key: int) -> bool:
         found = self.apart.get(key)
@@ -126,8 +172,7 @@ class PrefixCounter:
         out = self.pair_apart[at]
         if len(new):
             distinct, back = np.unique(key[new], return_inverse=True)
-            answers = np.fromiter(map(self.pair, distinct.tolist()), bool, len(distinct))
-            out[new] = answers[back]
+            out[new] = self.all_apart(distinct)[back]
             self.pair_key[at[new]] = key[new]  # of keys that share a slot numpy keeps the last one in both lines
             self.pair_apart[at[new]] = out[new]
         return out
@@ -139,6 +184,8 @@ class PrefixCounter:
         short, data = [], []
         for w in pretokens:
             b = w.encode("utf-8", "surrogatepass")
+            if len(w) > SHORT:
+                self.passing.append(w)
             if len(b) > self.WIDE:
                 self.known[w] = self.word(w)
             else:
@@ -195,24 +242,47 @@ class PrefixCounter:
     def counts(self, pretoken: str) -> bytes:
         return self.known.get(pretoken) or self.word(pretoken)
 
-    def plain(self, text: str, cut: list[str]) -> np.ndarray:
-        """Counts of the prefixes of length 0, 1, ... of a text without special tokens, given its pre-tokens."""
+    @staticmethod
+    def add_up(text: str, cut: list[str], table: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of the prefixes of length 0, 1, ... of a text from those of its parts, and the ends of the parts."""
         out = np.zeros(len(text) + 1, np.int64)
-        if not cut:
-            return out
-        inner = np.frombuffer(b"".join(map(self.known.__getitem__, cut)), np.uint32)
         sizes = np.fromiter(map(len, cut), np.int64, len(cut))
         ends = np.cumsum(sizes)
-        total = inner[ends - 1].astype(np.int64)
-        out[1:] = inner + np.repeat(np.cumsum(total) - total, sizes)
+        if cut:
+            inner = np.frombuffer(b"".join(map(table.__getitem__, cut)), np.uint32)
+            total = inner[ends - 1].astype(np.int64)
+            out[1:] = inner + np.repeat(np.cumsum(total) - total, sizes)
+        return out, ends
+
+    def learn_stretches(self, stretches: list[str]) -> None:
+        """Find the counts of stretches that are not known, all in one pass over them end to end."""
+        if len(self.stretches) + len(stretches) > KEEP:
+            self.stretches.clear()
+        self.passing += [s for s in stretches if len(s) > SHORT]
+        words = [s for s in stretches if s.isalpha() or s[0] == " " and s[1:].isalpha()]
+        others = list(set(stretches).difference(words))
+        cuts = [PATTERN.findall(s) for s in others]
+        words += [s for s, parts in zip(others, cuts, strict=True) if len(parts) == 1]
+        distinct = set(chain(words, chain.from_iterable(cuts)))
+        new = [w for w in distinct if w not in self.known]
+        self.learn(list(distinct) if len(self.known) + len(new) > KEEP else new)
+        self.stretches.update((s, self.known[s]) for s in words)
+        several = [(s, parts) for s, parts in zip(others, cuts, strict=True) if len(parts) > 1 or s[0] == "'"]
+        mixed, cut = [s for s, _ in several], [w for _, parts in several for w in parts]
+        text = "".join(mixed)
+        out, ends = self.add_up(text, cut, self.known)
         for m in SPACES.finditer(text):  # a prefix that ends inside a run has the run so far as one pre-token
             out[m.start() + 1 : m.end() + 1] = out[m.start()] + np.frombuffer(self.counts(m.group()), np.uint32)
         for m in CONTRACTION.finditer(text) if "'" in text else ():
             at = m.start()
             k = int(np.searchsorted(ends, at, side="right"))
-            if cut[k] == m.group() and ends[k] - sizes[k] == at:
+            if cut[k] == m.group() and ends[k] - len(cut[k]) == at:
                 out[at + 2] = out[at] + 2  # the quote and the letter, not yet a contraction
-        return out
+        sizes = np.fromiter(map(len, mixed), np.int64, len(mixed))
+        stops = np.cumsum(sizes)
+        flat = (out[1:] - np.repeat(out[stops - sizes], sizes)).astype(np.uint32).tobytes()
+        places = zip((4 * (stops - sizes)).tolist(), (4 * stops).tolist(), strict=True)
+        self.stretches.update((s, flat[i:j]) for s, (i, j) in zip(mixed, places, strict=True))
 
     def prefixes(self, texts: list[str]) -> list[np.ndarray]:
         """Counts of the prefixes of length 0, 1, ... of each text; a special string is one token once complete."""
@@ -223,20 +293,24 @@ class PrefixCounter:
                 plan.append((text[at : m.end() - 1], m.start() - at))  # before its last character it is ordinary text
                 at = m.end()
             plan.append((text[at:], -1))
-            plans.append([(t, closes, PATTERN.findall(t)) for t, closes in plan])
-        distinct = {w for plan in plans for _, _, cut in plan for w in cut}
-        new = [w for w in distinct if w not in self.known]
-        self.learn(list(distinct) if len(self.known) + len(new) > KEEP else new)
+            plans.append([(t, closes, STRETCH.findall(t)) for t, closes in plan])
+        distinct = set(chain.from_iterable(cut for plan in plans for _, _, cut in plan))
+        new = [s for s in distinct if s not in self.stretches]
+        self.learn_stretches(list(distinct) if len(self.stretches) + len(new) > KEEP else new)
         out = []
         for plan in plans:
             parts, base = [np.zeros(1, np.int64)], 0
             for text, closes, cut in plan:
-                counts = self.plain(text, cut)
+                counts = self.add_up(text, cut, self.stretches)[0]
                 parts.append(base + counts[1:])
                 if closes >= 0:
                     base += int(counts[closes]) + 1
                     parts.append(np.array([base]))
             out.append(np.concatenate(parts))
+        for s in self.passing:
+            self.known.pop(s, None)
+            self.stretches.pop(s, None)
+        self.passing.clear()
         return out
 
 
