@@ -1,14 +1,15 @@
 """SentencePiece encoding through a table of distinct marked words.
 
 No piece of the model crosses from a word into the next word's whitespace marker, so each marked word is
-segmented on its own. A block of texts is cut into marked words, each distinct one is segmented once, and the
-ids are joined back by position.
+segmented on its own. A block of texts is cut into marked words, each distinct one that the worker's table lacks
+is segmented once, and the ids are joined back by position.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -21,6 +22,8 @@ from quern.core import col
 from quern.llm.batches import lists, slices, without
 
 CHUNK = 4 << 20
+KEEP = 1_000_000  # words remembered in a worker; only speed depends on it
+SHORT = 64  # longer ones are forgotten after their block of texts
 MARK = "▁"
 MARKED = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
@@ -37,6 +40,12 @@ def load(path: str) -> sentencepiece.SentencePieceProcessor:
     return sp
 
 
+@functools.lru_cache(maxsize=4)
+def words_of(path: str) -> dict[str, bytes]:
+    """The worker's table of marked words and their ids under a model file."""
+    return {}
+
+
 def segment(sp: sentencepiece.SentencePieceProcessor, marked: list[str]) -> list[list[int]]:
     """Ids of each marked word. The library adds the first marker itself, so it is taken off before."""
     found = sp.encode([m.replace(MARK, " ")[1:] for m in marked], num_threads=1)
@@ -44,18 +53,28 @@ def segment(sp: sentencepiece.SentencePieceProcessor, marked: list[str]) -> list
     return [[alone] if m == MARK else ids for m, ids in zip(marked, found, strict=True)]
 
 
-def encode_texts(sp: sentencepiece.SentencePieceProcessor, texts: list[str | None]) -> list[list[int]]:
+def encode_texts(sp: sentencepiece.SentencePieceProcessor, texts: list[str | None], table: dict[str, bytes] | None = None) -> list[list[int]]:
+    """Ids of each text; `table` holds the ids of words met before and takes up the new ones."""
+    table = {} if table is None else table
     cut = [MARKED.findall(sp.normalize(t)) if t else [] for t in texts]
-    distinct = list(dict.fromkeys(chain.from_iterable(cut)))
-    table = dict(zip(distinct, segment(sp, distinct), strict=True))
-    return [list(chain.from_iterable(map(table.__getitem__, words))) for words in cut]
+    distinct = set(chain.from_iterable(cut))
+    new = [w for w in distinct if w not in table]
+    if len(table) + len(new) > KEEP:
+        table.clear()
+        new = list(distinct)
+    table.update((w, array("i", ids).tobytes()) for w, ids in zip(new, segment(sp, new), strict=True))
+    found = [array("i", b"".join(map(table.__getitem__, words))).tolist() for words in cut]
+    for w in new:
+        if len(w) > SHORT:
+            del table[w]
+    return found
 
 
 def _encode(batches: Iterable[pa.RecordBatch], path: str, decode: bool) -> Iterator[pa.RecordBatch]:
-    sp = load(path)
+    sp, table = load(path), words_of(path)
     for whole in batches:
         for batch in slices(whole, "_text", CHUNK):
-            ids = encode_texts(sp, batch.column("_text").to_pylist())
+            ids = encode_texts(sp, batch.column("_text").to_pylist(), table)
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             made = {"ids": lists(np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())), sizes)}
             if decode:
@@ -68,7 +87,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", decode: bool = False
     """Adds `ids`, the piece ids of every whole text without begin or end, and with `decode` the `decoded` text.
 
     The ids equal the library's for the whole text. A null or empty text has no ids and decodes to an empty text.
-    Each task holds one block of texts and its table of words. Input columns with the new names are replaced.
+    Each task holds one block of texts and a bounded table of words. Input columns with the new names are replaced.
     """
     kept = without(docs, ["ids", "_text", *(["decoded"] if decode else [])])
     rows = docs.select(*[col(c) for c in kept.columns], col(text).cast("string").alias("_text"))
