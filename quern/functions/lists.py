@@ -5,22 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Items of a list literal: quoted text with escapes, or a bare run up to the next comma.
+ITEM = r"""(?s)'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^,'"\s][^,'"]*+"""
 
 
 def _cleaned(items: Column) -> Column:
     return F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")
 
 
+def _unquoted(item: Column) -> Column:
+    """Text between the quotes with its escapes taken off; a bare item as it is."""
+    inner = F.regexp_replace(F.substring(item, F.lit(2), F.length(item) - 2), r"(?s)\\(.)", "$1")
+    return F.when(item.rlike("^['\"]"), inner).otherwise(item)
+
+
 def parse_list(c: Column) -> Column:
     """Items of a list literal, else of a comma list, else the text itself; blank gives none."""
     text = F.trim(c)
     literal = text.rlike(r"(?s)^\[.*\]$")
     inside = F.regexp_replace(text, r"(?s)^\[|\]$", "")
-    quoted = F.transform(F.regexp_extract_all(inside, F.lit(r"('[^']*'|\"[^\"]*\")"), F.lit(1)), lambda x: F.substring(x, F.lit(2), F.length(x) - 2))
-    bare = F.split(inside, ",")
     items = (
         F.when(text.isNull() | (text == ""), F.array().cast("array<string>"))
-        .when(literal, F.when(inside.rlike("['\"]"), quoted).otherwise(bare))
+        .when(literal, F.transform(F.regexp_extract_all(inside, F.lit(ITEM), F.lit(0)), _unquoted))
         .when(F.contains(text, F.lit(",")), F.split(text, ","))
         .otherwise(F.array(text))
     )

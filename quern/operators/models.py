@@ -52,36 +52,36 @@ def stratified_split(df: DataFrame, key: str, target: str, test_size: float = 0.
 # ---- estimators -----------------------------------------------------------------------
 
 CLASSIFIERS = {
-    "LogisticRegression": lambda p: C.LogisticRegression(maxIter=p.get("max_iter", 500), regParam=p.get("reg_param", 0.0)),
+    "LogisticRegression": lambda p: C.LogisticRegression(maxIter=p.get("max_iter", 500), regParam=p.get("reg_param", 0.0), standardization=False),
     "DecisionTree": lambda p: C.DecisionTreeClassifier(maxDepth=p.get("max_depth", 10), minInstancesPerNode=p.get("min_samples_leaf", 1), seed=p.get("seed", 42)),
     "RandomForest": lambda p: C.RandomForestClassifier(numTrees=p.get("n_estimators", 100), maxDepth=p.get("max_depth", 10), minInstancesPerNode=p.get("min_samples_leaf", 1), seed=p.get("seed", 42)),
     "GradientBoosting": lambda p: C.GBTClassifier(maxIter=p.get("n_estimators", 100), maxDepth=p.get("max_depth", 3), stepSize=p.get("learning_rate", 0.1), seed=p.get("seed", 42)),
     "XGBoost": lambda p: C.GBTClassifier(maxIter=p.get("n_estimators", 100), maxDepth=p.get("max_depth", 6), stepSize=p.get("learning_rate", 0.1), subsamplingRate=p.get("subsample", 0.8), seed=p.get("seed", 42)),
-    "SVM": lambda p: C.LinearSVC(regParam=p.get("reg_param", 0.01), maxIter=p.get("max_iter", 100)),
+    "SVM": lambda p: C.LinearSVC(regParam=p.get("reg_param", 0.01), maxIter=p.get("max_iter", 100), standardization=False),
     "NaiveBayes": lambda p: C.NaiveBayes(modelType="gaussian"),
 }
 REGRESSORS = {
     "LinearRegression": lambda p: R.LinearRegression(solver="normal"),
-    "Ridge": lambda p: R.LinearRegression(regParam=p.get("alpha", 1.0), elasticNetParam=0.0),
-    "Lasso": lambda p: R.LinearRegression(regParam=p.get("alpha", 1.0), elasticNetParam=1.0),
-    "ElasticNet": lambda p: R.LinearRegression(regParam=p.get("alpha", 1.0), elasticNetParam=p.get("l1_ratio", 0.5)),
+    "Ridge": lambda p: R.LinearRegression(regParam=p.get("reg_param", 0.0), elasticNetParam=0.0, standardization=False),
+    "Lasso": lambda p: R.LinearRegression(regParam=p.get("reg_param", 0.0), elasticNetParam=1.0, standardization=False),
+    "ElasticNet": lambda p: R.LinearRegression(regParam=p.get("reg_param", 0.0), elasticNetParam=p.get("elastic_net", 0.5), standardization=False),
     "DecisionTreeRegressor": lambda p: R.DecisionTreeRegressor(maxDepth=p.get("max_depth", 10), minInstancesPerNode=p.get("min_samples_leaf", 1), seed=p.get("seed", 42)),
     "RandomForestRegressor": lambda p: R.RandomForestRegressor(numTrees=p.get("n_estimators", 100), maxDepth=p.get("max_depth", 10), seed=p.get("seed", 42)),
     "GradientBoostingRegressor": lambda p: R.GBTRegressor(maxIter=p.get("n_estimators", 100), maxDepth=p.get("max_depth", 3), stepSize=p.get("learning_rate", 0.1), seed=p.get("seed", 42)),
 }
 # Search grids.
 GRIDS = {
-    "LogisticRegression": {"regParam": [0.01, 0.1, 1.0, 10.0]},
+    "LogisticRegression": {"C": [0.01, 0.1, 1.0, 10.0]},
     "DecisionTree": {"maxDepth": [5, 10, 20], "minInstancesPerNode": [1, 2, 4]},
     "RandomForest": {"numTrees": [50, 100, 200], "maxDepth": [5, 10, 20], "minInstancesPerNode": [1, 2, 4]},
     "GradientBoosting": {"stepSize": [0.01, 0.05, 0.1, 0.2], "maxIter": [50, 100, 200], "maxDepth": [3, 5, 7]},
-    "SVM": {"regParam": [0.1, 1.0, 10.0]},
+    "SVM": {"C": [0.1, 1.0, 10.0]},
     "RandomForestRegressor": {"numTrees": [50, 100, 200], "maxDepth": [5, 10, 20]},
     "GradientBoostingRegressor": {"stepSize": [0.01, 0.05, 0.1], "maxIter": [50, 100, 200], "maxDepth": [3, 5, 7]},
     "DecisionTreeRegressor": {"maxDepth": [5, 10, 20], "minInstancesPerNode": [1, 2, 4]},
-    "Ridge": {"regParam": [0.01, 0.1, 1.0, 10.0, 100.0]},
-    "Lasso": {"regParam": [0.001, 0.01, 0.1, 1.0, 10.0]},
-    "ElasticNet": {"regParam": [0.01, 0.1, 1.0, 10.0], "elasticNetParam": [0.1, 0.3, 0.5, 0.7, 0.9]},
+    "Ridge": {"alpha": [0.01, 0.1, 1.0, 10.0, 100.0]},
+    "Lasso": {"alpha": [0.001, 0.01, 0.1, 1.0, 10.0]},
+    "ElasticNet": {"alpha": [0.01, 0.1, 1.0, 10.0], "l1_ratio": [0.1, 0.3, 0.5, 0.7, 0.9]},
 }
 
 
@@ -93,6 +93,37 @@ def task_of(algorithm: str) -> str:
     raise ValueError(f"unsupported algorithm '{algorithm}'")
 
 
+PENALISED = {"LogisticRegression": "C", "SVM": "C", "Ridge": "alpha", "Lasso": "alpha", "ElasticNet": "alpha"}
+
+
+def penalties(df: DataFrame, label: str, algorithm: str, choices: Sequence[dict]) -> list[dict]:
+    """Parameters with `C`, `alpha` and `l1_ratio` (default 1, 1, 0.5) as Spark's `reg_param` and `elastic_net`.
+
+    Spark penalises the mean loss, so an inverse strength C over the sum of losses is 1 / (C n). Linear models work on
+    the label over its deviation: the absolute part of a penalty carries over, the squared part grows by the deviation,
+    and ridge states its own against the sum of squares. A given `reg_param` is left as it is.
+    """
+    kind = PENALISED.get(algorithm)
+    if kind is None or all("reg_param" in p for p in choices):
+        return [dict(p) for p in choices]
+    size = one_row(df.where(col(label).isNotNull()), F.count("*").alias("n"), F.stddev_pop(col(label).cast("double")).alias("spread"))
+    n, spread = max(size["n"], 1), size["spread"] or 1.0
+
+    def one(p: dict) -> dict:
+        rest = {k: v for k, v in p.items() if k not in ("C", "alpha", "l1_ratio")}
+        if "reg_param" in p:
+            return rest
+        if kind == "C":
+            return rest | {"reg_param": 1.0 / (p.get("C", 1.0) * n)}
+        alpha = p.get("alpha", 1.0)
+        share = {"Ridge": 0.0, "Lasso": 1.0}.get(algorithm, p.get("l1_ratio", 0.5))
+        absolute, squared = alpha * share, alpha * (1 - share) * spread / (n if algorithm == "Ridge" else 1)
+        total = absolute + squared
+        return rest | {"reg_param": total} | ({"elastic_net": absolute / total if total else 0.0} if algorithm == "ElasticNet" else {})
+
+    return [one(p) for p in choices]
+
+
 def estimator(algorithm: str, label: str, params: dict | None = None):
     known = CLASSIFIERS if task_of(algorithm) == "classification" else REGRESSORS
     made = known[algorithm](params or {})
@@ -104,7 +135,8 @@ def assembler(features: Sequence[str]) -> VectorAssembler:
 
 
 def train(df: DataFrame, features: Sequence[str], label: str, algorithm: str, params: dict | None = None) -> PipelineModel:
-    return Pipeline(stages=[assembler(features), estimator(algorithm, label, params)]).fit(df)
+    (native,) = penalties(df, label, algorithm, [params or {}])
+    return Pipeline(stages=[assembler(features), estimator(algorithm, label, native)]).fit(df)
 
 
 def batch_predict(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -189,7 +221,10 @@ def tune(df: DataFrame, key: str, features: Sequence[str], label: str, algorithm
     combos = [dict(zip(choices, values)) for values in product(*choices.values())]
     if sample and sample < len(combos):
         combos = random.Random(seed).sample(combos, sample)
-    maps = [ParamGridBuilder().baseOn({base.getParam(k): v for k, v in c.items()}).build()[0] for c in combos]
+    penalised = any(k in ("C", "alpha", "l1_ratio") for k in choices)
+    native = penalties(df, label, algorithm, combos) if penalised else combos
+    named = {"reg_param": "regParam", "elastic_net": "elasticNetParam"}
+    maps = [ParamGridBuilder().baseOn({base.getParam(named.get(k, k)): v for k, v in c.items()}).build()[0] for c in native]
     if task_of(algorithm) == "classification":
         judge = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
     else:
@@ -305,7 +340,7 @@ RUN_SCHEMA = (
 )
 # Metrics where less is better, and the deciding metric per task.
 LOWER_BETTER = ["mae", "mse", "rmse", "training_time_seconds"]
-PRIMARY = {"classification": "f1_score", "regression": "r2_score"}
+PRIMARY = {"classification": "f1_score", "regression": "r2"}
 
 
 def append_runs(runs: DataFrame, path: str) -> None:

@@ -247,3 +247,25 @@ def test_stream_restart_and_late_rows(spark):
     run()
     got = {r["window_start"].hour: r["mean"] for r in spark.read.parquet(out).collect()}
     assert got == {0: 2.0, 5: 9.0}
+
+
+def test_penalties_match_their_definitions(spark):
+    """Ridge against the normal equations; lasso and elastic net against their optimality conditions."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 2)) * [1.0, 5.0] + [2.0, -1.0]
+    y = x @ [3.0, -0.7] + rng.normal(size=60) * 4
+    df = spark.createDataFrame([(*map(float, a), float(b)) for a, b in zip(x, y)], "a double, b double, y double")
+    cx, cy = x - x.mean(0), y - y.mean()
+    fit = lambda name, p: models.train(df, ["a", "b"], "y", name, p).stages[-1].coefficients.toArray()
+    assert fit("Ridge", {"alpha": 100.0}) == pytest.approx(np.linalg.solve(cx.T @ cx + 100 * np.eye(2), cx.T @ cy), rel=1e-6)
+    for name, p, share in (("Lasso", {"alpha": 0.5}, 1.0), ("ElasticNet", {"alpha": 0.5, "l1_ratio": 0.3}, 0.3)):
+        w = fit(name, p)
+        slope = cx.T @ (cy - cx @ w) / 60
+        assert slope == pytest.approx(0.5 * share * np.sign(w) + 0.5 * (1 - share) * w, abs=1e-3)
+
+
+def test_best_regression_run_is_found(spark):
+    runs = spark.createDataFrame([("t1", "m1", "d", "regression", 1.0, {}, {"r2": 0.4}), ("t2", "m2", "d", "regression", 1.0, {}, {"r2": 0.9})], models.RUN_SCHEMA)
+    best = models.best_run(runs, "regression").collect()
+    assert [(r["model_name"], r["best_value"]) for r in best] == [("m2", 0.9)]
+    assert [r["model_name"] for r in models.comparison_table(runs, ["r2"], "regression").collect()] == ["m2", "m1"]

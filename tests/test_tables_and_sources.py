@@ -179,3 +179,9 @@ def test_names_numbers_lists(spark):
     raw = [("['cs.LG', \"stat.ML\"]",), ("a, b ,,c",), ("solo",), (" ",), (None,), ("[1, 2]",)]
     got = spark.createDataFrame(raw, "t string").select(lists.parse_list(F.col("t")).alias("l")).collect()
     assert [r["l"] for r in got] == [["cs.LG", "stat.ML"], ["a", "b", "c"], ["solo"], [], [], ["1", "2"]]
+
+
+def test_list_literals_with_mixed_and_escaped_items(spark):
+    raw = [("['a', 3, None]",), (r"['a\'b', 'c']",), ("[\"x, y\", 'it']",), ("[]",), ("['open, b]",)]
+    got = spark.createDataFrame(raw, "t string").select(lists.parse_list(F.col("t")).alias("l")).collect()
+    assert [r["l"] for r in got] == [["a", "3", "None"], ["a'b", "c"], ["x, y", "it"], [], ["open", "b"]]
