@@ -4,11 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quern.operators.shape import squeeze, strip_ends
 
@@ -202,30 +199,29 @@ def sentences(c: Column) -> Column:
 # ---- word error rate ------------------------------------------------------------------
 
 
-def _word_distance(ref: list[str], hyp: list[str]) -> int:
-    """Edit distance on words, one vectorised row of the table at a time."""
-    codes: dict[str, int] = {}
-    h = np.array([codes.setdefault(w, len(codes)) for w in hyp], dtype=np.int64)
-    steps = np.arange(len(hyp) + 1, dtype=np.int64)
-    row = steps.copy()
-    for i, w in enumerate(ref, start=1):
-        best = np.empty_like(row)
-        best[0] = i
-        np.minimum(row[:-1] + (h != codes.get(w, -1)), row[1:] + 1, out=best[1:])
-        # An insertion costs one per step to the right of the cheapest start.
-        row = np.minimum.accumulate(best - steps) + steps
-    return int(row[-1])
+# First character that stands for a word: beyond the surrogates, so each takes one code point.
+FIRST = 0x10000
 
 
-@F.pandas_udf(T.DoubleType())
-def _wer(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    out = []
-    for r, h in zip(ref, hyp):
-        a, b = (r or "").lower().split(), (h or "").lower().split()
-        out.append((1.0 if b else 0.0) if not a else _word_distance(a, b) / len(a))
-    return pd.Series(out, dtype="float64")
+def _as_characters(tokens: Column, known: Column) -> Column:
+    """One character per word, by the word's place among the known ones."""
+    codes = F.transform(tokens, lambda w: F.lpad(F.hex(F.array_position(known, w) + FIRST), 8, "0"))
+    return F.decode(F.unhex(F.concat_ws("", codes)), "UTF-32")
 
 
 def word_error_rate(reference: Column, hypothesis: Column) -> Column:
-    """Case-insensitive word edit distance over reference words (an Arrow-batched function)."""
-    return _wer(reference, hypothesis)
+    """Case-insensitive word edit distance over reference words; without any, 1 if the other text has words, else 0.
+
+    Each distinct word of a pair becomes one character, so Spark's edit distance on characters counts words. More
+    than a million distinct words in one pair are refused by the decoder.
+    """
+    split = lambda c: words(F.lower(F.coalesce(c, F.lit(""))))
+    # A transform over one item computes the words once, however often the lambda names them.
+    pair = F.array(F.struct(split(reference).alias("r"), split(hypothesis).alias("h")))
+    known = F.transform(pair, lambda p: F.struct(p["r"].alias("r"), p["h"].alias("h"), F.array_distinct(F.concat(p["r"], p["h"])).alias("k")))
+
+    def rate(p: Column) -> Column:
+        distance = F.levenshtein(_as_characters(p["r"], p["k"]), _as_characters(p["h"], p["k"]))
+        return F.when(F.size(p["r"]) > 0, distance / F.size(p["r"])).otherwise(F.when(F.size(p["h"]) > 0, 1.0).otherwise(0.0))
+
+    return F.get(F.transform(known, rate), 0)

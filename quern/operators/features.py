@@ -50,17 +50,22 @@ def handle_outliers(df: DataFrame, method: str = "iqr", threshold: float = 1.5,
 
     Only columns that have outliers change; all flags and fences come from the input table.
     """
+    return apply_outliers(df, fit_outliers(df, method, threshold, strategy, columns))
+
+
+def fit_outliers(df: DataFrame, method: str = "iqr", threshold: float = 1.5, strategy: str = "clip", columns: Sequence[str] | None = None) -> dict:
+    """The test of rows to remove, or the limits of every column that has outliers."""
     cols = list(columns or numeric_columns(df))
     flags = iqr_flags(df, cols, threshold) if method == "iqr" else zscore_flags(df, cols, threshold)
     if strategy == "remove":
         gone = F.lit(False)
         for f in flags.values():
             gone = gone | f
-        return df.where(~gone)
+        return {"gone": gone}
     hits = one_row(df, *[F.max(f.cast("int")) for f in flags.values()]) if flags else []
     touched = [c for c, n in zip(flags, hits) if n]
     if not touched:
-        return df
+        return {"limits": {}}
     if strategy == "winsorize":
         limits = {c: tuple(q) for c, q in quantiles(df, touched, [0.05, 0.95]).items()}
     elif strategy == "clip" and method == "iqr":
@@ -70,6 +75,14 @@ def handle_outliers(df: DataFrame, method: str = "iqr", threshold: float = 1.5,
         limits = {c: (row[2 * i] - threshold * row[2 * i + 1], row[2 * i] + threshold * row[2 * i + 1]) for i, c in enumerate(touched)}
     else:
         raise ValueError(f"unknown strategy '{strategy}'")
+    return {"limits": limits}
+
+
+def apply_outliers(df: DataFrame, fitted: dict) -> DataFrame:
+    """Remove the rows or set the limits of `fit_outliers`, on its table or another."""
+    if "gone" in fitted:
+        return df.where(~fitted["gone"])
+    limits = {c: ends for c, ends in fitted["limits"].items() if c in df.columns}
     # least/greatest skip missing values, so a missing value must be kept missing explicitly.
     return replace_columns(df, {c: F.when(col(c).isNotNull(), F.least(F.greatest(col(c).cast("double"), F.lit(a)), F.lit(b))) for c, (a, b) in limits.items()})
 
@@ -172,13 +185,25 @@ def level_codes(df: DataFrame, column: str, limit: int = LEVEL_LIMIT) -> DataFra
 def label_encode(df: DataFrame, cols: Sequence[str], missing: str = "code") -> DataFrame:
     """Replace levels by their sorted codes. A missing value is its own level `nan`
     (`missing="code"`) or -1 (`missing="negative"`)."""
+    return apply_codes(df, fit_codes(df, cols, missing), missing)
+
+
+def _level(c: str, missing: str) -> Column:
+    text = col(c).cast("string")
+    return F.coalesce(text, F.lit("nan")) if missing == "code" else text
+
+
+def fit_codes(df: DataFrame, cols: Sequence[str], missing: str = "code") -> dict[str, DataFrame]:
+    """Levels and codes of every column, as tables."""
+    return {c: level_codes(df.select(_level(c, missing).alias(c)), c) for c in cols}
+
+
+def apply_codes(df: DataFrame, fitted: dict[str, DataFrame], missing: str = "code") -> DataFrame:
+    """Replace levels by fitted codes; a level that the fitted table lacks is -1."""
     out = df
-    for c in cols:
-        text = col(c).cast("string")
-        value = F.coalesce(text, F.lit("nan")) if missing == "code" else text
-        # The levels come from the given table, not from the joins made so far.
-        codes = level_codes(df.select(value.alias(c)), c).select(F.col("level").alias(c), F.col("code").cast("long").alias("_code"))
-        joined = attach(replace_columns(out, {c: value}), codes, [c]).select(*out.columns, "_code")
+    for c in [c for c in fitted if c in df.columns]:
+        codes = fitted[c].select(F.col("level").alias(c), F.col("code").cast("long").alias("_code"))
+        joined = attach(replace_columns(out, {c: _level(c, missing)}), codes, [c]).select(*[col(n) for n in out.columns], "_code")
         out = replace_columns(joined, {c: F.coalesce("_code", F.lit(-1))}).drop("_code")
     return out
 
@@ -258,9 +283,17 @@ def skewed_columns(df: DataFrame, cols: Sequence[str], threshold: float = 1.0) -
 
 def log_transform(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, dict[str, float]]:
     """log1p(x + shift), the shift lifting the smallest value to 1 where it is not positive."""
+    shifts = fit_log(df, cols)
+    return apply_log(df, shifts), shifts
+
+
+def fit_log(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
     low = one_row(df, *[F.min(col(c)).cast("double") for c in cols])
-    shifts = {c: (1 - m if m is not None and m <= 0 else 0.0) for c, m in zip(cols, low)}
-    return replace_columns(df, {c: F.log1p(col(c) + F.lit(s)) for c, s in shifts.items()}), shifts
+    return {c: (1 - m if m is not None and m <= 0 else 0.0) for c, m in zip(cols, low)}
+
+
+def apply_log(df: DataFrame, shifts: dict[str, float]) -> DataFrame:
+    return replace_columns(df, {c: F.log1p(col(c) + F.lit(s)) for c, s in shifts.items()})
 
 
 def boxcox_lambda(df: DataFrame, column: str, shift: float, rounds: int = 5) -> float:

@@ -193,22 +193,21 @@ def class_top_terms(model: PipelineModel, k: int = 30) -> list[tuple[str, str, f
     return rows
 
 
-def lda_topics(df: DataFrame, text: str, topics: int = 5, terms: int = 8, min_df: float = 2.0, max_df: float = 0.9, seed: int = 42) -> DataFrame:
-    """(topic, position, term, weight) of the strongest words per topic."""
+def lda_topics(df: DataFrame, text: str, topics: int = 5, terms: int = 8, min_df: float = 2.0, max_df: float = 0.9, seed: int = 42, vocabulary: int = 1 << 18) -> DataFrame:
+    """(topic, position, term, weight) of the strongest words per topic, over the `vocabulary` most frequent words.
+
+    Every step of the fit reads all texts.
+    """
     tokens = df.withColumn("_tokens", term_tokens(col(text), ENGLISH_STOPS))
-    counter = CountVectorizer(inputCol="_tokens", outputCol="_tf", minDF=min_df)
+    counter = CountVectorizer(inputCol="_tokens", outputCol="_tf", minDF=min_df, vocabSize=vocabulary)
     # Spark reads a maxDF of 1.0 as "in one document"; here it means no upper limit.
     vectors = (counter.setMaxDF(max_df) if max_df < 1 else counter).fit(tokens)
-    model = LDA(k=topics, seed=seed, maxIter=10, featuresCol="_tf").fit(vectors.transform(tokens))
-    names = F.array(*[F.lit(w) for w in vectors.vocabulary]) if len(vectors.vocabulary) <= 1000 else None
+    model = LDA(k=topics, seed=seed, maxIter=10, subsamplingRate=1.0, featuresCol="_tf").fit(vectors.transform(tokens))
     found = model.describeTopics(terms)
     pairs = found.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("position", "t"))
     rows = pairs.select("topic", "position", F.col("t.termIndices").alias("i"), F.col("t.termWeights").alias("weight"))
-    if names is not None:
-        return rows.select("topic", "position", names[F.col("i")].alias("term"), "weight")
-    # The vocabulary is joined as a table when it is too long for a literal.
-    vocabulary = df.sparkSession.createDataFrame(list(enumerate(vectors.vocabulary)), "i int, term string")
-    return rows.join(vocabulary, "i").select("topic", "position", "term", "weight")
+    names = df.sparkSession.createDataFrame(list(enumerate(vectors.vocabulary)), "i int, term string")
+    return rows.join(names, "i").select("topic", "position", "term", "weight")
 
 
 # Openings and endings of augmented questions.

@@ -28,8 +28,8 @@ def run_baseline(
     config: dict | None = None,
     fit_on: str = "train",
 ) -> tuple[DataFrame, DataFrame]:
-    """Returns (runs, best run). Fill values are fitted on the training rows, or on all rows
-    with `fit_on="all"`; scaling follows the prepared table."""
+    """Returns (runs, best run). All values of the preprocessing are fitted on the training
+    rows, or on all rows with `fit_on="all"`."""
     ready = validate.readiness(df, target).collect()[0]
     if not ready["ready"]:
         raise ValueError(f"the dataset has only {ready['rows']} rows")

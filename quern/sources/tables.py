@@ -1,19 +1,23 @@
 """Row tables kept as parquet folders: create, insert, read, page, update, delete.
 
-Every insert is a folder of its own below the table's current generation, so appends at the
-same time never share a commit folder. Updates and deletes write the next generation; readers
-take the newest generation whose write has finished.
+Every insert is a batch, a folder of its own. An update or delete writes its result as a new batch and then commits an
+edit: a small numbered file that names the new batch and those it replaces. Batches that arrived meanwhile are not
+named and stay. Of two edits of the same rows one gets the number, the other starts again on what it finds then.
+Ids are reserved the same way. This needs a file system on which only one writer can create a file, as on HDFS; on a
+plain local disk it holds for the threads of one process.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import threading
+import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +25,12 @@ from pyspark.sql import types as T
 from quern.core import col, one_row
 from quern.operators import ordered
 
+SCHEMA = "batch-schema"
+END = "end"  # last line of a whole file
+WAIT_SECONDS = 30.0
+
+_local = threading.Lock()
+
 
 class TableError(ValueError):
     """A table is missing or a request is unsafe."""
@@ -34,8 +44,7 @@ def sample_types(record: dict[str, Any]) -> dict[str, str]:
 class Tables:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self._lock = threading.Lock()
-        self._next: dict[str, int] = {}
+        self._numbered: set[str] = set()
 
     # ---- folders ----------------------------------------------------------------------
 
@@ -51,20 +60,68 @@ class Tables:
         fs, p = self._fs(path + "/_SUCCESS")
         return fs.exists(p)
 
-    def _generation(self, table: str) -> str:
-        """Folder of the newest finished generation; its empty `schema` batch is written first."""
+    def _claim(self, path: str, lines: Sequence[str]) -> bool:
+        """Create a small file unless it exists already; tells whether this call made it."""
+        fs, p = self._fs(path)
+        with _local:
+            try:
+                out = fs.create(p, False)
+            except Py4JJavaError:
+                if fs.exists(p):
+                    return False
+                raise
+            try:
+                out.write(bytearray("\n".join([*lines, END]).encode()))
+            finally:
+                out.close()
+        return True
+
+    def _lines(self, path: str) -> list[str] | None:
+        """Lines of a small file, None while it is being written."""
+        fs, p = self._fs(path)
+        size = fs.getFileStatus(p).getLen()
+        stream = fs.open(p)
+        try:
+            lines = bytes(stream.readNBytes(int(size))).decode().split("\n")
+        finally:
+            stream.close()
+        return lines[:-1] if lines[-1] == END else None
+
+    def _whole(self, path: str) -> list[str]:
+        """Lines of a small file, once its writer is done."""
+        since = time.monotonic()
+        while (lines := self._lines(path)) is None:
+            if time.monotonic() - since > WAIT_SECONDS:
+                raise TableError(f"unfinished file {path}: remove it if its writer is gone")
+            time.sleep(0.05)
+        return lines
+
+    def _base(self, table: str) -> str:
         base = f"{self.root}/{table}"
-        done = [n for n in self._names(base) if n.startswith("gen-") and self._ready(f"{base}/{n}/batch-schema")]
-        if not done:
+        if not self._ready(f"{base}/{SCHEMA}"):
             raise TableError(f"no such table: {table}")
-        return f"{base}/{max(done)}"
+        return base
+
+    def _live(self, table: str) -> tuple[int, list[str]]:
+        """Number of the newest edit, and the batches that hold the table's rows after it."""
+        base = self._base(table)
+        names = self._names(base)
+        edits = [n for n in names if n.startswith("edit-")]
+        live = {n for n in names if n.startswith("batch-") and n != SCHEMA and self._ready(f"{base}/{n}")}
+        gone: set[str] = set()
+        for n in edits:
+            made, *replaced = self._whole(f"{base}/{n}")
+            live.add(made)
+            gone.update(replaced)
+        return int(edits[-1].removeprefix("edit-")) if edits else 0, sorted(live - gone)
+
+    def _load(self, table: str, batches: Sequence[str]) -> DataFrame:
+        base = self._base(table)
+        schema = self.spark.read.parquet(f"{base}/{SCHEMA}").schema
+        return self.spark.read.schema(schema).parquet(*[f"{base}/{n}" for n in (SCHEMA, *batches)])
 
     def exists(self, table: str) -> bool:
-        try:
-            self._generation(table)
-        except TableError:
-            return False
-        return True
+        return self._ready(f"{self.root}/{table}/{SCHEMA}")
 
     # ---- schema -----------------------------------------------------------------------
 
@@ -75,38 +132,40 @@ class Tables:
             raise TableError(f"table '{table}' already exists")
         types = {**columns, **({"id": "bigint"} if auto_id else {})}
         empty = self.spark.createDataFrame([], T.StructType.fromDDL(", ".join(f"`{c}` {t}" for c, t in types.items())))
-        empty.write.parquet(f"{self.root}/{table}/gen-000000/batch-schema")
+        empty.write.parquet(f"{self.root}/{table}/{SCHEMA}")
 
     def drop(self, table: str, if_exists: bool = True) -> None:
         if not self.exists(table) and not if_exists:
             raise TableError(f"no such table: {table}")
         fs, p = self._fs(f"{self.root}/{table}")
         fs.delete(p, True)
-        self._next.pop(table, None)
+        self._numbered.discard(table)
 
     def frame(self, table: str) -> DataFrame:
         """All rows of the finished batches."""
-        base = self._generation(table)
-        schema = self.spark.read.parquet(f"{base}/batch-schema").schema
-        batches = [f"{base}/{n}" for n in self._names(base) if n.startswith("batch-") and self._ready(f"{base}/{n}")]
-        return self.spark.read.schema(schema).parquet(*batches)
+        return self._load(table, self._live(table)[1])
 
     # ---- rows -------------------------------------------------------------------------
 
     def _reserve(self, table: str, rows: int) -> int:
-        with self._lock:
-            if table not in self._next:
-                self._next[table] = (one_row(self.frame(table), F.max("id"))[0] or 0) + 1
-            first = self._next[table]
-            self._next[table] += rows
-            return first
+        """First of `rows` ids that no other insert gets, from this object or another."""
+        base = self._base(table)
+        least = 1 if table in self._numbered else (one_row(self.frame(table), F.max("id"))[0] or 0) + 1
+        while True:
+            taken = [n for n in self._names(base) if n.startswith("ids-")]
+            after = int(self._whole(f"{base}/{taken[-1]}")[0]) if taken else 1
+            first = max(least, after)
+            if self._claim(f"{base}/ids-{len(taken) + 1:09d}", [str(first + rows)]):
+                self._numbered.add(table)
+                return first
 
     def insert(self, table: str, rows: DataFrame | Sequence[dict[str, Any]], order: Sequence[str] = ()) -> int:
         """Append rows and return how many were written; an empty list writes none.
 
         Where the table has an automatic id, a list is numbered as given and a DataFrame by `order`.
         """
-        schema = self.frame(table).schema
+        base = self._base(table)
+        schema = self.spark.read.parquet(f"{base}/{SCHEMA}").schema
         if not isinstance(rows, DataFrame):
             rows = [rows] if isinstance(rows, dict) else list(rows)
             if not rows:
@@ -125,7 +184,7 @@ class Tables:
         if unknown:
             raise TableError(f"table '{table}' has no column {unknown}")
         fitted = rows.select(*[(col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
-        return self._write(fitted, f"{self._generation(table)}/batch-{uuid.uuid4().hex}")
+        return self._write(fitted, f"{base}/batch-{uuid.uuid4().hex}")
 
     def _write(self, df: DataFrame, path: str) -> int:
         """Rows written, counted from the new files' footers.
@@ -164,28 +223,28 @@ class Tables:
 
     # ---- rewriting --------------------------------------------------------------------
 
-    def _rewrite(self, table: str, df: DataFrame) -> None:
-        old = self._generation(table)
-        new = f"{self.root}/{table}/gen-{int(old[-6:]) + 1:06d}"
-        df.write.parquet(f"{new}/batch-rows")
-        # The schema batch marks the generation as finished.
-        df.limit(0).write.parquet(f"{new}/batch-schema")
+    def _rewrite(self, table: str, where: dict[str, Any], change: Callable[[DataFrame, Column], DataFrame]) -> int:
+        """Replace the rows by change(rows, hit) and return how many rows were hit."""
+        while True:
+            number, batches = self._live(table)
+            df = self._load(table, batches)
+            hit = F.coalesce(self._where(df, where), F.lit(False))
+            hits = df.where(hit).count()
+            if not hits:
+                return 0
+            made = f"made-{uuid.uuid4().hex}"
+            change(df, hit).write.parquet(f"{self._base(table)}/{made}")
+            if self._claim(f"{self._base(table)}/edit-{number + 1:09d}", [made, *batches]):
+                return hits
 
     def update(self, table: str, changes: dict[str, Any], where: dict[str, Any]) -> int:
-        df = self.frame(table)
-        hit = F.coalesce(self._where(df, where), F.lit(False))
-        changed = df.where(hit).count()
-        if changed:
+        def changed(df: DataFrame, hit: Column) -> DataFrame:
             new = {c: F.when(hit, F.lit(v).cast(df.schema[c].dataType)).otherwise(col(c)) for c, v in changes.items()}
-            self._rewrite(table, df.select(*[new.get(c, col(c)).alias(c) for c in df.columns]))
-        return changed
+            return df.select(*[new.get(c, col(c)).alias(c) for c in df.columns])
+
+        return self._rewrite(table, where, changed)
 
     def delete(self, table: str, where: dict[str, Any]) -> int:
         if not where:
             raise TableError("delete needs a filter, so that it cannot wipe the table")
-        df = self.frame(table)
-        hit = F.coalesce(self._where(df, where), F.lit(False))
-        gone = df.where(hit).count()
-        if gone:
-            self._rewrite(table, df.where(~hit))
-        return gone
+        return self._rewrite(table, where, lambda df, hit: df.where(~hit))

@@ -42,14 +42,18 @@ def poll(stream: DataFrame, on_data: Callable[[DataFrame, int], None], checkpoin
     """Look for new files at an interval and hand every batch to a callback.
 
     Stops after `max_batches` batches, or when nothing new came for `idle_seconds`. Returns the
-    number of batches handled.
+    number of batches handled. A batch that starts beyond the limit fails, so it is not committed
+    and the next run takes it.
     """
     handled: list[int] = []
+    refused: list[int] = []
 
     def each(batch: DataFrame, number: int) -> None:
-        if max_batches is None or len(handled) < max_batches:
-            on_data(batch, number)
-            handled.append(number)
+        if max_batches is not None and len(handled) >= max_batches:
+            refused.append(number)
+            raise RuntimeError(f"batch {number} is left to the next run")
+        on_data(batch, number)
+        handled.append(number)
 
     query = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
     seen, since = -1, time.monotonic()
@@ -58,7 +62,7 @@ def poll(stream: DataFrame, on_data: Callable[[DataFrame, int], None], checkpoin
             seen, since = len(handled), time.monotonic()
         query.awaitTermination(0.2)
     query.stop()
-    if query.exception():
+    if query.exception() and not refused:
         raise query.exception()
     return len(handled)
 

@@ -367,7 +367,18 @@ def x31_missing(spark, d):
     return g.select("o_orderkey", F.size(nlu.missing_fields(F.col("f"))).alias("n_missing"), "g.credit_score", "g.education")
 
 
-@query("x32_word_error_rate")
+X32_SQL = r"""with recursive p as (
+    select conv_id, turn, list_filter(regexp_split_to_array(lower(before), '\s+'), lambda x: x <> '') as r, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') as h
+    from (select conv_id, turn, coalesce(text, '') as text, lag(text) over (partition by conv_id order by turn) as before from conversations) where before is not null),
+s as (
+    select conv_id, turn, r, h, 0 as i, range(0, len(h) + 1) as d from p
+    union all
+    select conv_id, turn, r, h, i + 1, list_transform(b, lambda x, j: list_min(list_transform(b[1:j], lambda y, k: y + j - k)))
+    from (select *, list_prepend((i + 1)::bigint, list_transform(h, lambda w, j: least(d[j] + (w <> r[i + 1])::bigint, d[j + 1] + 1))) as b from s where i < len(r)))
+select conv_id, turn, round(case when len(r) > 0 then d[len(h) + 1]::double / len(r) when len(h) > 0 then 1.0 else 0.0 end, 6)::double as wer from s where i = len(r)"""
+
+
+@query("x32_word_error_rate", X32_SQL)
 def x32(spark, d):
     """Every answer against the turn before it."""
     from quern.operators import ordered

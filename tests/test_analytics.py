@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quern.core import scratch_dir
 from quern.functions import nlu, text
 from quern.operators import aggs, chunks, features, models, ordered, quality, retrieval, spatial, terms, vectors, windows
-from quern.plans import knowledge
+from quern.plans import jobs, knowledge
 from quern.streaming import streams
 
 
@@ -264,6 +264,32 @@ def test_penalties_match_their_definitions(spark):
         assert slope == pytest.approx(0.5 * share * np.sign(w) + 0.5 * (1 - share) * w, abs=1e-3)
 
 
+def test_preprocessing_is_fitted_on_the_training_rows(spark):
+    """Other rows never change the fitted values, and applying them to the same rows gives the same table."""
+    schema = "k int, x double, c string, t string, y string"
+    train = spark.createDataFrame([(i, float(i * i), "abc"[i % 3], f"w{i % 12:02}", "no" if i % 4 else "yes") for i in range(48)], schema)
+    odd = spark.createDataFrame([(100, 1e9, "new", "other", "no"), (101, None, "a", None, "yes"), (102, -5.0, "b", "w01", "yes")], schema)
+    cfg = {"handle_outliers": True, "apply_log_transform": True, "skewness_threshold": 0.1}
+    alone, first = jobs.preprocess(train, cfg, "y", "k", train=train)
+    both, second = jobs.preprocess(train.unionByName(odd), cfg, "y", "k", train=train)
+    plain = lambda f: {k: v for k, v in f.items() if "codes" not in k}
+    assert plain(first) == plain(second) and list(first) == list(second)
+    applied = jobs.apply_preprocess(odd, first)
+    assert set(applied.columns) == set(both.columns) == set(alone.columns)
+    rows = lambda df: {r["k"]: r.asDict() for r in df.collect()}
+    whole = rows(both)
+    for k, r in (rows(alone) | rows(applied)).items():
+        assert whole[k] == pytest.approx(r)
+    assert "y" not in jobs.apply_preprocess(odd.drop("y"), first).columns
+
+
+def test_all_columns_become_features(spark):
+    cols = [f"t{i}" for i in range(7)]
+    df = spark.createDataFrame([(*[f"a{i} b"[: 2 + (i + j) % 3] for j in range(7)], float(i)) for i in range(6)], ", ".join([*(f"{c} string" for c in cols), "v double"]))
+    out, _ = jobs.engineer_features(df, {"feature_selection_method": "none"})
+    assert all(f"{c}_length" in out.columns for c in cols)
+
+
 def test_best_regression_run_is_found(spark):
     runs = spark.createDataFrame([("t1", "m1", "d", "regression", 1.0, {}, {"r2": 0.4}), ("t2", "m2", "d", "regression", 1.0, {}, {"r2": 0.9})], models.RUN_SCHEMA)
     best = models.best_run(runs, "regression").collect()

@@ -5,6 +5,7 @@ import json
 import logging
 import uuid
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 import pytest
@@ -46,6 +47,37 @@ def test_crud_round_trip(store):
         store.frame("company")
 
 
+def test_writers_at_the_same_time_lose_nothing(spark, store):
+    """Inserts from two stores while rows are updated and deleted: no row is lost, no id repeats."""
+    other = tables.Tables(spark, store.root)
+    store.insert("company", [{"name": "base", "balance": 0.0, "rank": i} for i in range(4)])
+
+    def append(t, name):
+        for i in range(4):
+            t.insert("company", [{"name": name, "balance": 1.0, "rank": 100 + i}, {"name": name, "balance": 2.0, "rank": 200 + i}])
+
+    work = [(append, store, "a"), (append, other, "b"), (store.update, "company", {"balance": -1.0}, {"name": "base"}), (other.update, "company", {"name": "moved"}, {"rank": 0}), (other.delete, "company", {"rank": 3})]
+    with ThreadPoolExecutor(len(work)) as pool:
+        for job in [pool.submit(f, *args) for f, *args in work]:
+            job.result()
+    rows = store.frame("company").collect()
+    assert sorted(r["id"] for r in rows) == sorted({r["id"] for r in rows}) and len(rows) == 4 - 1 + 16
+    assert sorted(r["rank"] for r in rows if r["name"] in "ab") == sorted([*range(100, 104), *range(200, 204)] * 2)
+    assert {(r["name"], r["rank"]) for r in rows if r["rank"] < 4} == {("moved", 0), ("base", 1), ("base", 2)}
+    assert all(r["balance"] == -1.0 for r in rows if r["name"] == "base")
+
+
+def test_insert_between_read_and_commit_stays(store):
+    store.insert("company", [{"name": "x", "balance": 0.0, "rank": 1}])
+
+    def late(df, hit):
+        store.insert("company", [{"name": "late", "balance": 0.0, "rank": 2}])
+        return df.where(~hit)
+
+    assert store._rewrite("company", {"rank": 1}, late) == 1
+    assert [r["name"] for r in store.frame("company").collect()] == ["late"]
+
+
 def test_hostile_values_are_plain_values(store):
     store.insert("company", {"name": "'; DROP TABLE company; --", "balance": 0.0, "rank": 0})
     assert store.count("company", {"name": "' OR '1'='1"}) == 0
