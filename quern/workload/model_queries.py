@@ -25,14 +25,18 @@ def l02(spark, d):
     return models.stratified_split(table(spark, d, "orders", "o_orderkey", "o_orderstatus"), "o_orderkey", "o_orderstatus").select("o_orderkey", "split")
 
 
-def document_table(spark, d):
-    """Labelled documents with simple size features."""
+def document_sizes(spark, d):
+    """All documents with simple size features."""
     docs = spread(table(spark, d, "documents"))
     t = F.col("text")
-    sized = docs.select(
+    return docs.select(
         "doc_id", F.col("n_chars").cast("double").alias("chars"), F.size(F.split(t, " ")).cast("double").alias("words"), F.regexp_count(t, F.lit("[.!?]")).cast("double").alias("marks"),
         F.regexp_count(t, F.lit("[0-9]")).cast("double").alias("digits"))
-    return sized.join(table(spark, d, "labels"), "doc_id")
+
+
+def document_table(spark, d):
+    """Labelled documents with simple size features."""
+    return document_sizes(spark, d).join(table(spark, d, "labels"), "doc_id")
 
 
 DOC_FEATURES = ["chars", "words", "marks", "digits"]
@@ -100,9 +104,9 @@ def l11(spark, d):
 
 @query("l12_batch_predict")
 def l12(spark, d):
-    rows = document_table(spark, d)
-    model = models.train(rows, DOC_FEATURES, "quality", "LogisticRegression", {"max_iter": 20})
-    return rounded(models.batch_predict(model, rows).select("doc_id", "prediction", "probability_class_0", "probability_class_1"), "probability_class_0", "probability_class_1", digits=3)
+    """Fitted on the labelled documents, applied to all."""
+    model = models.train(document_table(spark, d), DOC_FEATURES, "quality", "LogisticRegression", {"max_iter": 20})
+    return rounded(models.batch_predict(model, document_sizes(spark, d)).select("doc_id", "prediction", "probability_class_0", "probability_class_1"), "probability_class_0", "probability_class_1", digits=3)
 
 
 @query("l13_prediction_intervals", """select p_partkey, round(intercept + slope * p_size - 1.96 * s, 4) as lower, round(intercept + slope * p_size + 1.96 * s, 4) as upper from part, (select regr_slope(p_retailprice, p_size) as slope, regr_intercept(p_retailprice, p_size) as intercept from part),

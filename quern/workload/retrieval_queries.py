@@ -82,16 +82,16 @@ def labelled_texts(spark, d):
 
 @query("n05_text_naive_bayes")
 def n05(spark, d):
-    rows = labelled_texts(spark, d)
-    model = terms.train_text_classifier(rows, "text", "label")
-    return terms.classify_texts(model, rows).select("doc_id", "predicted", F.round(F.array_max("probability"), 4).alias("probability"))
+    """Fitted on the labelled texts, applied to all."""
+    model = terms.train_text_classifier(labelled_texts(spark, d), "text", "label")
+    return terms.classify_texts(model, texts(spark, d, "doc_id", "text")).select("doc_id", "predicted", F.round(F.array_max("probability"), 4).alias("probability"))
 
 
 @query("n06_text_logistic")
 def n06(spark, d):
-    rows = labelled_texts(spark, d)
-    model = terms.train_text_classifier(rows, "text", "label", "logistic")
-    return terms.classify_texts(model, rows).select("doc_id", "predicted", F.round(F.array_max("probability"), 3).alias("probability"))
+    """Fitted on the labelled texts, applied to all."""
+    model = terms.train_text_classifier(labelled_texts(spark, d), "text", "label", "logistic")
+    return terms.classify_texts(model, texts(spark, d, "doc_id", "text")).select("doc_id", "predicted", F.round(F.array_max("probability"), 3).alias("probability"))
 
 
 @query("n06_class_terms")

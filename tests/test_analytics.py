@@ -12,6 +12,7 @@ from quern.functions import nlu, text
 from quern.operators import aggs, chunks, features, models, ordered, quality, retrieval, spatial, terms, vectors, windows
 from quern.plans import jobs, knowledge
 from quern.streaming import streams
+from quern.workload import QUERIES
 
 
 def brute_wer(ref, hyp):
@@ -295,3 +296,12 @@ def test_best_regression_run_is_found(spark):
     best = models.best_run(runs, "regression").collect()
     assert [(r["model_name"], r["best_value"]) for r in best] == [("m2", 0.9)]
     assert [r["model_name"] for r in models.comparison_table(runs, ["r2"], "regression").collect()] == ["m2", "m1"]
+
+
+@pytest.mark.parametrize("name", ["l12_batch_predict", "n05_text_naive_bayes", "n06_text_logistic"])
+def test_unlabelled_documents_are_scored(spark, name):
+    folder = "/root/testdata/sf0.001"
+    docs, labels = ({r["doc_id"] for r in spark.read.parquet(f"{folder}/{t}.parquet").select("doc_id").collect()} for t in ("documents", "labels"))
+    rows = QUERIES[name](spark, folder).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(docs) and docs - labels
+    assert not any(v is None for r in rows for v in r)
