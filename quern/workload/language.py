@@ -435,6 +435,13 @@ def x36(spark, d):
     return table(spark, d, "pages").select("page_id", *[e.alias(n) for n, e in numeric.dataset_tag(path).items()], numeric.is_result_file(path).alias("is_result"))
 
 
+@query("x36_page_dataset_tag")
+def x36_pages(spark, d):
+    """The tags of the pages' own paths."""
+    path = F.col("url")
+    return table(spark, d, "pages").select("page_id", *[e.alias(n) for n, e in numeric.dataset_tag(path).items()], numeric.is_result_file(path).alias("is_result"))
+
+
 @query("x37_metric_pairs", f"""with r as (select l_orderkey, l_linenumber * 10000000000 + round(l_extendedprice * 100)::bigint as pos, case l_linenumber % 3 when 0 then 'MAE' when 1 then 'R2' end as metric, l_quantity::double / 100 as value from lineitem)
     select l_orderkey, metric, arg_max(value, pos) as value from r where metric is not null group by 1, 2""")
 def x37(spark, d):

@@ -54,23 +54,15 @@ def l03(spark, d):
 
 @query("l04_grid_search")
 def l04(spark, d):
-    _, results = models.tune(document_table(spark, d), "doc_id", DOC_FEATURES, "quality", "DecisionTree", {"maxDepth": [2, 4, 6], "minInstancesPerNode": [1, 4]}, sample=4)
+    _, results = models.tune(document_table(spark, d), "doc_id", DOC_FEATURES, "quality", "DecisionTree")
     return rounded(results, "score", digits=4)
 
 
-FAST = {
-    "LogisticRegression": {"max_iter": 20}, "DecisionTree": {"max_depth": 4}, "RandomForest": {"n_estimators": 10, "max_depth": 4}, "GradientBoosting": {"n_estimators": 5}, "SVM": {"max_iter": 20}, "NaiveBayes": {},
-}
-FAST_REGRESSORS = {
-    "LinearRegression": {}, "Ridge": {"alpha": 0.1}, "Lasso": {"alpha": 0.1}, "ElasticNet": {"alpha": 0.1}, "DecisionTreeRegressor": {"max_depth": 4}, "RandomForestRegressor": {"n_estimators": 10, "max_depth": 4}, "GradientBoostingRegressor": {"n_estimators": 5},
-}
-
-
 @query("l05_classifiers")
 def l05(spark, d):
     """Every classifier on one stratified split."""
     rows = models.stratified_split(document_table(spark, d), "doc_id", "quality")
-    results, _ = models.compare(rows.where("split = 'train'"), rows.where("split = 'test'"), DOC_FEATURES, "quality", FAST)
+    results, _ = models.compare(rows.where("split = 'train'"), rows.where("split = 'test'"), DOC_FEATURES, "quality", {name: {} for name in training.BASELINES["classification"]})
     return describe_rows(spark, [(r["model_name"], round(r["metrics"]["accuracy"], 4), round(r["metrics"]["f1_score"], 4), r["error"]) for r in results], "model string, accuracy double, f1 double, error string")
 
 
@@ -84,13 +76,13 @@ def l06(spark, d):
 @query("l08_compare_regressors")
 def l08(spark, d):
     rows = models.random_split(price_table(spark, d), "p_partkey", {"train": 0.8, "test": 0.2})
-    results, _ = models.compare(rows.where("split = 'train'"), rows.where("split = 'test'"), ["size", "name_length"], "price", FAST_REGRESSORS)
+    results, _ = models.compare(rows.where("split = 'train'"), rows.where("split = 'test'"), ["size", "name_length"], "price", {name: {} for name in training.BASELINES["regression"]})
     return describe_rows(spark, [(r["model_name"], round(r["metrics"]["rmse"], 3), round(r["metrics"]["r2"], 4), r["error"]) for r in results], "model string, rmse double, r2 double, error string")
 
 
 @query("l10_feature_importance")
 def l10(spark, d):
-    model = models.train(document_table(spark, d), DOC_FEATURES, "quality", "RandomForest", FAST["RandomForest"])
+    model = models.train(document_table(spark, d), DOC_FEATURES, "quality", "RandomForest")
     rows = [(f, round(v, 4)) for f, v in models.feature_importance(model, DOC_FEATURES)]
     return windows.ranked(describe_rows(spark, rows, "feature string, importance double"), "importance", "feature")
 
@@ -122,7 +114,7 @@ def l13(spark, d):
 def l14(spark, d):
     o = table(spark, d, "orders")
     rows = o.select("o_orderkey", F.month("o_orderdate").cast("double").alias("month"), F.year("o_orderdate").cast("double").alias("year"), F.weekday("o_orderdate").cast("double").alias("dow"), F.col("o_totalprice").alias("price"))
-    _, m = models.forest_forecast(rows, "o_orderkey", ["month", "year", "dow"], "price", trees=10)
+    _, m = models.forest_forecast(rows, "o_orderkey", ["month", "year", "dow"], "price")
     return describe_rows(spark, [(k, round(m[k], 3)) for k in ("mae", "rmse", "r2")], "metric string, value double")
 
 
@@ -137,14 +129,13 @@ def l15(spark, d):
 
 @query("l16_learning_curve")
 def l16(spark, d):
-    out = models.learning_curve(document_table(spark, d), "doc_id", DOC_FEATURES, "quality", "DecisionTree", (0.25, 0.5, 1.0), {"max_depth": 3})
+    out = models.learning_curve(document_table(spark, d), "doc_id", DOC_FEATURES, "quality", "DecisionTree")
     return rounded(out, "train_score", "test_score", digits=4)
 
 
 @query("l17_baseline_job")
 def l17(spark, d):
-    algorithms = {"LogisticRegression": {"max_iter": 20}, "DecisionTree": {"max_depth": 4}, "NaiveBayes": {}}
-    runs, best = training.run_baseline(document_table(spark, d).drop("toxic"), "doc_id", "quality", "documents", scratch_dir(spark, "runs"), algorithms)
+    runs, best = training.run_baseline(document_table(spark, d).drop("toxic"), "doc_id", "quality", "documents", scratch_dir(spark, "runs"))
     winner = best.collect()[0]["model_name"]
     return runs.select("model_name", "task_type", F.round(F.col("metrics")["f1_score"], 4).alias("f1"), F.lit(winner).alias("best"))
 

@@ -128,7 +128,7 @@ def n09(spark, d):
 
 @query("n10_word_vectors")
 def n10(spark, d):
-    model = terms.word_vectors(texts(spark, d, "text"), "text", size=32)
+    model = terms.word_vectors(texts(spark, d, "text"), "text")
     return model.getVectors().select("word", F.size(vector_to_array("vector")).alias("size"))
 
 
@@ -142,6 +142,12 @@ def n11(spark, d):
     return found.where(F.col("label").isin("PERCENT", "MONEY"))
 
 
+@query("n11_all_entity_counts")
+def n11_all(spark, d):
+    """Every label, also those that the SQL of n11_entity_counts does not have."""
+    return terms.entity_counts(texts(spark, d), "doc_id", text.entities(F.col("text")))
+
+
 @query("n12_text_embeddings")
 def n12(spark, d):
     docs = texts(spark, d, "doc_id", "text")
@@ -390,5 +396,5 @@ def r10(spark, d):
 
 @query("r16_configuration_sweep")
 def r16(spark, d):
-    out = knowledge.sweep(corpus(spark, d), benchmark_questions(spark, d), "document_id", "text", "question_id", "question", sizes=(300, 500), overlaps=(50,), ks=(3, 5), dimension=128)
+    out = knowledge.sweep(corpus(spark, d), benchmark_questions(spark, d), "document_id", "text", "question_id", "question")
     return out.select("chunk_size", "chunk_overlap", "top_k", "chunk_count", "num_results", "avg_similarity", "lexical_relevance")

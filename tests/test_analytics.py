@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.core import scratch_dir
-from quern.functions import nlu, text
+from quern.functions import nlu, numeric, text
 from quern.operators import aggs, chunks, features, models, ordered, quality, retrieval, spatial, terms, vectors, windows
-from quern.plans import jobs, knowledge
+from quern.plans import jobs, knowledge, training
 from quern.streaming import streams
 from quern.workload import QUERIES
 
@@ -305,3 +305,34 @@ def test_unlabelled_documents_are_scored(spark, name):
     rows = QUERIES[name](spark, folder).collect()
     assert sorted(r["doc_id"] for r in rows) == sorted(docs) and docs - labels
     assert not any(v is None for r in rows for v in r)
+
+
+@pytest.mark.parametrize("name, operator", [("l04_grid_search", "tune"), ("l05_classifiers", "compare"), ("l08_compare_regressors", "compare"), ("l10_feature_importance", "train"), ("l14_forest_forecast", "forest_forecast"), ("l16_learning_curve", "learning_curve"), ("l17_baseline_job", "run_baseline"), ("n10_word_vectors", "word_vectors"), ("r16_configuration_sweep", "sweep")])
+def test_queries_run_the_operator_with_its_defaults(spark, monkeypatch, name, operator):
+    class Called(Exception):
+        pass
+
+    def stop(*given, **named):
+        raise Called(given, named)
+
+    for module in (models, terms, training, knowledge):
+        if hasattr(module, operator):
+            monkeypatch.setattr(module, operator, stop)
+    with pytest.raises(Called) as found:
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+    given, named = found.value.args
+    assert not named
+    if operator == "compare":
+        assert given[-1] == {n: {} for n in training.BASELINES["classification" if name[:3] == "l05" else "regression"]}
+    else:
+        assert len(given) == {"tune": 5, "train": 4, "forest_forecast": 4, "learning_curve": 5, "run_baseline": 5, "word_vectors": 2, "sweep": 6}[operator]
+
+
+def test_all_labels_and_page_paths(spark):
+    folder = "/root/testdata/sf0.001"
+    labels = {r["label"] for r in QUERIES["n11_all_entity_counts"](spark, folder).collect()}
+    assert labels - {"PERCENT", "MONEY"}
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    want = pages.select("page_id", *[e.alias(n) for n, e in numeric.dataset_tag(F.col("url")).items()], numeric.is_result_file(F.col("url")).alias("is_result"))
+    got = QUERIES["x36_page_dataset_tag"](spark, folder)
+    assert got.exceptAll(want).count() == 0 and got.count() == pages.count()
