@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.core import materialize, read_table
-from quern.llm import chat, fingerprints, language, mixing, pieces, quality_rules, simhash, substrings, token_counts, url_filter
+from quern.llm import alignment, chat, fingerprints, language, mixing, pieces, quality_rules, simhash, substrings, token_counts, toxicity, trie, url_filter
 from quern.llm.batches import words
 from quern.llm.registry import QUERIES, SQL, query  # noqa: F401
 
@@ -148,3 +148,48 @@ def op8_window_doubling(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents", "doc_id", "text")
     out = substrings.remove_repeats(docs, size=20, n_words="n_words", n_removed="n_removed")
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.array_join(words(F.col("text")), " "), 256).alias("kept_sha256"))
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Overlap links and groups of the tokens of two tokenizers in every document."""
+    docs = read_table(spark, folder, "documents", "doc_id", "text")
+    out = alignment.corpus_links(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
+@query("op12_toxicity")
+def op12_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learned from the labelled ones that are not held out."""
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    docs = read_table(spark, folder, "documents", "doc_id", "text")
+    labels = read_table(spark, folder, "labels", "doc_id", "toxic").where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    model = toxicity.fit(docs.where(~held).join(labels, "doc_id"))
+    out = toxicity.score(docs.select("doc_id", held.alias("held_out"), "text"), model)
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
+TRIE_SQL = """
+with t as (
+  select conv_id as c, list({r: coalesce(role, ''), t: coalesce(text, '')} order by turn nulls first, coalesce(role, ''), text) as l from conversations where conv_id is not null group by 1),
+h as (
+  select c, l, c - c % 100 as b, xor(list_reduce([4294967295::BIGINT] || [ord(x)::BIGINT for x in string_split(c::VARCHAR, '')],
+    lambda a, x: list_reduce([xor(a, x)] || [0::BIGINT for i in range(8)], lambda k, i: xor(k >> 1, (k & 1) * 3988292384))), 4294967295) % 6 as h from t),
+r as (select h.c, coalesce(t.l, [])[1:h.h] || coalesce(h.l[h.h + 1:], []) as l from h left join t on t.c = h.b),
+p as (select c, l, unnest(range(0, len(l) + 1)) as d from r),
+n as (select l[1:d] as path, d, min(c) as conv_id, count(*) as n_convs from p group by 1, 2),
+k as (select path[1:d - 1] as path, count(*) as n_children from n where d > 0 group by 1),
+w as (select n.*, coalesce(n_children, 0) as n_children, case when d > 0 then (n_convs - 1) * length(path[d].t) else 0 end as saved from n left join k using (path)),
+s as (select path[1:x] as path, sum(saved) as saved_tokens, sum(case when n_children = 0 then 1 else 0 end) as n_leaves
+      from (select path, saved, n_children, unnest(range(0, d + 1)) as x from w) group by 1),
+e as (select l as path, sha256(string_agg(c::VARCHAR, ',' order by c)) as ends_sha256 from r group by 1)
+select w.conv_id, w.d as depth, u.conv_id as parent_conv_id, w.n_convs, w.n_children::BIGINT as n_children, s.n_leaves::BIGINT as n_leaves,
+       s.saved_tokens::BIGINT as saved_tokens, coalesce(e.ends_sha256, sha256('')) as ends_sha256
+from w join s using (path) left join e using (path) left join w u on w.d > 0 and u.d = w.d - 1 and u.path = w.path[1:w.d - 1]
+"""
+
+
+@query("op13_prefix_trie", TRIE_SQL)
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    return trie.trie(read_table(spark, folder, "conversations", "conv_id", "turn", "role", "text"), rebuilt=True)

@@ -69,7 +69,7 @@ def test_chat(spark):
 
 def test_quality(odd, none):
     measured = quality_rules.measure(clash(odd, "kept", "n_words", "_group"))
-    assert sorted((r.n_words, r.base_failed) for r in measured.collect()) == [(0, True)] * 3 + [(3, True)] * 3 + [(6, True), (30_000, False)]
+    assert sorted((r.n_words, r.base_failed) for r in measured.collect()) == [(0, True)] * 3 + [(3, True)] * 3 + [(5, True), (30_000, False)]
     assert [r.text for r in quality_rules.filter_documents(clash(odd, "kept", "_y0")).collect()] == [LONG]
     assert quality_rules.filter_documents(none).count() == 0
 
