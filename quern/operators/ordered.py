@@ -58,7 +58,7 @@ def block_column(df: DataFrame, order: Sequence[str], block_rows: int | None = N
         low, high = (F.element_at(F.array(*[F.lit(float(e)) for e in side]), span + 1) for side in (edges[:-1], edges[1:]))
         place = F.floor((axis.cast("double") - low) / (high - low) * slices)
         span = span * slices + F.greatest(F.lit(0), F.least(F.lit(slices - 1), place))
-    return F.coalesce(span.cast("int"), F.lit(-1))
+    return F.when(axis.isNull(), F.lit(-1)).otherwise(span.cast("int"))
 
 
 def _chain(df: DataFrame, keys: Sequence[str], carry: DataFrame) -> DataFrame:
