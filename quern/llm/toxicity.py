@@ -1,10 +1,10 @@
 """Toxicity of texts: a support vector machine on a gap-weighted subsequence kernel with Nyström landmarks.
 
 The kernel of two words sums, over all letter subsequences of length 3 that both have, their weights: LAMBDA to the
-power of the span that each covers. So `i.d.i.o.t` and `idxiot` stay close to `idiot`. Marks inside a word and the
-blanks of a spelt-out word (`i d i o t`) are gaps. A sentence is the sum of its words under a power of the normalised
-kernel; landmarks are words, chosen by how much their document counts differ between labels, and frequent clean words
-near to them. The machine is trained on sentences: all of clean texts, and of each toxic text the one that looks worst
+power of the span that each covers. So `id-iot` and `idxiot` stay close to `idiot`; marks inside a word are gaps, and a
+spelt-out word (`i d i o t`, `i.d.i.o.t`) is read without them. A sentence is the sum of its distinct words under the
+cube of the normalised kernel; landmarks are words, chosen by how much their document counts differ between labels,
+and frequent clean words near to them. The machine is trained on sentences: all of clean texts, and of each toxic text the one that looks worst
 (found anew after each round). A text scores by its worst sentences, through a logistic curve.
 """
 
@@ -85,6 +85,10 @@ class Units:
         self.text, self.sentence = text[first], (sentence[begin] if len(begin) else begin)
         size = end - begin
         at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        pairs = np.append(0, np.cumsum((code[1:] > 0) & (code[:-1] > 0)))
+        spelt = (letters[end] - letters[begin] > 2) & (pairs[end - 1] == pairs[begin])
+        stay = (code[at] > 0) | ~np.repeat(spelt, size)
+        at, size = at[stay], np.where(spelt, letters[end] - letters[begin], size)
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int64)), pa.py_buffer(code[at].tobytes())])
         coded = words.dictionary_encode()
         self.which = coded.indices.to_numpy().astype(np.int64)

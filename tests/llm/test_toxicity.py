@@ -29,7 +29,7 @@ def kernel(a, b):
 
 
 def test_kernel_against_plain_sums():
-    words = ["idiot", "i.d.i.o.t", "idxiot", "banana", "ab", "trash", "tra--sh", "nothing", "aaaaaaa", "worthlessness"]
+    words = ["idiot", "i.di.ot", "idxiot", "banana", "ab", "trash", "tra--sh", "nothing", "aaaaaaa", "worthlessness"]
     units = toxicity.Units([w for w in words])
     marks = [units.distinct[units.which[words.index(w)]].as_py() for w in ("idiot", "banana", "trash", "aaaaaaa")]
     for step in (2, 100):
@@ -45,7 +45,8 @@ def test_units():
     u = toxicity.Units(["You i d i o t! Fine. m or on", None, "", " \n", "U.S. Ab\nc", "🙂 x" * 2])
     words = [u.distinct[i].as_py() for i in u.which]
     code = lambda s: toxicity.Units([s]).distinct[0].as_py()
-    assert words[:6] == [code("you"), code("i d i o t!").ljust(10, b"\0"), code("FINE."), code("m"), code("or"), code("on")]
+    assert words[:6] == [code("you"), code("IDIOT"), code("FINE."), code("m"), code("or"), code("on")]
+    assert words[6:8] == [code("u.s."), code("ab")]
     assert u.text.tolist()[:6] == [0] * 6 and set(u.text.tolist()) == {0, 4, 5}
     assert len(set(u.sentence[:2])) == 1 and u.sentence[2] != u.sentence[1] != u.sentence[3]
     assert len(toxicity.Units([]).which) == len(toxicity.Units([None]).which) == 0
@@ -70,12 +71,13 @@ def test_gapped_insults(spark):
     rows, text = corpus(spark)
     model = toxicity.fit(rows, landmarks=20, near=20)
     clean = text()
-    forms = ["idiot", "IDIOT,", "i.d.i.o.t", "i d i o t", "idixot", "id-iot", "w0orth-less", "wor_thless", "scummbag", "s.c.u.m.b.a.g"]
-    asked = [(0, clean), (1, None), (2, ""), (3, "!!! ???"), *[(10 + i, f"{clean}. you are {f} now") for i, f in enumerate(forms)]]
+    forms = ["idiot", "IDIOT,", "i.d.i.o.t", "i d i o t", "id-iot", "w0orth-less", "wor_thless", "woxrthless", "scummbag", "s.c.u.m.b.a.g"]
+    asked = [(0, clean), (1, None), (2, ""), (3, "!!! ???"), (4, f"{clean}. you are idixot now"), *[(10 + i, f"{clean}. you are {f} now") for i, f in enumerate(forms)]]
     docs = spark.createDataFrame(asked, "doc_id long, text string").withColumns({"score": F.lit("mine"), "predicted": F.lit(9)})
     got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
     assert [got[i].predicted for i in range(4)] == [0] * 4
     assert [f for i, f in enumerate(forms) if not got[10 + i].predicted] == []
+    assert got[4].score > 2 * got[0].score  # a fifth of a short word is another letter: nearer, if not over the limit
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got.values())
     assert toxicity.score(docs.limit(0), model).count() == 0
     again = toxicity.fit(rows.repartition(7), landmarks=20, near=20)
