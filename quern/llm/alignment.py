@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -30,7 +31,7 @@ from quern.llm.token_counts import PATTERN, byte_letters
 
 SLICE = 4 << 20  # bytes of text whose id pairs are counted together
 BLOCK = 256 << 10  # bytes of text in one product
-KEEP = 200_000  # pre-tokens and marked words remembered in a task; only speed depends on it
+KEEP = 400_000  # pre-tokens and marked words remembered in a task; only speed depends on it
 SHORT = 64
 
 
@@ -97,6 +98,7 @@ class Pair:
     """Two tokenizers: ids of texts, and the bytes of each id. The first one's texts begin with a space."""
 
     def __init__(self, first: str, second: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # every core runs a task already
         self.tok = Tokenizer.from_file(first)
         self.tok.encode_special_tokens = True
         with open(first, encoding="utf-8") as f:
@@ -110,11 +112,13 @@ class Pair:
         self.sp = pieces.load(second)
         self.b_bytes = [self._piece(i) for i in range(self.sp.get_piece_size())]
         self.a_size, self.b_size = (np.array([len(b) for b in t], np.int64) for t in (self.a_bytes, self.b_bytes))
-        # Digits of every id with the mark behind it: `,` inside a side, then `|` after A and `;` after B.
-        self.marks = [[f"{i}{m}".encode() for i in range(len(t))] for t in (self.a_bytes, self.b_bytes) for m in ",;"]
-        self.marks[1] = [f"{i}|".encode() for i in range(len(self.a_bytes))]
+        # Digits of every id and the mark behind it: `,` inside a side, `|` after A, `;` after B.
+        marks = [f"{i}{m}".encode() for t, end in ((self.a_bytes, "|"), (self.b_bytes, ";")) for m in ("," + end) for i in range(len(t))]
+        self.mark_size = np.array([len(m) for m in marks], np.int64)
+        self.mark = np.frombuffer(b"".join(m.ljust(int(self.mark_size.max()), b"\0") for m in marks), np.uint8).reshape(len(marks), -1)
         self.known: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.changed: set[str] = set()  # pre-tokens and words whose ids stand for other bytes
 
     def _piece(self, i: int) -> bytes:
         piece = self.sp.id_to_piece(i)
@@ -122,37 +126,46 @@ class Pair:
             return bytes([int(piece[3:5], 16)])
         return piece.replace(pieces.MARK, " ").encode()
 
-    def first_ids(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of the texts with a space before; distinct pre-tokens are encoded once."""
-        cut = [PATTERN.findall(" " + t) for t in texts]
+    def _look_up(self, known: dict[str, bytes], cut: list[list[str]], encode, table: list[bytes], raw) -> list[np.ndarray]:
+        """Ids of texts from their parts; parts that are not known are encoded, and their bytes compared, once."""
         distinct = set(chain.from_iterable(cut))
-        new = [w for w in distinct if w not in self.known]
-        if len(self.known) + len(new) > KEEP:
-            self.known.clear()
+        new = [w for w in distinct if w not in known]
+        if len(known) + len(new) > KEEP:
+            known.clear()
             new = list(distinct)
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            self.known.update((w, array("i", e.ids).tobytes()) for w, e in zip(part, self.tok.encode_batch(part, add_special_tokens=False), strict=True))
-        out = [np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.int32) for words in cut]
+            for w, ids in zip(part, encode(part), strict=True):
+                known[w] = array("i", ids).tobytes()
+                if b"".join([table[i] for i in ids]) != raw(w):
+                    self.changed.add(w)
+        out = [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in cut]
         for w in new:
             if len(w) > SHORT:
-                del self.known[w]
+                del known[w]
         return out
 
-    def second_ids(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.words) > KEEP:
-            self.words.clear()
-        return [np.array(x, np.int32) for x in pieces.encode_texts(self.sp, texts, self.words)]
-
     def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids on both sides; none for a null or empty text and for one whose bytes a side does not keep."""
         none = np.zeros(0, np.int32)
         full = [t or "" for t in texts]
-        a, b = self.first_ids(full), self.second_ids(full)
+        self.changed = set()
+        first = [PATTERN.findall(" " + t) if t else [] for t in full]
+        a = self._look_up(self.known, first, lambda part: (e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)), self.a_bytes, str.encode)
+        marked = [self.sp.normalize(t) if t else "" for t in full]
+        second = [pieces.MARKED.findall(m) for m in marked]
+        b = self._look_up(self.words, second, lambda part: pieces.segment(self.sp, part), self.b_bytes, lambda w: w.replace(pieces.MARK, " ").encode())
+        if self.changed:  # not from the tables, lest a word met before hides it
+            for w in self.changed:
+                self.known.pop(w, None)
+                self.words.pop(w, None)
         for i, t in enumerate(full):
-            raw = b" " + t.encode()
-            if not t or any(b"".join(map(table.__getitem__, ids.tolist())) != raw for table, ids in ((self.a_bytes, a[i]), (self.b_bytes, b[i]))):
+            if not t:
                 a[i] = b[i] = none
+            elif "".join(first[i]) != " " + t or marked[i].replace(pieces.MARK, " ") != " " + t or (self.changed and not self.changed.isdisjoint([*first[i], *second[i]])):
+                raw = b" " + t.encode()
+                if any(b"".join(map(table.__getitem__, ids.tolist())) != raw for table, ids in ((self.a_bytes, a[i]), (self.b_bytes, b[i]))):
+                    a[i] = b[i] = none
         return a, b
 
     def forget(self) -> None:
@@ -208,19 +221,23 @@ class Aligned:
         """`a1,a2|b1;a3|b2,b3` per text: the ids of each group."""
         last_a, last_b = (np.diff(g, append=-1) != 0 for g in (self.group_a, self.group_b))
         order = np.argsort(np.concatenate([2 * self.group_a, 2 * self.group_b + 1]), kind="stable")
-        width = len(self.pair.a_bytes)
-        mark = np.concatenate([self.a + width * last_a, 2 * width + self.b + len(self.pair.b_bytes) * last_b])[order]
-        table = list(chain.from_iterable(self.pair.marks))
-        ends = np.cumsum(self.n_a + self.n_b)
-        parts = mark.tolist()
-        return [b"".join(map(table.__getitem__, parts[e - k : e])).decode()[:-1] for e, k in zip(ends.tolist(), (self.n_a + self.n_b).tolist(), strict=True)]
+        wide_a, wide_b = len(self.pair.a_bytes), len(self.pair.b_bytes)
+        mark = np.concatenate([self.a + wide_a * last_a, 2 * wide_a + self.b + wide_b * last_b])[order]
+        size = self.pair.mark_size[mark]
+        digits = self.pair.mark[mark]
+        flat = digits[np.arange(digits.shape[1]) < size[:, None]].tobytes().decode()
+        upto = np.append(0, np.cumsum(size))
+        ends = upto[np.cumsum(self.n_a + self.n_b)].tolist()
+        return [flat[p : max(p, q - 1)] for p, q in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 def _blocks(pair: Pair, column: pa.Array, limit: int = BLOCK) -> Iterator[Aligned]:
     """The texts of a column in runs of about `limit` bytes."""
-    batch = pa.RecordBatch.from_arrays([column], names=["t"])
-    for part in slices(batch, "t", limit):
-        yield Aligned(pair, *pair.encode(part.column("t").to_pylist()))
+    a, b = pair.encode(column.to_pylist())
+    low = 0
+    for part in slices(pa.RecordBatch.from_arrays([column], names=["t"]), "t", limit):
+        yield Aligned(pair, a[low : low + part.num_rows], b[low : low + part.num_rows])
+        low += part.num_rows
 
 
 def _align(batches: Iterable[pa.RecordBatch], first: str, second: str) -> Iterator[pa.RecordBatch]:

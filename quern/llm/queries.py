@@ -163,8 +163,7 @@ def op12_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every document, learned from the labelled ones that are not held out."""
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
     docs = read_table(spark, folder, "documents", "doc_id", "text")
-    labels = read_table(spark, folder, "labels", "doc_id", "toxic").where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    model = toxicity.fit(docs.where(~held).join(labels, "doc_id"))
+    model = toxicity.fit(docs, read_table(spark, folder, "labels", "doc_id", "toxic").where(~held))
     out = toxicity.score(docs.select("doc_id", held.alias("held_out"), "text"), model)
     return out.select("doc_id", "held_out", "score", "predicted")
 

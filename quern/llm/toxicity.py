@@ -27,7 +27,7 @@ WORST = 3  # sentences of a text that its score depends on
 SPAN = 7  # places that a subsequence may cover
 LETTERS = 64
 FEATURES = LETTERS**3
-BLOCK = 1 << 20
+BLOCK = 2 << 20
 LONGEST = 40  # letters of a landmark
 
 
@@ -272,21 +272,21 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 50) -> np
     x = np.column_stack([x, np.ones(len(x))])
     ridge = np.eye(x.shape[1])
     ridge[-1, -1] = 1e-6
-    w, before = np.zeros(x.shape[1]), None
+    w = np.zeros(x.shape[1])
 
     def loss(v: np.ndarray) -> float:
         return 0.5 * float(v @ ridge @ v) + float(cost @ np.maximum(0, 1 - y * (x @ v)) ** 2)
 
     for _ in range(rounds):
         active = y * (x @ w) < 1
-        if before is not None and (active == before).all():
-            break
-        before, xa = active, x[active]
+        xa = x[active]
         best = np.linalg.solve(ridge + 2 * xa.T @ (cost[active, None] * xa), 2 * xa.T @ (cost[active] * y[active]))
         step, now = 1.0, loss(w)
-        while step > 1e-4 and loss(w + step * (best - w)) > now:
+        while step > 1e-6 and loss(w + step * (best - w)) > now:
             step /= 2
-        w = w + step * (best - w)
+        w, done = w + step * (best - w), now - loss(w + step * (best - w)) <= 1e-9 * now
+        if done:
+            break
     return w
 
 
@@ -308,7 +308,7 @@ def _curve(worst: np.ndarray, label: np.ndarray) -> tuple[list[float], float]:
 NEVER = Model([], [], [0.0] * WORST, -2.0)
 
 
-def train(x: np.ndarray, label: np.ndarray, group: np.ndarray, texts: dict[int, int], gram: np.ndarray, words: list[bytes], rounds: int = 4, cost: float = 50.0) -> Model:
+def train(x: np.ndarray, label: np.ndarray, group: np.ndarray, texts: dict[int, int], gram: np.ndarray, words: list[bytes], rounds: int = 4, cost: float = 200.0) -> Model:
     """The model from sentences: rows of kernel sums, the label and the number of their text.
 
     `texts` has the label of every text, also of those without a sentence near a landmark.
@@ -341,25 +341,28 @@ def train(x: np.ndarray, label: np.ndarray, group: np.ndarray, texts: dict[int,
     return Model(words, (root @ w[:-1]).tolist(), slopes, offset)
 
 
-def _sample(rows: DataFrame, most: int) -> DataFrame:
-    """About `most` rows of each label, by a hash of the text, so that reruns agree."""
-    count = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    place = F.pmod(F.xxhash64("t", F.lit(12)), F.lit(1 << 30)) / float(1 << 30)
+def _sample(labels: DataFrame, most: int) -> DataFrame:
+    """About `most` labelled keys of each label, by a hash of the key, so that reruns agree."""
+    count = {r["y"]: r["n"] for r in labels.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    place = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(12)), F.lit(1 << 30)) / float(1 << 30)
     share = {y: min(1.0, most / max(1, count.get(y, 0))) for y in (0, 1)}
-    return rows.where(place < F.when(F.col("y") == 1, F.lit(share[1])).otherwise(F.lit(share[0])))
+    return labels.where(place < F.when(F.col("y") == 1, F.lit(share[1])).otherwise(F.lit(share[0])))
 
 
-def fit(rows: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", landmarks: int = 160, near: int = 64, most: int = 4000, sentences: int = 6) -> Model:
-    """The model of labelled texts (label 1: toxic, 0: clean; rows of other labels are left out).
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", landmarks: int = 112, near: int = 32, most: int = 4000, sentences: int = 6) -> Model:
+    """The model of the texts that `labels` (key and label, 1: toxic, 0: clean, others are left out) names.
 
-    About `most` texts of each label are read, chosen by a hash of the text; they give `landmarks` words that
-    toxic texts have more often, `near` frequent clean words that look like those, and up to `sentences`
-    sentences per text that are near to a landmark. These bounds hold what the driver sees: words and their counts,
-    and most * 2 * sentences short vectors. Without toxic texts nothing scores 0.5.
+    Several labels of a key count as toxic if one is. About `most` keys of each label, chosen by a hash, are read; they
+    are broadcast to the texts, which are not shuffled. Their texts give `landmarks` words that toxic texts have more
+    often, `near` frequent clean words that look like those, and up to `sentences` sentences per text that are near to a
+    landmark. These bounds hold what the driver sees: words and their counts, and most * 2 * sentences short vectors.
+    Without toxic texts nothing scores 0.5.
     """
-    marked = F.when(col(label).cast("int").isin(0, 1), col(label).cast("int"))
-    used = rows.select(F.xxhash64(col(key), col(text)).alias("k"), F.coalesce(col(text).cast("string"), F.lit("")).alias("t"), marked.alias("y")).where("y is not null")
-    used = _sample(used, most).persist()
+    marked = labels.select(col(key).alias("id"), col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
+    chosen = _sample(marked, most)
+    used = docs.select(col(key).alias("id"), F.coalesce(col(text).cast("string"), F.lit("")).alias("t")).join(F.broadcast(chosen), "id")
+    used = used.select(F.xxhash64("id", "t").alias("k"), "t", "y")
+    used = used.persist()
     try:
         texts = {r["k"]: r["y"] for r in used.select("k", "y").distinct().collect()}
         n = {y: max(1, sum(1 for v in texts.values() if v == y)) for y in (0, 1)}

@@ -69,7 +69,7 @@ def corpus(spark, seed=3):
 
 def test_gapped_insults(spark):
     rows, text = corpus(spark)
-    model = toxicity.fit(rows, landmarks=20, near=20)
+    model = toxicity.fit(rows, rows, landmarks=20, near=20)
     clean = text()
     forms = ["idiot", "IDIOT,", "i.d.i.o.t", "i d i o t", "id-iot", "w0orth-less", "wor_thless", "woxrthless", "scummbag", "s.c.u.m.b.a.g"]
     asked = [(0, clean), (1, None), (2, ""), (3, "!!! ???"), (4, f"{clean}. you are idixot now"), *[(10 + i, f"{clean}. you are {f} now") for i, f in enumerate(forms)]]
@@ -80,19 +80,19 @@ def test_gapped_insults(spark):
     assert got[4].score > 2 * got[0].score  # a fifth of a short word is another letter: nearer, if not over the limit
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got.values())
     assert toxicity.score(docs.limit(0), model).count() == 0
-    again = toxicity.fit(rows.repartition(7), landmarks=20, near=20)
+    again = toxicity.fit(rows.repartition(7), rows.withColumn("text", F.lit("mine")), landmarks=20, near=20)
     assert again.words == model.words and np.allclose(again.weights, model.weights)
 
 
 def test_without_labels(spark):
     rows, _ = corpus(spark)
     for part in (rows.limit(0), rows.where("toxic = 0"), rows.withColumn("toxic", F.lit(None).cast("int"))):
-        assert toxicity.score(rows, toxicity.fit(part)).where("predicted = 1").count() == 0
+        assert toxicity.score(rows, toxicity.fit(rows, part)).where("predicted = 1").count() == 0
 
 
 def test_very_long_text(spark):
     rows, text = corpus(spark)
-    model = toxicity.fit(rows, landmarks=20, near=20)
+    model = toxicity.fit(rows, rows, landmarks=20, near=20)
     long = " ".join(text() for _ in range(2000))
     docs = spark.createDataFrame([(1, long), (2, long + ". you idiot. so worthless"), (3, "x" * 300_000)], "doc_id long, text string")
     got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
