@@ -62,9 +62,10 @@ def lists(values: np.ndarray | pa.Array, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), values if isinstance(values, pa.Array) else pa.array(values))
 
 
-def release() -> None:
+def release(collect: bool = True) -> None:
     """Give freed memory back to the system, at the end of a task: Python workers are kept for later tasks."""
-    gc.collect()
+    if collect:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:

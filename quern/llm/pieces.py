@@ -1,7 +1,7 @@
 """SentencePiece encoding through a table of distinct marked words.
 
 No piece of the model crosses from a word into the next word's whitespace marker, so each marked word is
-segmented on its own. A block of texts is cut into marked words, each distinct one that the worker's table lacks
+segmented on its own. A block of texts is cut into marked words, each distinct one that the task's table lacks
 is segmented once, and the ids are joined back by position.
 """
 
@@ -19,10 +19,10 @@ import sentencepiece
 from pyspark.sql import DataFrame
 
 from quern.core import col
-from quern.llm.batches import lists, slices, without
+from quern.llm.batches import lists, release, slices, without
 
 CHUNK = 4 << 20
-KEEP = 1_000_000  # words remembered in a worker; only speed depends on it
+KEEP = 300_000  # words remembered in a task; only speed depends on it
 SHORT = 64  # longer ones are forgotten after their block of texts
 MARK = "▁"
 MARKED = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -40,12 +40,6 @@ def load(path: str) -> sentencepiece.SentencePieceProcessor:
     return sp
 
 
-@functools.lru_cache(maxsize=4)
-def words_of(path: str) -> dict[str, bytes]:
-    """The worker's table of marked words and their ids under a model file."""
-    return {}
-
-
 def segment(sp: sentencepiece.SentencePieceProcessor, marked: list[str]) -> list[list[int]]:
     """Ids of each marked word. The library adds the first marker itself, so it is taken off before."""
     found = sp.encode([m.replace(MARK, " ")[1:] for m in marked], num_threads=1)
@@ -71,7 +65,7 @@ def encode_texts(sp: sentencepiece.SentencePieceProcessor, texts: list[str | Non
 
 
 def _encode(batches: Iterable[pa.RecordBatch], path: str, decode: bool) -> Iterator[pa.RecordBatch]:
-    sp, table = load(path), words_of(path)
+    sp, table = load(path), {}
     for whole in batches:
         for batch in slices(whole, "_text", CHUNK):
             ids = encode_texts(sp, batch.column("_text").to_pylist(), table)
@@ -81,6 +75,8 @@ def _encode(batches: Iterable[pa.RecordBatch], path: str, decode: bool) -> Itera
                 made["decoded"] = pa.array([sp.decode(x) if x else "" for x in ids], pa.string())
             rest = {f: c for f, c in zip(batch.schema.names, batch.columns, strict=True) if f != "_text"} | made
             yield pa.RecordBatch.from_arrays(list(rest.values()), names=list(rest))
+    table.clear()
+    release()
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", decode: bool = False) -> DataFrame:

@@ -5,11 +5,13 @@ those counts allow a pair within the radius; a pair of tiles is compared by excl
 on a spanning forest of its links, not all of them. Components follow by alternating star steps on the links.
 
 With a `similarity` the bits only name candidates: nodes are distinct sets of shingles, each pair of tiles names its
-rows with a candidate, and their sets are read for an exact test of every candidate before the forest is made.
+rows with a candidate, and their sets are read for an exact test of every candidate before the forest is made. Tiles
+are then made by the number of shingles, as sets that similar are of about the same size.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from fractions import Fraction
 from itertools import product
@@ -21,11 +23,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.core import col, materialize
-from quern.llm.batches import lists, slices
+from quern.llm.batches import lists, release, slices
 
 CHUNK = 4 << 20
 SEED = 42
 ROWS = 1 << 16  # shingles whose bits are unpacked at once
+STEPS = 4  # tiles between two set sizes that the similarity still allows
+TILE_BYTES = 32 << 20  # of the shingles in a tile
 TESTED = 16  # candidates tested before those connected meanwhile are left out
 
 
@@ -78,7 +82,9 @@ def _sketch(batches: Iterable[pa.RecordBatch], size: int, lanes: int, sets: bool
             out = [batch.column("k"), batch.column("th"), lists(flat, np.full(len(made), lanes))]
             if sets:
                 out.append(pa.array(np.fromiter((xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in hashes), np.uint64, len(hashes)).view(np.int64)))
-            yield pa.RecordBatch.from_arrays(out, names=["k", "th", "lanes", "sh"][: len(out)])
+                out.append(pa.array(np.fromiter(map(len, hashes), np.int64, len(hashes))))
+            yield pa.RecordBatch.from_arrays(out, names=["k", "th", "lanes", "sh", "n"][: len(out)])
+    release()
 
 
 def _sets(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -92,11 +98,11 @@ def _sets(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
 def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, lanes: int = 1, sets: bool = False) -> DataFrame:
     """(k, th, lanes): key, hash of the text and fingerprint of every whole text; null texts count as empty (zero).
 
-    With `sets` a repeated shingle counts once, and `sh` is a hash of the set of shingles.
+    With `sets` a repeated shingle counts once, `sh` is a hash of the set of shingles and `n` its size.
     """
     body = F.coalesce(col(text).cast("string"), F.lit(""))
     rows = docs.select(col(key).cast("long").alias("k"), F.xxhash64(body).alias("th"), body.alias("t"))
-    return rows.mapInArrow(lambda b: _sketch(b, shingle, lanes, sets), "k long, th long, lanes array<long>" + ", sh long" * sets)
+    return rows.mapInArrow(lambda b: _sketch(b, shingle, lanes, sets), "k long, th long, lanes array<long>" + ", sh long, n long" * sets)
 
 
 def _section_counts(lane: Column, sections: int, width: int) -> Column:
@@ -180,6 +186,7 @@ def _touched(batches: Iterable[pa.RecordBatch], lanes: int, first_radius: int, r
                 found = ids[side][hit[side]]
                 where = [pa.array(np.full(len(found), row[c], np.int64)) for c in ("tile_a", "part_a", "tile_b", "part_b")]
                 yield pa.RecordBatch.from_arrays([*where, pa.array(np.full(len(found), side == 1)), pa.array(found)], names=["tile_a", "part_a", "tile_b", "part_b", "second", "id"])
+    release()
 
 
 def similar_links(shingles: list[np.ndarray], a: np.ndarray, b: np.ndarray, same: bool, first_radius: int, radius: int, similarity: Fraction) -> list[tuple[int, int]]:
@@ -242,16 +249,18 @@ def _pack(table: pa.Table) -> pa.Table:
     return pa.table({"tile": table.column("tile")[:1], "part": table.column("part")[:1], "ids": pa.array([ids.astype(np.int64).tobytes()], pa.binary()), "fp": pa.array([flat.astype(np.int64).tobytes()], pa.binary())})
 
 
-def tile_pairs(nodes: DataFrame, radius: int, sections: int, width: int, tile_rows: int) -> DataFrame:
-    """The packed ids and fingerprints of every two tiles that can hold a pair within the radius (of the first lane)."""
-    tiled = nodes.select("id", "lanes", _section_counts(F.get("lanes", 0), sections, width).alias("tile"))
-    counts = tiled.groupBy("tile").agg(F.count("*").alias("n"))
-    parts = counts.select("tile", F.ceil(F.col("n") / tile_rows).cast("int").alias("parts"))
-    dealt = tiled.join(parts, "tile").select("id", "lanes", "tile", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+def tile_pairs(tiled: DataFrame, steps: Iterable[int], parts: Column) -> DataFrame:
+    """The packed ids and fingerprints of every two tiles whose numbers differ by one of the steps.
+
+    `tiled` has id, lanes, tile and n; `parts` says from count and largest n into how many parts a tile is dealt.
+    """
+    counts = tiled.groupBy("tile").agg(F.count("*").alias("count"), F.max("n").alias("n"))
+    dealt = tiled.drop("n").join(counts.select("tile", F.greatest(parts.cast("int"), F.lit(1)).alias("parts")), "tile")
+    dealt = dealt.select("id", "lanes", "tile", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
     packed = materialize(dealt.groupBy("tile", "part").applyInArrow(_pack, "tile long, part int, ids binary, fp binary"), "tiles")
-    steps = F.array(*[F.lit(s).cast("long") for s in neighbour_steps(sections, width, radius)])
+    ahead = F.array(*[F.lit(s).cast("long") for s in steps])
     here = packed.select("tile", "part")
-    pairs = here.select(F.col("tile").alias("tile_a"), F.col("part").alias("part_a"), F.explode(F.transform(steps, lambda s: F.col("tile") + s)).alias("tile"))
+    pairs = here.select(F.col("tile").alias("tile_a"), F.col("part").alias("part_a"), F.explode(F.transform(ahead, lambda s: F.col("tile") + s)).alias("tile"))
     pairs = pairs.join(here, "tile").where("tile > tile_a or tile < tile_a or part >= part_a").select("tile_a", "part_a", F.col("tile").alias("tile_b"), F.col("part").alias("part_b"))
     side = lambda x: packed.select(F.col("tile").alias(f"tile_{x}"), F.col("part").alias(f"part_{x}"), F.col("ids").alias(f"ids_{x}"), F.col("fp").alias(f"fp_{x}"))
     full = pairs.join(side("a"), ["tile_a", "part_a"]).join(side("b"), ["tile_b", "part_b"])
@@ -261,7 +270,8 @@ def tile_pairs(nodes: DataFrame, radius: int, sections: int, width: int, tile_ro
 
 def links(nodes: DataFrame, lanes: int, radius: int, first_radius: int, sections: int, width: int, tile_rows: int) -> DataFrame:
     """(a, b): links between node ids that connect all nodes within the radius. `nodes` has id and lanes, stored."""
-    full = tile_pairs(nodes, min(radius, first_radius), sections, width, tile_rows)
+    tiled = nodes.select("id", "lanes", _section_counts(F.get("lanes", 0), sections, width).alias("tile"), F.lit(1).alias("n"))
+    full = tile_pairs(tiled, neighbour_steps(sections, width, min(radius, first_radius)), F.ceil(F.col("count") / tile_rows))
     return full.select("ids_a", "fp_a", "ids_b", "fp_b", "same").mapInArrow(lambda b: _compare(b, lanes, first_radius, radius), "a long, b long")
 
 
@@ -270,9 +280,15 @@ def _place(key: Column) -> Column:
     return F.coalesce(key.cast("long").cast("string"), F.lit("-"))
 
 
-def verified_links(nodes: DataFrame, docs: DataFrame, key: str, text: str, shingle: int, similarity: float, lanes: int, radius: int, first_radius: int, sections: int, width: int, tile_rows: int) -> DataFrame:
-    """(a, b): links that connect the nodes of at least the similarity. `nodes` has id, lanes and (k, th) of one of its rows in `docs`."""
-    full = tile_pairs(nodes, min(radius, first_radius), sections, width, tile_rows)
+def verified_links(nodes: DataFrame, docs: DataFrame, key: str, text: str, shingle: int, similarity: float, lanes: int, radius: int, first_radius: int, tile_rows: int) -> DataFrame:
+    """(a, b): links that connect the nodes of at least the similarity. `nodes` has id, lanes, n and (k, th) of one of its rows in `docs`.
+
+    Tiles are made by the size of the set of shingles, in steps of the log size: only sets of about the same size can
+    be that similar. The shingles of a tile stay within TILE_BYTES, a single larger set apart.
+    """
+    step = math.log(1 / similarity) / STEPS if similarity < 1 else 1e-9
+    tiled = nodes.select("id", "lanes", F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / step + 1e-9).cast("long").alias("tile"), "n")
+    full = tile_pairs(tiled, range(STEPS + 2), F.greatest(F.ceil(F.col("count") / tile_rows), F.ceil(F.col("count") * F.col("n") * 8 / TILE_BYTES)))
     at = "tile_a long, part_a long, tile_b long, part_b long, second boolean, id long"
     touched = materialize(full.mapInArrow(lambda b: _touched(b, lanes, first_radius, radius), at), "touched")
     wanted = nodes.join(touched.select("id").distinct(), "id").select("id", "lanes", _place(F.col("k")).alias("_at"), F.col("th").alias("_th"))
@@ -315,18 +331,18 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
     """(k, th, lanes, component): every row's key, text hash, fingerprint and the smallest key linked with it.
 
     Fingerprints link at `radius` or fewer differing bits over all lanes, of which `first_radius` (default: radius)
-    or fewer in the first. Small radii should use more `sections`, which leaves fewer tile pairs; large ones use one
-    section and `width` above the radius, and then compare about all pairs. Null texts are empty; rows of a null key
+    or fewer in the first. Small radii should use more `sections`, which leaves fewer tile pairs. Null texts are empty; rows of a null key
     get the component of their fingerprint, null if no key is linked with it. An empty table gives no rows.
 
-    With a `similarity` only pairs within the radius that share at least that part of their distinct shingles link.
+    With a `similarity` only pairs within the radius that share at least that part of their distinct shingles link;
+    tiles then follow the number of shingles, not `sections` and `width`.
     """
     first = radius if first_radius is None else first_radius
     if similarity is not None:
         made = materialize(sketches(docs, key, text, shingle, lanes, sets=True), "sketches")
         rep = F.min(F.struct(F.col("k").isNull().alias("none"), "k", "th"))
-        nodes = materialize(made.groupBy("lanes", "sh").agg(rep.alias("m")).select("lanes", "sh", "m.k", "m.th", F.xxhash64("lanes", "sh").alias("id")), "nodes")
-        roots = connected(verified_links(nodes, docs, key, text, shingle, similarity, lanes, radius, first, sections, width, tile_rows))
+        nodes = materialize(made.groupBy("lanes", "sh").agg(rep.alias("m"), F.max("n").alias("n")).select("lanes", "sh", "n", "m.k", "m.th", F.xxhash64("lanes", "sh").alias("id")), "nodes")
+        roots = connected(verified_links(nodes, docs, key, text, shingle, similarity, lanes, radius, first, tile_rows))
         placed = nodes.join(roots, "id", "left").select("lanes", "sh", "k", F.coalesce("root", "id").alias("root"))
         least = placed.groupBy("root").agg(F.min("k").alias("component"))
         named = materialize(placed.join(least, "root").select("lanes", "sh", "component"), "groups")

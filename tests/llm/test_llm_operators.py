@@ -225,3 +225,24 @@ def test_connected_chain(spark):
     chain = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 100), (200, 200)]
     got = {r.id: r.root for r in simhash.connected(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {i: 1 for i in range(1, 41)} | {100: 100, 101: 100}
+
+
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() % 2] for i in range(n)), "".join("ba"[i.bit_count() % 2] for i in range(n))
+
+
+def test_words_with_clashing_sums_stay(spark):
+    x, y = thue_morse(1024)
+    docs = spark.createDataFrame([(1, " ".join([x] * 20)), (2, " ".join([y] * 20)), (3, " ".join([x] * 20)), (4, "long " * 19 + "z" * 5000)], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in substrings.remove_repeats(docs, n_removed="n_removed").collect()}
+    assert got == {1: 0, 2: 0, 3: 20, 4: 0}
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("slices_")]
+
+
+def test_last_level_compares_words(spark, monkeypatch):
+    data = np.frombuffer(b"a b c d a b c d x b c d a b c d", np.uint8)
+    w = substrings.Words(data, np.array([0, len(data)]))
+    w.windows[4] = np.zeros(16, np.uint64)  # every window under one hash
+    at = np.array([0, 4, 8, 12])
+    same = w.classes(at, 4)
+    assert same[0] == same[1] == same[3] != same[2] and sorted(set(same.tolist())) == [0, 1]
