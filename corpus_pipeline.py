@@ -17,7 +17,7 @@ from quern.llm.batches import words
 #: Near copies share at least 0.8 of their distinct five-word shingles. The bits only name candidates, wide of that: over
 #: 512 bits such a pair differs in 78 on average (standard deviation 8; 96 and 9 if it has four and five shingles),
 #: unrelated texts in 256; over the first 64 bits in 10 (12) and 32. The shingles decide.
-NEAR = {"shingle": 5, "similarity": 0.8, "lanes": 8, "radius": 130, "first_radius": 24, "sections": 1, "width": 25, "tile_rows": 8192}
+NEAR = {"shingle": 5, "similarity": 0.8, "lanes": 8, "radius": 130, "first_radius": 24, "tile_rows": 8192}
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
