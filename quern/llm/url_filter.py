@@ -1,8 +1,9 @@
 """URL filter: fixed host and path rules first, then a tree of path templates per host with learned verdicts.
 
-Segments that look variable (a digit, an escape, very long) become `*` at once. Level by level, the branches below
-a node whose labelled share does not differ significantly from that of their siblings are merged into `*` as well.
-A template is rejected if its purity, the share of good labels smoothed towards its host and all pages, is too low.
+A path segment is kept by name where enough labelled pages of its host have it at its place, whatever its characters;
+all others become `*` at once. Level by level, the named branches below a node whose labelled share does not differ
+significantly from that of their siblings are merged into `*` as well. A template is rejected if its purity, the share
+of good labels smoothed towards its host and all pages, is too low.
 """
 
 from __future__ import annotations
@@ -38,10 +39,24 @@ def matched_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return name, verdict
 
 
-def segments(path: Column, longest: int = 40) -> Column:
-    """Path segments with the variable ones generalised."""
-    variable = lambda s: s.rlike(r"[0-9%]") | (F.length(s) > longest)
-    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.when(variable(s), F.lit(WILD)).otherwise(s))
+def segments(path: Column) -> Column:
+    """The segments of a path; empty ones do not count."""
+    return F.filter(F.split(path, "/"), lambda s: s != "")
+
+
+def generalise(paths: DataFrame, least: int) -> DataFrame:
+    """(host, path, raw): the segments of each path, rare ones as `*`. `paths` has host, path, labelled (stored).
+
+    A segment keeps its name if at least `least` labelled pages of the host have it at that place, and as many other
+    labelled pages of the host do not: no other segment can differ from its siblings.
+    """
+    each = paths.select("host", "path", "labelled", F.posexplode_outer(segments(F.col("path"))).alias("at", "segment"))
+    counts = each.where("at is not null and labelled > 0").groupBy("host", "at", "segment").agg(F.sum("labelled").alias("n"))
+    hosts = paths.groupBy("host").agg(F.sum("labelled").alias("all"))
+    often = counts.where(F.col("n") >= least).join(hosts, "host").where(F.col("all") - F.col("n") >= least)
+    named = each.join(often.select("host", "at", "segment", F.lit(True).alias("often")), ["host", "at", "segment"], "left")
+    label = F.when(F.col("at").isNotNull(), F.struct("at", F.when(F.col("often"), F.col("segment")).otherwise(F.lit(WILD)).alias("label")))
+    return named.groupBy("host", "path").agg(F.transform(F.sort_array(F.collect_list(label)), lambda x: x["label"]).alias("raw"))
 
 
 def _merge_level(nodes: DataFrame, depth: int, least: int, z: float) -> DataFrame:
@@ -56,31 +71,46 @@ def _merge_level(nodes: DataFrame, depth: int, least: int, z: float) -> DataFram
     both = kids.join(all_kids, ["host", "done"])
     rest_n, rest_b = F.col("pn") - F.col("n"), F.col("pb") - F.col("b")
     p = (F.col("pb") + 1) / (F.col("pn") + 2)
-    error = F.sqrt(p * (1 - p) * (F.lit(1.0) / F.col("n") + F.lit(1.0) / rest_n))
-    own = F.when((F.col("n") >= least) & (rest_n >= least), F.abs(F.col("b") / F.col("n") - rest_b / rest_n) >= z * error).otherwise(F.lit(False))
+    error = F.sqrt(p * (1 - p) * (F.try_divide(F.lit(1.0), F.col("n")) + F.try_divide(F.lit(1.0), rest_n)))
+    own = F.when((F.col("n") >= least) & (rest_n >= least) & (F.col("child") != WILD), F.abs(F.try_divide(F.col("b"), F.col("n")) - F.try_divide(rest_b, rest_n)) >= z * error).otherwise(F.lit(False))
     named = both.select("host", "done", "child", F.when(own, F.col("child")).otherwise(F.lit(WILD)).alias("label"))
     out = here.join(named, ["host", "done", "child"], "left")
     return out.select("host", "raw", F.when(F.col("label").isNull(), F.col("done")).otherwise(F.concat("done", F.lit("/"), "label")).alias("done"), "labelled", "bad")
 
 
 def learn(pages: DataFrame, least: int = 10, z: float = 2.0, prior: float = 10.0) -> DataFrame:
-    """(host, raw, template, purity) for every distinct generalised path, from host, raw and bad (null: no label).
+    """(host, path, template, purity) for every distinct path, from host, path and bad (null: no label).
 
-    Rows are summed per host and path first; each level of the tree is one job over those sums. Purity is smoothed
-    by `prior` labels of the host's share, which is smoothed by as many of the share of all pages.
+    Rows are summed per host and path first. Only places with a named segment are worked on, one job each over the
+    distinct generalised paths: a deep path without such segments adds none. Purity is smoothed by `prior` labels of
+    the host's share, which is smoothed by as many of the share of all pages.
     """
-    sums = pages.groupBy("host", "raw").agg(F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    nodes = materialize(sums.select("host", "raw", F.lit("").alias("done"), "labelled", "bad"), "paths")
-    total = nodes.agg(F.max(F.size("raw")).alias("deep"), F.sum("labelled").alias("n"), F.sum("bad").alias("b")).collect()[0]
-    for depth in range(total["deep"] or 0):
-        nodes = materialize(_merge_level(nodes, depth, least, z), "paths")
+    sums = pages.groupBy("host", "path").agg(F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    sums = materialize(sums, "paths")
+    raw = materialize(generalise(sums, least), "paths")
+    nodes = sums.join(raw, ["host", "path"]).groupBy("host", "raw").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    nodes = materialize(nodes.select("host", "raw", F.lit("").alias("done"), "labelled", "bad"), "paths")
+    total = nodes.agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b")).collect()[0]
+    named = nodes.select(F.posexplode("raw").alias("at", "segment")).where(F.col("segment") != WILD).select("at").distinct()
+    upto = 0
+    for depth in sorted(r["at"] for r in named.collect()):
+        nodes = materialize(_merge_level(_skip(nodes, upto, depth), depth, least, z), "paths")
+        upto = depth + 1
+    nodes = _skip(nodes, upto, None)
     share = ((total["b"] or 0) + 1.0) / ((total["n"] or 0) + 2.0)
     tree = nodes.groupBy("host", "done").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("b"))
     hosts = tree.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("b").alias("hb"))
     of_host = (F.col("hb") + prior * share) / (F.col("hn") + prior)
     bad = (F.col("b") + prior * of_host) / (F.col("n") + prior)
     judged = tree.join(hosts, "host").select("host", "done", F.round(1.0 - bad, 9).alias("purity"))
-    return nodes.select("host", "raw", "done").join(judged, ["host", "done"]).select("host", "raw", F.col("done").alias("template"), "purity")
+    found = nodes.select("host", "raw", "done").join(judged, ["host", "done"]).select("host", "raw", F.col("done").alias("template"), "purity")
+    return raw.join(found, ["host", "raw"]).select("host", "path", "template", "purity")
+
+
+def _skip(nodes: DataFrame, start: int, stop: int | None) -> DataFrame:
+    """The nodes with their segments from `start` up to `stop`, all of them `*`, put into `done`."""
+    size = F.size("raw") if stop is None else F.least(F.size("raw"), F.lit(stop))
+    return nodes.withColumn("done", F.concat("done", F.repeat(F.lit("/" + WILD), F.greatest(size - start, F.lit(0)))))
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]], key: str = "page_id", url: str = "url", limit: float = 0.5) -> DataFrame:
@@ -93,10 +123,9 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
     kept = [col(c) for c in without(pages, ["host", "path", "template", "purity", "rule", "verdict", "raw", "bad", "_key"]).columns]
     host, path = parts(col(url).cast("string"))
     rows = pages.select(*kept, col(key).alias("_key"), host.alias("host"), path.alias("path"))
-    rows = rows.select("*", segments(F.col("path")).alias("raw"))
     known = labels.select(col(key).alias("_key"), F.col("bad").cast("long").alias("bad")).where("_key is not null").groupBy("_key").agg(F.max("bad").alias("bad"))
-    tree = materialize(learn(rows.select("_key", "host", "raw").join(known, "_key", "left")), "templates")
+    tree = materialize(learn(rows.select("_key", "host", "path").join(known, "_key", "left")), "templates")
     name, said = matched_rule(F.col("host"), F.col("path"), rules)
-    out = rows.join(tree, ["host", "raw"], "left").drop("_key", "raw")
+    out = rows.join(tree, ["host", "path"], "left").drop("_key")
     by_method = F.when(F.col("purity") < limit, F.lit("block")).otherwise(F.lit("allow"))
     return out.withColumn("rule", name).withColumn("verdict", F.coalesce(said, by_method))
