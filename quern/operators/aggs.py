@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.core import attach, bounded_levels, col, describe_rows, explode_rows, is_numeric, numeric_columns, one_row, per_column, string_columns
+from quern.core import attach, bounded_levels, col, describe_rows, explode_rows, is_numeric, materialize, numeric_columns, one_row, per_column, string_columns
 from quern.operators.quality import duplicate_counts
 from quern.operators.quantiles import group_quantiles, quantiles
 
@@ -29,9 +29,16 @@ def value_counts(df: DataFrame, column: str, keep_missing: bool = False) -> Data
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
-    """Distinct present values per column; the approximate form keeps a fixed-size sketch each."""
-    measure = (lambda c: F.approx_count_distinct(col(c))) if approximate else (lambda c: F.count_distinct(col(c)))
-    return per_column(df, list(columns or df.columns), {"distinct": measure})
+    """Distinct present values per column; the approximate form keeps a fixed-size sketch each.
+
+    The exact form reads each column by itself: its distinct values are found in the map tasks, shuffled once and
+    counted. Counting several columns in one aggregate would make Spark repeat every row for every column.
+    """
+    cols = list(columns or df.columns)
+    if approximate:
+        return per_column(df, cols, {"distinct": lambda c: F.approx_count_distinct(col(c))})
+    parts = [df.select(col(c).alias("v")).where("v is not null").distinct().agg(F.count("*").alias("distinct")).select(F.lit(c).alias("column"), "distinct") for c in cols]
+    return reduce(DataFrame.unionAll, parts)
 
 
 def corrected_skew(c: Column) -> Column:
@@ -87,9 +94,8 @@ def full_profile(df: DataFrame) -> DataFrame:
         {
             "missing": lambda c: F.count_if(col(c).isNull()),
             "missing_percent": lambda c: F.round(F.try_divide(F.count_if(col(c).isNull()) * 100.0, F.count("*")), 2),
-            "distinct": lambda c: F.count_distinct(col(c)),
         },
-    )
+    ).join(distinct_counts(df), "column")
     stats = describe_numbers(df).drop("count")
     digits = [c for c in stats.columns if c != "column"]
     return base.join(stats.withColumns({c: F.round(c, 4) for c in digits}), "column", "left")
@@ -130,52 +136,76 @@ def pearson(a: Column, b: Column) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
-# Up to this many columns every pair is an aggregate expression of its own.
-NARROW = 8
+MOMENTS = ("n", "mx", "my", "vx", "vy", "cov")
+
+
+def _merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Counts, means and sums of squares and products about the means, of two sets of rows together."""
+    n = a[0] + b[0]
+    share = np.divide(b[0], n, out=np.zeros_like(n), where=n > 0)
+    dx, dy = b[1] - a[1], b[2] - a[2]
+    f = a[0] * share
+    return np.stack([n, a[1] + dx * share, a[2] + dy * share, a[3] + b[3] + dx * dx * f, a[4] + b[4] + dy * dy * f, a[5] + b[5] + dx * dy * f])
+
+
+def _batch_moments(raw: np.ndarray) -> np.ndarray:
+    """MOMENTS of every pair of columns over the rows where both are present, about the pair's own means."""
+    i, j = np.triu_indices(raw.shape[1], 1)
+    seen = ~np.isnan(raw)
+    m = seen.astype(np.float64)
+    centre = np.where(seen, raw, 0.0).sum(0) / np.maximum(m.sum(0), 1)
+    d = np.where(seen, raw - centre, 0.0)
+    n, s, q = m.T @ m, d.T @ m, (d * d).T @ m
+    mean = s / np.maximum(n, 1)
+    v, c = q - s * mean, d.T @ d - s * mean.T
+    out = np.stack([n[i, j], (centre[:, None] + mean)[i, j], (centre[:, None] + mean)[j, i], v[i, j], v[j, i], c[i, j]])
+    # Where the pair's rows lie far from a column's mean, the difference of large sums is not good enough.
+    weak = (n > 0) & (v < 1e-3 * q)
+    for p in np.flatnonzero(weak[i, j] | weak[j, i]):
+        rows = seen[:, i[p]] & seen[:, j[p]]
+        x, y = raw[rows, i[p]], raw[rows, j[p]]
+        mx, my = x.mean(), y.mean()
+        out[:, p] = len(x), mx, my, ((x - mx) ** 2).sum(), ((y - my) ** 2).sum(), ((x - mx) * (y - my)).sum()
+    return out
 
 
-def _pair_sums(width: int):
-    """Task function: sums over the rows where both columns of a pair are present."""
+def _pair_moments(width: int):
+    """Task function: MOMENTS of every pair over the rows of one partition."""
 
     def run(batches):
         total = None
         for batch in batches:
-            raw = np.stack(batch["v"].to_numpy()).astype(np.float64)
-            seen = ~np.isnan(raw)
-            x, m = np.where(seen, raw, 0.0), seen.astype(np.float64)
-            part = np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
-            total = part if total is None else total + part
+            part = _batch_moments(np.stack(batch["v"].to_numpy()).astype(np.float64))
+            total = part if total is None else _merged(total, part)
         if total is not None:
             i, j = np.triu_indices(width, 1)
-            yield pd.DataFrame({"i": i, "j": j, **{n: total[t][i, j] for t, n in enumerate(("n", "sx", "sy", "sxx", "syy", "sxy"))}})
+            yield pd.DataFrame({"i": i, "j": j, **dict(zip(MOMENTS, total))})
 
     return run
 
 
-def _wide_correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pair sums by matrix products per partition; columns are shifted by their means first so
-    that the sums stay small. Missing values travel as NaN."""
-    means = one_row(df, *[F.coalesce(F.avg(col(c).cast("double")), F.lit(0.0)) for c in cols])
-    shifted = F.array(*[F.coalesce(col(c).cast("double") - F.lit(m), F.lit(float("nan"))) for c, m in zip(cols, means)])
-    schema = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
-    sums = df.select(shifted.alias("v")).mapInPandas(_pair_sums(len(cols)), schema)
-    n, sx, sy, sxx, syy, sxy = (F.sum(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy"))
-    vx, vy = sxx - F.try_divide(sx * sx, n), syy - F.try_divide(sy * sy, n)
-    # A constant column leaves only rounding noise as its variance.
-    real = (vx > 1e-12 * sxx) & (vy > 1e-12 * syy)
-    r = F.when(real, F.try_divide(sxy - F.try_divide(sx * sy, n), F.sqrt(vx * vy)))
-    names = F.array(*[F.lit(c) for c in cols])
-    return sums.groupBy("i", "j").agg(r.alias("r")).select(names[F.col("i")].alias("left"), names[F.col("j")].alias("right"), "r")
-
-
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Pearson correlation of every column pair in one aggregate; missing handled per pair."""
+    """Pearson correlation of every column pair: (left, right, r), by one formula at any number of columns.
+
+    Missing values (and NaN) are left out per pair, means are taken over the pair's own rows. A column whose values
+    over these rows differ by no more than rounding (1e-14 of their mean) is constant: r is missing.
+    """
     cols = list(columns or numeric_columns(df))
-    if len(cols) > NARROW:
-        return _wide_correlations(df, cols)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    row = df.agg(*[pearson(col(a), col(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    return row.select(F.inline(F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)])))
+    values = F.array(*[F.coalesce(col(c).cast("double"), F.lit(float("nan"))) for c in cols])
+    schema = "i int, j int, " + ", ".join(f"{m} double" for m in MOMENTS)
+    parts = df.select(values.alias("v")).mapInPandas(_pair_moments(len(cols)), schema)
+    mean = lambda c: F.coalesce(F.try_divide(F.sum(F.col("n") * F.col(c)), F.sum("n")), F.lit(0.0))
+    parts = materialize(parts, "moments")
+    whole = parts.groupBy("i", "j").agg(mean("mx").alias("ax"), mean("my").alias("ay"))
+    dx, dy = F.col("mx") - F.col("ax"), F.col("my") - F.col("ay")
+    sums = parts.join(whole, ["i", "j"]).groupBy("i", "j").agg(
+        F.sum("n").alias("n"), F.first("ax").alias("ax"), F.first("ay").alias("ay"),
+        F.sum(F.col("vx") + F.col("n") * dx * dx).alias("vx"), F.sum(F.col("vy") + F.col("n") * dy * dy).alias("vy"), F.sum(F.col("cov") + F.col("n") * dx * dy).alias("cov"),
+    )
+    varies = lambda v, a: F.col(v) > F.col("n") * F.pow(F.abs(a) * 1e-14, 2)
+    r = F.when(varies("vx", "ax") & varies("vy", "ay"), F.col("cov") / F.sqrt(F.col("vx")) / F.sqrt(F.col("vy")))
+    names = F.array(*[F.lit(c) for c in cols])
+    return sums.select(names[F.col("i")].alias("left"), names[F.col("j")].alias("right"), r.alias("r"))
 
 
 def target_correlations(df: DataFrame, target: str, columns: Sequence[str] | None = None, k: int = 15) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from quern.core import attach, col, describe_rows, explode_rows, hash_unit, materialize, one_row
 from quern.operators import evaluate, ordered
+from quern.operators.neighbours import Neighbours
 from quern.operators.shape import signed_log, signed_log_inverse
 from quern.operators.windows import fold_of
 
@@ -58,6 +59,7 @@ CLASSIFIERS = {
     "GradientBoosting": lambda p: C.GBTClassifier(maxIter=p.get("n_estimators", 100), maxDepth=p.get("max_depth", 3), stepSize=p.get("learning_rate", 0.1), seed=p.get("seed", 42)),
     "XGBoost": lambda p: C.GBTClassifier(maxIter=p.get("n_estimators", 100), maxDepth=p.get("max_depth", 6), stepSize=p.get("learning_rate", 0.1), subsamplingRate=p.get("subsample", 0.8), seed=p.get("seed", 42)),
     "SVM": lambda p: C.LinearSVC(regParam=p.get("reg_param", 0.01), maxIter=p.get("max_iter", 100), standardization=False),
+    "KNearestNeighbors": lambda p: Neighbours(k=p.get("knn_neighbors", 5), weights=p.get("knn_weights", "uniform")),
     "NaiveBayes": lambda p: C.NaiveBayes(modelType="gaussian"),
 }
 REGRESSORS = {
@@ -68,6 +70,7 @@ REGRESSORS = {
     "DecisionTreeRegressor": lambda p: R.DecisionTreeRegressor(maxDepth=p.get("max_depth", 10), minInstancesPerNode=p.get("min_samples_leaf", 1), seed=p.get("seed", 42)),
     "RandomForestRegressor": lambda p: R.RandomForestRegressor(numTrees=p.get("n_estimators", 100), maxDepth=p.get("max_depth", 10), seed=p.get("seed", 42)),
     "GradientBoostingRegressor": lambda p: R.GBTRegressor(maxIter=p.get("n_estimators", 100), maxDepth=p.get("max_depth", 3), stepSize=p.get("learning_rate", 0.1), seed=p.get("seed", 42)),
+    "KNNRegressor": lambda p: Neighbours(k=p.get("knn_neighbors", 5), weights=p.get("knn_weights", "uniform"), regression=True),
 }
 # Search grids.
 GRIDS = {
@@ -76,6 +79,8 @@ GRIDS = {
     "RandomForest": {"numTrees": [50, 100, 200], "maxDepth": [5, 10, 20], "minInstancesPerNode": [1, 2, 4]},
     "GradientBoosting": {"stepSize": [0.01, 0.05, 0.1, 0.2], "maxIter": [50, 100, 200], "maxDepth": [3, 5, 7]},
     "SVM": {"C": [0.1, 1.0, 10.0]},
+    "KNearestNeighbors": {"knn_neighbors": [3, 5, 7], "knn_weights": ["uniform", "distance"]},
+    "KNNRegressor": {"knn_neighbors": [3, 5, 7], "knn_weights": ["uniform", "distance"]},
     "RandomForestRegressor": {"numTrees": [50, 100, 200], "maxDepth": [5, 10, 20]},
     "GradientBoostingRegressor": {"stepSize": [0.01, 0.05, 0.1], "maxIter": [50, 100, 200], "maxDepth": [3, 5, 7]},
     "DecisionTreeRegressor": {"maxDepth": [5, 10, 20], "minInstancesPerNode": [1, 2, 4]},
@@ -223,7 +228,7 @@ def tune(df: DataFrame, key: str, features: Sequence[str], label: str, algorithm
         combos = random.Random(seed).sample(combos, sample)
     penalised = any(k in ("C", "alpha", "l1_ratio") for k in choices)
     native = penalties(df, label, algorithm, combos) if penalised else combos
-    named = {"reg_param": "regParam", "elastic_net": "elasticNetParam"}
+    named = {"reg_param": "regParam", "elastic_net": "elasticNetParam", "knn_neighbors": "k", "knn_weights": "weights"}
     maps = [ParamGridBuilder().baseOn({base.getParam(named.get(k, k)): v for k, v in c.items()}).build()[0] for c in native]
     if task_of(algorithm) == "classification":
         judge = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")

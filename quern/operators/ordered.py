@@ -1,9 +1,9 @@
 """Ordered per-key work (positions, running sums, previous value, fills) without one task per key.
 
-A key may hold a third of all rows, so a key's timeline is cut into blocks by the order
-column. Each block is a window partition of its own; the little that must cross a block
-edge (a count, a sum, a last value) is aggregated per block, chained over the blocks and
-joined back.
+A key may hold a third of all rows, so a key's timeline is cut into blocks by the whole
+order tuple, ended by a row number: text, null and tied orders are cut like any other. Each
+block is a window partition of its own; the little that must cross a block edge (a count, a
+sum, a last value) is aggregated per block, chained over the blocks and joined back.
 """
 
 from __future__ import annotations
@@ -15,21 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.core import col, one_row
+from quern.core import col, materialize
 
 BLOCK_ROWS = 1_000_000
-# Cuts taken from the data, and equal slices between two cuts when that is not enough.
-MAX_CUTS = 256
-MAX_SLICES = 4096
-
-
-def _axis(df: DataFrame, name: str) -> Column:
-    kind = df.schema[name].dataType
-    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(col(name).cast("timestamp"))
-    if isinstance(kind, T.NumericType):
-        return col(name)
-    raise ValueError(f"order column '{name}' must be numeric or a time")
+# Cuts held by the driver and every task, and sampled rows per cut.
+MAX_CUTS = 16_384
+SAMPLED = 20
+ROW = "_row_number"
 
 
 def cut_tree(value: Column, cuts: Sequence[float], low: int = 0) -> Column:
@@ -40,25 +32,44 @@ def cut_tree(value: Column, cuts: Sequence[float], low: int = 0) -> Column:
     return F.when(value < F.lit(cuts[mid]), cut_tree(value, cuts[:mid], low)).otherwise(cut_tree(value, cuts[mid + 1:], low + mid + 1))
 
 
-def block_column(df: DataFrame, order: Sequence[str], block_rows: int | None = None) -> Column | None:
-    """Block index over the first order column, or None when the table fits one block."""
+def _sortable(df: DataFrame, name: str) -> Column:
+    """An order column in a form that travels to the driver and back unchanged."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(col(name).cast("timestamp"))
+    return col(name)
+
+
+def blocked(df: DataFrame, order: Sequence[str], block_rows: int | None = None) -> tuple[DataFrame, list[str], bool]:
+    """The rows with `_block`, the order that makes them unique, and whether there is more than one block.
+
+    A table of more than `block_rows` rows is stored once with a number for each row, so every later pass sees the same
+    blocks. The cuts are every SAMPLED-th of a sorted sample of (order, row number); a row's block is the number of
+    cuts that are not above it, found by halving.
+    """
     block_rows = block_rows or BLOCK_ROWS
-    axis = _axis(df, order[0])
     total = df.count()
     if total <= block_rows:
-        return None
-    blocks = -(-total // block_rows)
-    spans = min(MAX_CUTS, blocks)
-    slices = min(MAX_SLICES, -(-blocks // spans))
-    probs = F.array(*[F.lit(i / spans) for i in range(spans + 1)])
-    edges = sorted(set(one_row(df, F.percentile_approx(axis, probs, F.lit(10_000)))[0] or []))
-    inner = edges[1:-1]
-    span = cut_tree(axis, inner)
-    if slices > 1 and len(edges) > 1:
-        low, high = (F.element_at(F.array(*[F.lit(float(e)) for e in side]), span + 1) for side in (edges[:-1], edges[1:]))
-        place = F.floor((axis.cast("double") - low) / (high - low) * slices)
-        span = span * slices + F.greatest(F.lit(0), F.least(F.lit(slices - 1), place))
-    return F.when(axis.isNull(), F.lit(-1)).otherwise(span.cast("int"))
+        return df.withColumn("_block", F.lit(0)), list(order), False
+    stored = materialize(df.withColumn(ROW, F.monotonically_increasing_id()), "ordered")
+    cuts = min(-(-total // block_rows), MAX_CUTS)
+    share = min(1.0, SAMPLED * cuts / total)
+    place = F.struct(*[_sortable(stored, c).alias(f"o{i}") for i, c in enumerate(order)], F.col(ROW).alias("row"))
+    sample = stored.where(F.pmod(F.xxhash64(ROW), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select(place.alias("p"))
+    taken = [r["p"] for r in sample.orderBy("p").collect()]
+    step = max(1, len(taken) // cuts)
+    edges = taken[step::step]
+    if not edges:
+        return stored.withColumn("_block", F.lit(0)), [*order, ROW], False
+    schema = T.StructType([T.StructField("_cuts", T.ArrayType(sample.schema["p"].dataType, False))])
+    table = df.sparkSession.createDataFrame([(edges,)], schema)
+    halves = [1 << p for p in reversed(range(len(edges).bit_length()))]
+    found = F.aggregate(
+        F.array(*[F.lit(h) for h in halves]), F.lit(0), lambda at, h: F.when((at + h <= len(edges)) & (F.get("_cuts", at + h - 1) <= F.col("_place")), at + h).otherwise(at)
+    )
+    # One row of cuts, of a bounded number, meets every row.
+    marked = stored.withColumn("_place", place).crossJoin(F.broadcast(table)).withColumn("_block", found).drop("_cuts", "_place")
+    return marked, [*order, ROW], True
 
 
 def _chain(df: DataFrame, keys: Sequence[str], carry: DataFrame) -> DataFrame:
@@ -81,13 +92,12 @@ def running_sum(
     descending: bool = False,
     block_rows: int | None = None,
 ) -> DataFrame:
-    """Inclusive running sums per key in `order` (which must be unique per key)."""
-    block = block_column(df, order, block_rows)
-    work = df.withColumn("_block", block if block is not None else F.lit(0))
+    """Inclusive running sums per key in `order`; rows that tie follow each other in some order."""
+    work, order, cut = blocked(df, order, block_rows)
     window = Window.partitionBy(*keys, "_block").orderBy(*_sorts(order, descending)).rowsBetween(Window.unboundedPreceding, 0)
     out = work.select("*", *[F.sum(e).over(window).alias(n) for n, e in sums.items()])
-    if block is None:
-        return out.drop("_block")
+    if not cut:
+        return out.select(*df.columns, *sums)
     totals = work.groupBy(*keys, "_block").agg(*[F.sum(e).alias(f"_t{i}") for i, e in enumerate(sums.values())])
     edge = F.col("_block").desc() if descending else F.col("_block").asc()
     before = Window.partitionBy(*keys).orderBy(edge).rowsBetween(Window.unboundedPreceding, -1)
@@ -117,12 +127,11 @@ def previous(
     block_rows: int | None = None,
 ) -> DataFrame:
     """Value of the row before, per key: `values` maps output name to input column."""
-    block = block_column(df, order, block_rows)
-    work = df.withColumn("_block", block if block is not None else F.lit(0))
+    work, order, cut = blocked(df, order, block_rows)
     window = Window.partitionBy(*keys, "_block").orderBy(*_sorts(order, False))
     out = work.select("*", *[F.lag(col(c)).over(window).alias(n) for n, c in values.items()], F.row_number().over(window).alias("_pos"))
-    if block is None:
-        return out.drop("_block", "_pos")
+    if not cut:
+        return out.select(*df.columns, *values)
     last = F.max_by(F.struct(*[col(c).alias(f"_l{i}") for i, c in enumerate(values.values())]), F.struct(*[col(c) for c in order]))
     ends = work.groupBy(*keys, "_block").agg(last.alias("_last"))
     chain = Window.partitionBy(*keys).orderBy("_block")
@@ -141,11 +150,10 @@ def fill(
     block_rows: int | None = None,
 ) -> DataFrame:
     """Forward (or backward) fill of missing values per key in `order`."""
-    block = block_column(df, order, block_rows)
-    work = df.withColumn("_block", block if block is not None else F.lit(0))
+    work, order, cut = blocked(df, order, block_rows)
     window = Window.partitionBy(*keys, "_block").orderBy(*_sorts(order, backward)).rowsBetween(Window.unboundedPreceding, 0)
     out = work.withColumns({f"_f{i}": F.last(col(c), ignorenulls=True).over(window) for i, c in enumerate(cols)})
-    if block is not None:
+    if cut:
         at = F.struct(*[col(c) for c in order])
         pick = F.min_by if backward else F.max_by
         ends = work.groupBy(*keys, "_block").agg(*[pick(F.when(col(c).isNotNull(), col(c)), F.when(col(c).isNotNull(), at)).alias(f"_e{i}") for i, c in enumerate(cols)])

@@ -1,9 +1,10 @@
 """Exact linear-interpolation quantiles that never hold a large group in one task.
 
 `percentile` keeps every distinct value of a group in one buffer, so it is used only for
-groups whose row count was checked. Larger groups are bracketed by a bounded sketch first:
-the sketch's rank error is at most 1/ACCURACY, so the exact value lies between the sketch
-quantiles two such steps away on either side. Only the rows inside that bracket are ranked.
+groups whose row count was checked. In a larger group each wanted rank starts with the
+bracket from the smallest to the largest value. The rows of a bracket are counted in equal
+steps (summed in the map tasks), and the step that holds the rank is the next bracket,
+until the bracket is one value or its rows fit the same bound.
 """
 
 from __future__ import annotations
@@ -13,59 +14,56 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.core import attach, col, one_row
+from quern.core import attach, col, materialize, one_row
 
 GROUP_LIMIT = 1_000_000
-ACCURACY = 10_000
+ACCURACY = 256  # equal steps in which the rows of a bracket are counted
+LARGEST = 1.7976931348623157e308  # stands for infinity (and NaN) while values are compared
 
 
-def _bracket(p: float) -> tuple[float, float]:
-    step = 2.0 / ACCURACY
-    return max(0.0, p - step), min(1.0, p + step)
+def _hits(rank: str = "rank"):
+    """Whether the rows up to `upto`, `rows` of them new, hold the rank."""
+    return (F.col("upto") >= F.col(rank)) & (F.col("upto") - F.col("rows") < F.col(rank))
 
 
-def _rank(n, p: float):
-    """0-based real-valued rank of quantile p among n values."""
-    return F.lit(p) * (n - 1)
-
-
-def _long_quantiles(df: DataFrame, keys: list[str], cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """Quantiles in long form (keys, series, which, value) by bracket and rank."""
+def _long_quantiles(df: DataFrame, keys: list[str], cols: Sequence[str], probs: Sequence[float], limit: int) -> DataFrame:
+    """Quantiles in long form (keys, series, which, value): two ranks each, found by narrowing brackets."""
     series = F.explode(F.array(*[F.struct(F.lit(i).alias("series"), col(c).cast("double").alias("value")) for i, c in enumerate(cols)]))
-    long = df.select(*keys, series.alias("s")).select(*keys, "s.series", "s.value").where(F.col("value").isNotNull())
+    finite = F.when(F.isnan("s.value"), F.lit(LARGEST)).otherwise(F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), F.col("s.value"))))
+    long = df.select(*keys, series.alias("s")).where("s.value is not null").select(*keys, "s.series", finite.alias("value"))
+    long = materialize(long, "values")
     group = [*keys, "series"]
-    edges = [e for p in probs for e in _bracket(p)]
-    sketch = long.groupBy(*group).agg(
-        F.count("value").alias("n"),
-        F.percentile_approx("value", F.array(*[F.lit(e) for e in edges]), F.lit(ACCURACY)).alias("edge"),
-    )
-    marked = attach(long, sketch, group, "inner").select(
-        *group,
-        "value",
-        F.inline(
-            F.array(*[
-                F.struct(F.lit(j).alias("which"), F.element_at("edge", 2 * j + 1).alias("lo"), F.element_at("edge", 2 * j + 2).alias("hi"))
-                for j in range(len(probs))
-            ])
-        ),
-    ).where("value <= hi")
-    # Rows under the bracket collapse into one counter per group during the map-side combine.
-    counted = marked.groupBy(*group, "which", F.when(F.col("value") >= F.col("lo"), F.col("value")).alias("value")).agg(F.count("*").alias("rows"))
-    order = Window.partitionBy(*group, "which").orderBy(F.col("value").asc_nulls_first())
-    ranked = counted.withColumn("upto", F.sum("rows").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    point = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("which") + 1)
-    need = attach(ranked, sketch.drop("edge"), group, "inner").withColumn("h", point * (F.col("n") - 1))
-    first, second = F.floor("h") + 1, F.least(F.floor("h") + 2, F.col("n"))
-
-    def holds(rank):
-        return (F.col("upto") >= rank) & (F.col("upto") - F.col("rows") < rank)
-
-    return (
-        need.where(holds(first) | holds(second))
-        .groupBy(*group, "which")
-        .agg(F.max(F.when(holds(first), F.col("value"))).alias("a"), F.max(F.when(holds(second), F.col("value"))).alias("b"), F.first("h").alias("h"))
-        .select(*group, "which", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("h") - F.floor("h"))).alias("value"))
-    )
+    bracket = [*group, "lo", "hi", "below"]
+    h = lambda p: F.lit(float(p)) * (F.col("n") - 1)
+    ranks = F.array(*[
+        F.struct(F.lit(j).alias("which"), F.lit(side).alias("side"), h(p).alias("h"), F.least(F.floor(h(p)) + 1 + side, F.col("n")).alias("rank"))
+        for j, p in enumerate(probs)
+        for side in (0, 1)
+    ])
+    whole = long.groupBy(*group).agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    state = whole.select(*group, "lo", "hi", F.lit(0).cast("long").alias("below"), F.col("n").alias("rows"), F.inline(ranks))
+    state = materialize(state, "brackets")
+    wide = (F.col("lo") < F.col("hi")) & (F.col("rows") > limit)
+    quarter = lambda c: F.col(c) / 4  # noqa: E731  (so that no difference of finite values overflows)
+    step = F.least(F.lit(ACCURACY - 1), F.floor((quarter("value") - quarter("lo")) / (quarter("hi") - quarter("lo")) * ACCURACY))
+    within = lambda marks: attach(long, marks.select(*bracket).distinct(), group, "inner").where(F.col("value").between(F.col("lo"), F.col("hi")))
+    while not state.where(wide).isEmpty():
+        open_ = state.where(wide)
+        counts = within(open_).groupBy(*bracket, step.alias("step")).agg(F.count("*").alias("rows"), F.min("value").alias("least"), F.max("value").alias("most"))
+        upto = F.sum("rows").over(Window.partitionBy(*bracket).orderBy("step")) + F.col("below")
+        narrowed = open_.drop("rows").join(counts.withColumn("upto", upto), bracket).where(_hits())
+        narrowed = narrowed.select(*group, F.col("least").alias("lo"), F.col("most").alias("hi"), (F.col("upto") - F.col("rows")).alias("below"), "rows", "which", "side", "h", "rank")
+        state = materialize(narrowed.unionByName(state.where(~wide)), "brackets")
+    few = state.where("lo < hi")
+    counted = within(few).groupBy(*bracket, "value").agg(F.count("*").alias("rows"))
+    upto = F.sum("rows").over(Window.partitionBy(*bracket).orderBy("value")) + F.col("below")
+    picked = few.drop("rows").join(counted.withColumn("upto", upto), bracket).where(_hits()).select(*group, "which", "side", "h", "value")
+    every = picked.unionByName(state.where("lo >= hi").select(*group, "which", "side", "h", F.col("lo").alias("value")))
+    side = lambda i: F.max(F.when(F.col("side") == i, F.col("value")))
+    ends = every.groupBy(*group, "which").agg(side(0).alias("a"), side(1).alias("b"), F.first("h").alias("h"))
+    infinite = lambda c: F.when(F.col(c) >= LARGEST, F.lit(float("inf"))).when(F.col(c) <= -LARGEST, F.lit(float("-inf"))).otherwise(F.col(c))
+    between = F.when(F.col("a") == F.col("b"), infinite("a")).otherwise(infinite("a") + (infinite("b") - infinite("a")) * (F.col("h") - F.floor("h")))
+    return ends.select(*group, "which", between.alias("value"))
 
 
 def _wide(long: DataFrame, keys: list[str], cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
@@ -87,12 +85,12 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], limit:
         grid = F.array(*[F.lit(float(p)) for p in probs])
         row = one_row(df, *[F.percentile(col(c).cast("double"), grid).alias(f"q{i}") for i, c in enumerate(cols)])
         return {c: list(row[i]) if row[i] is not None else [None] * len(probs) for i, c in enumerate(cols)}
-    found = {(r["series"], r["which"]): r["value"] for r in _long_quantiles(df, [], cols, probs).collect()}
+    found = {(r["series"], r["which"]): r["value"] for r in _long_quantiles(df, [], cols, probs, limit).collect()}
     return {c: [found.get((i, j)) for j in range(len(probs))] for i, c in enumerate(cols)}
 
 
 def group_quantiles(df: DataFrame, keys: Sequence[str], cols: Sequence[str], probs: Sequence[float], limit: int = GROUP_LIMIT) -> DataFrame:
-    """Per-group quantiles as columns `<col>_q<i>`; large groups take the bracketed way."""
+    """Per-group quantiles as columns `<col>_q<i>`; large groups take the narrowing way."""
     keys = list(keys)
     sizes = df.groupBy(*keys).agg(F.count("*").alias("group_rows"))
     largest = one_row(sizes, F.max("group_rows"))[0] or 0
@@ -106,5 +104,5 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], cols: Sequence[str], pro
         return direct(df)
     big = sizes.where(F.col("group_rows") > limit).select(*keys)
     return direct(df.join(big, keys, "left_anti")).unionByName(
-        _wide(_long_quantiles(df.join(big, keys, "left_semi"), keys, cols, probs), keys, cols, probs)
+        _wide(_long_quantiles(df.join(big, keys, "left_semi"), keys, cols, probs, limit), keys, cols, probs)
     )

@@ -6,14 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.core import col, one_row
+from quern.core import col, materialize, one_row
 
-# Query vectors held by every task at once; more queries are searched block after block.
-QUERY_BYTES = 32 * 1024 * 1024
+# Vectors packed into one row; every block of queries meets every block of items.
+BLOCK_BYTES = 16 * 1024 * 1024
 SLICE_ROWS = 1024
 
 
@@ -29,38 +30,58 @@ def dimensions(df: DataFrame, vector: str) -> tuple[int, int | None, int | None]
     return tuple(one_row(df.where(col(vector).isNotNull()), F.count("*"), F.min(size), F.max(size)))
 
 
-def _scan(queries, k: int, inner: bool, skip_self: bool, names: tuple[str, str]):
-    """Task function: best k items per query among the rows of one partition."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q = queries.value
-        if len(ids) == 0:
-            return
-        q_sq = (q * q).sum(axis=1)
-        best: list[pd.DataFrame] = []
-        held = 0
+def _pack(table: pa.Table) -> pa.Table:
+    """A block of vectors as one row: ids, and values end to end."""
+    values = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    ids = table.column("i").combine_chunks()
+    packed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+    return pa.table({"block": table.column("block")[:1], "i": packed, "v": pa.array([values.tobytes()], pa.binary())})
+
+
+def blocks(rows: DataFrame, total: int, size: int) -> DataFrame:
+    """(block, i, v): about `size` of the `total` vectors (i, v) packed into each row."""
+    parts = max(1, -(-total // size))
+    placed = rows.select(F.pmod(F.xxhash64("i", "v"), F.lit(parts)).cast("int").alias("block"), "i", col("v").cast("array<double>").alias("v"))
+    kind = rows.schema["i"].dataType.simpleString()
+    return placed.groupBy("block").applyInArrow(_pack, f"block int, i array<{kind}>, v binary")
+
+
+def _best(q: np.ndarray, ids: np.ndarray, x: np.ndarray, items: np.ndarray, k: int, inner: bool, skip_self: bool) -> pd.DataFrame:
+    """The k best items of a block for each of some queries: (q, item, distance)."""
+    q_sq = (q * q).sum(axis=1)
+    best, held = [], 0
+    for start in range(0, len(x), SLICE_ROWS):
+        part, names = x[start:start + SLICE_ROWS], items[start:start + SLICE_ROWS]
+        dots = q @ part.T
+        rough = -dots if inner else q_sq[:, None] + (part * part).sum(axis=1)[None, :] - 2 * dots
+        if skip_self:
+            rough = np.where(ids[:, None] == names[None, :], np.inf, rough)
+        # The fast form rounds differently, so everything near the k-th value is measured again.
+        last = min(k, rough.shape[1]) - 1
+        near = np.partition(rough, last, axis=1)[:, last]
+        near = np.where(np.isfinite(near), near + 1e-9 * (1 + np.abs(near) + q_sq), np.finfo(np.float64).max)
+        qi, xi = np.nonzero(rough <= near[:, None])
+        exact = -(q[qi] * part[xi]).sum(axis=1) if inner else ((q[qi] - part[xi]) ** 2).sum(axis=1)
+        best.append(pd.DataFrame({"q": qi, "item": names[xi], "distance": exact}))
+        held += len(qi)
+        if held > 8 * k * len(q) + 100_000:
+            best = [_keep(best, k)]
+            held = len(best[0])
+    return _keep(best, k)
+
+
+def _search(k: int, inner: bool, skip_self: bool, kind: pa.DataType, item_kind: pa.DataType):
+    """Task function: the best items of each query in every pair of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, len(batch), SLICE_ROWS):
-                part = batch.iloc[start:start + SLICE_ROWS]
-                x = np.stack(part[names[1]].to_numpy()).astype(np.float64)
-                items = part[names[0]].to_numpy()
-                dots = q @ x.T
-                rough = -dots if inner else q_sq[:, None] + (x * x).sum(axis=1)[None, :] - 2 * dots
-                if skip_self:
-                    rough = np.where(ids[:, None] == items[None, :], np.inf, rough)
-                # The fast form rounds differently, so everything near the k-th value is measured again.
-                near = np.partition(rough, min(k, rough.shape[1]) - 1, axis=1)[:, min(k, rough.shape[1]) - 1]
-                near = np.where(np.isfinite(near), near + 1e-9 * (1 + np.abs(near) + q_sq), np.finfo(np.float64).max)
-                qi, xi = np.nonzero(rough <= near[:, None])
-                exact = -(q[qi] * x[xi]).sum(axis=1) if inner else ((q[qi] - x[xi]) ** 2).sum(axis=1)
-                best.append(pd.DataFrame({"q": qi, "item": items[xi], "distance": exact}))
-                held += len(qi)
-                if held > 8 * k * len(ids) + 100_000:
-                    best = [_keep(best, k)]
-                    held = len(best[0])
-        if best:
-            out = _keep(best, k)
-            yield pd.DataFrame({"query_id": ids[out["q"].to_numpy()], "item_id": out["item"].to_numpy(), "distance": out["distance"].to_numpy()})
+            for row in range(batch.num_rows):
+                ids, items = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in ("qi", "ii"))
+                q, x = (np.frombuffer(batch.column(c)[row].as_buffer(), np.float64).reshape(len(n), -1) for c, n in (("qv", ids), ("iv", items)))
+                for at in range(0, len(ids), SLICE_ROWS):
+                    some = ids[at:at + SLICE_ROWS]
+                    out = _best(q[at:at + SLICE_ROWS], some, x, items, k, inner, skip_self)
+                    yield pa.RecordBatch.from_arrays([pa.array(some[out["q"].to_numpy()], kind), pa.array(out["item"].to_numpy(), item_kind), pa.array(out["distance"].to_numpy())], names=["query_id", "item_id", "distance"])
 
     return run
 
@@ -85,14 +106,14 @@ def nearest(
     item_vector: str = "vector",
     inner: bool = False,
     skip_self: bool = False,
-    query_bytes: int | None = None,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Exact k nearest items per query: (query_id, item_id, distance, score, rank).
 
-    The corpus is scanned where it lies. Each task holds one block of query vectors, whose
-    size is checked, and gives at most k rows per query to the merge, so no pair table exists.
-    More queries than a block are searched in several scans. Distance is squared L2, or the
-    negative inner product; ties go to the smaller item id.
+    Both sides are packed into blocks of BLOCK_BYTES (or `block_rows` vectors). The blocks of the smaller side are
+    copied to every block of the larger one and joined on its number; each pair of blocks keeps k rows per query, and
+    these are merged per query. Memory does not depend on the number of queries or items, nothing passes the driver
+    but their counts. Distance is squared L2, or the negative inner product; ties go to the smaller item id.
     """
     n, low, high = dimensions(queries, query_vector)
     items, item_low, item_high = dimensions(corpus, item_vector)
@@ -101,18 +122,16 @@ def nearest(
     rows = corpus.where(col(item_vector).isNotNull()).select(_id(corpus, item_id).alias("i"), col(item_vector).alias("v"))
     asked = queries.where(col(query_vector).isNotNull()).select(_id(queries, query_id).alias("i"), col(query_vector).alias("v"))
     schema = T.StructType([T.StructField("query_id", asked.schema["i"].dataType), T.StructField("item_id", rows.schema["i"].dataType), T.StructField("distance", T.DoubleType())])
-    spark = corpus.sparkSession
     if not n or not items or k <= 0:
-        found = spark.createDataFrame([], schema)
+        found = corpus.sparkSession.createDataFrame([], schema)
     else:
-        blocks = max(1, -(-n * high * 8 // (query_bytes or QUERY_BYTES)))
-        found = None
-        for b in range(blocks):
-            part = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)).toPandas()
-            matrix = np.stack(part["v"].to_numpy()).astype(np.float64) if len(part) else np.zeros((0, high))
-            shared = spark.sparkContext.broadcast((part["i"].to_numpy(), matrix))
-            block = rows.mapInPandas(_scan(shared, k, inner, skip_self, ("i", "v")), schema)
-            found = block if found is None else found.unionByName(block)
+        size = block_rows or max(1, BLOCK_BYTES // (8 * max(high, 1)))
+        asked, rows = (materialize(blocks(df, total, size), "vectors").toDF("block", f"{x}i", f"{x}v") for df, total, x in ((asked, n, "q"), (rows, items, "i")))
+        few, many, total = (asked, rows, items) if n <= items else (rows, asked, n)
+        copies = few.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-total // size)) - 1))))
+        pairs = copies.join(many.hint("shuffle_merge"), "block").select("qi", "qv", "ii", "iv")
+        kinds = [pa.string() if isinstance(f.dataType, T.StringType) else pa.int64() for f in schema.fields[:2]]
+        found = pairs.mapInArrow(_search(k, inner, skip_self, *kinds), schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "item_id"))
     score = -F.col("distance") if inner else 1 / (1 + F.col("distance"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("score", F.round(score, 6))

@@ -13,8 +13,8 @@ from quern.plans.jobs import preprocess
 
 # Algorithms of a baseline per task.
 BASELINES = {
-    "classification": ["LogisticRegression", "DecisionTree", "RandomForest", "GradientBoosting", "SVM", "NaiveBayes"],
-    "regression": ["LinearRegression", "Ridge", "Lasso", "ElasticNet", "DecisionTreeRegressor", "RandomForestRegressor", "GradientBoostingRegressor"],
+    "classification": ["LogisticRegression", "DecisionTree", "RandomForest", "GradientBoosting", "SVM", "KNearestNeighbors", "NaiveBayes"],
+    "regression": ["LinearRegression", "Ridge", "Lasso", "ElasticNet", "DecisionTreeRegressor", "RandomForestRegressor", "GradientBoostingRegressor", "KNNRegressor"],
 }
 
 

@@ -80,6 +80,27 @@ def l08(spark, d):
     return describe_rows(spark, [(r["model_name"], round(r["metrics"]["rmse"], 3), round(r["metrics"]["r2"], 4), r["error"]) for r in results], "model string, rmse double, r2 double, error string")
 
 
+NEIGHBOUR_SQL = f"""with e as (select vec_id, label, {UNIT.format(k='vec_id', s=42)} < 0.8 as train, list_transform(embedding[1:8], lambda x: x::double) as v from embeddings),
+    d as (select a.vec_id, a.label as truth, b.label, b.vec_id as other, list_sum(list_transform(list_zip(a.v, b.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) as d from e a join e b on not a.train and b.train),
+    n as (select *, row_number() over (partition by vec_id order by d, other) as r from d),
+    t as (select 5 as k, 'KNearestNeighbors' as model union all select 3, 'k=3'),
+    v as (select model, vec_id, truth, label, count(*) as votes from n join t on r <= k group by all),
+    p as (select model, vec_id, any_value(truth) as truth, arg_min(label, -votes * 1000 + label) as prediction from v group by 1, 2)
+    select model, count(*) as rows, round(avg((truth = prediction)::int), 6) as accuracy from p group by 1"""
+
+
+@query("l08_compare_neighbours", NEIGHBOUR_SQL)
+def l08_neighbours(spark, d):
+    """Nearest neighbours in the comparison of models, on the first eight dimensions of the vectors."""
+    names = [f"e{i}" for i in range(8)]
+    e = table(spark, d, "embeddings").select("vec_id", F.col("label").cast("double").alias("label"), *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
+    rows = models.random_split(e, "vec_id", {"train": 0.8, "test": 0.2})
+    train, test = (rows.where(F.col("split") == s) for s in ("train", "test"))
+    found = [(n, models.compare(train, test, names, "label", {"KNearestNeighbors": p})[0][0]) for n, p in (("KNearestNeighbors", {}), ("k=3", {"knn_neighbors": 3}))]
+    held = test.count()
+    return describe_rows(spark, [(n, held, round(r["metrics"]["accuracy"], 6)) for n, r in found], "model string, rows long, accuracy double")
+
+
 @query("l10_feature_importance")
 def l10(spark, d):
     model = models.train(document_table(spark, d), DOC_FEATURES, "quality", "RandomForest")

@@ -198,7 +198,7 @@ def j05(spark, d):
 @query("j06_query_blocks", f"select query_id, item_id, rank from {SEARCH} where rank <= 4")
 def j06(spark, d):
     """The same search with the questions in blocks of two vectors, one scan per block."""
-    return by_centroid(spark, d, 4, query_bytes=2 * 64 * 8).select("query_id", "item_id", "rank")
+    return by_centroid(spark, d, 4, block_rows=10).select("query_id", "item_id", "rank")
 
 
 @query("l07_knn_classifier", f"""with n as (select a.vec_id, b.label, row_number() over (partition by a.vec_id order by {L2.format(a='a.embedding', b='b.embedding')}, b.vec_id) as rank from embeddings a join embeddings b on a.vec_id <> b.vec_id),

@@ -76,7 +76,7 @@ def test_nearest_blocks_and_dimensions(spark):
     corpus = spark.createDataFrame([(f"i{i:03d}", v.tolist()) for i, v in enumerate(x)], "id string, v array<double>").repartition(5)
     asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "id bigint, v array<double>")
     for size in (None, 3 * 6 * 8):
-        got = vectors.nearest(asked, corpus, 4, "id", "v", "id", "v", query_bytes=size).orderBy("query_id", "rank").collect()
+        got = vectors.nearest(asked, corpus, 4, "id", "v", "id", "v", block_rows=size).orderBy("query_id", "rank").collect()
         d = ((q[:, None, :] - x[None]) ** 2).sum(2)
         want = [(i, f"i{j:03d}") for i in range(11) for j in np.lexsort((np.arange(300), d[i]))[:4]]
         assert [(r["query_id"], r["item_id"]) for r in got] == want
