@@ -1,8 +1,9 @@
 """Mixing sources to target sizes by Pareto order sampling.
 
 Each source has a target size. Every document gets as many whole copies as fit into the target for the whole source;
-the rest is a sample of fixed size without replacement: documents are ranked by random odds divided by their
-inclusion odds and taken in that order until the rest is filled.
+the rest is a sample of fixed size without replacement. Its inclusion probabilities are in proportion to relative odds,
+at most 1, and such that the expected size is the rest. Documents of probability 1 come first, the others are ranked
+by random odds over inclusion odds, and all are taken in that order until the rest is filled.
 """
 
 from __future__ import annotations
@@ -17,15 +18,17 @@ DIGITS = 50  # binary digits of the rank
 LEVELS = (38, 26)  # digits cut off in the two histograms
 
 
-def rank_key(key: Column, odds: Column, seed: int = 42) -> Column:
-    """Whole number that orders documents like (random odds) / (inclusion odds).
+def rank_key(key: Column, chance: Column, seed: int = 42) -> Column:
+    """Whole number that orders documents like u / (1 - u) over p / (1 - p), p their inclusion probability.
 
-    The random number comes from the md5 of the document's key, so reruns agree. Smaller ranks are taken first.
+    The random number u comes from the md5 of the document's key, so reruns agree. Smaller ranks are taken first;
+    certain documents have rank 0.
     """
     digits = F.substring(F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(f"|{seed}"))), 1, 13)
     u = (F.conv(digits, 16, 10).cast("long") + 0.5) / float(1 << 52)
-    q = (u / (F.lit(1.0) - u)) / odds
-    return F.floor(q / (q + 1.0) * float(1 << DIGITS)).cast("long")
+    q = F.try_divide(u / (F.lit(1.0) - u), F.try_divide(chance, F.lit(1.0) - chance))
+    last = F.lit((1 << DIGITS) - 1)
+    return F.when(chance >= 1, F.lit(0)).otherwise(F.coalesce(F.floor(q / (q + 1.0) * float(1 << DIGITS)), last)).cast("long")
 
 
 def targets(sizes: DataFrame, weights: list[int], factor: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -75,16 +78,36 @@ def _order(key: str) -> Column:
     return F.struct(F.col("rank").alias("r"), F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("size").alias("n"))
 
 
-def plan(sized: DataFrame, goal: DataFrame) -> DataFrame:
+def copies(goal: DataFrame) -> DataFrame:
+    """(_s, source_size, target, whole, rest) per source: whole copies of every document, and what is left to sample."""
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
+    base = goal.select(F.col("source").alias("_s"), "source_size", "target", whole.cast("long").alias("whole"))
+    return base.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+
+
+def inclusion(sized: DataFrame, base: DataFrame) -> DataFrame:
+    """(_s, factor) per source: sum over documents of min(1, factor * odds) * size is the rest.
+
+    Relative odds have few different values. From the largest on, the documents of one value after the other are
+    certain, until the factor that fills what is then left of the rest makes no further one certain.
+    """
+    held = _match(sized.select("source", "size", "odds"), base.select("_s", "rest"), "inner")
+    steps = held.groupBy("source", "odds").agg(F.sum("size").alias("n"), F.first("rest").alias("rest"))
+    larger = Window.partitionBy("source").orderBy(F.desc("odds")).rowsBetween(Window.unboundedPreceding, -1)
+    smaller = Window.partitionBy("source").orderBy("odds").rowsBetween(Window.unboundedPreceding, 0)
+    certain = F.coalesce(F.sum("n").over(larger), F.lit(0))
+    factor = F.try_divide(F.col("rest") - certain, F.sum(F.col("odds") * F.col("n")).over(smaller))
+    found = steps.select("source", "odds", factor.alias("factor")).where(F.col("factor") * F.col("odds") <= 1)
+    return found.groupBy(F.col("source").alias("_s")).agg(F.max_by("factor", "odds").alias("factor"))
+
+
+def plan(sized: DataFrame, base: DataFrame) -> DataFrame:
     """Per source: whole copies, the rest, and where the sample ends. `sized` has source, size, rank, key (stored).
 
     The end is found by two histograms of the rank (4,096 bins each per source, summed in the map tasks); the rows of
     the last bin, about one in 2^24 of a source and rows of equal rank, are then taken in order while that brings the
     sum nearer to the rest.
     """
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    base = goal.select(F.col("source").alias("_s"), "source_size", "target", whole.cast("long").alias("whole"))
-    base = base.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     rows = _match(sized, base.select("_s", "rest"), "inner").withColumn("before", F.lit(0).cast("long"))
     one = _limit(rows, F.shiftright("rank", LEVELS[0]), ("bin1", "start1"))
     inside = _match(rows.drop("before"), one, "inner").where(F.shiftright("rank", LEVELS[0]) == F.col("bin1")).withColumnRenamed("start1", "before")
@@ -121,14 +144,17 @@ def mix(docs: DataFrame, size: Column, key: str = "doc_id", source: str = "sourc
     it. Input columns with the new names are replaced.
     """
     new = ["size", "source_size", "target", "copies"]
-    kept = [c for c in without(docs, [*new, "_key", "rank", "whole", "rest"]).columns if c.lower() != "source"]
+    kept = [c for c in without(docs, [*new, "_key", "rank", "whole", "rest", "odds", "factor"]).columns if c.lower() != "source"]
     n = F.coalesce(size.cast("long"), F.lit(0).cast("long"))
     rows = docs.select(*[col(c) for c in kept], col(source).cast("string").alias("source"), n.alias("size"), col(key).alias("_key"))
-    rows = rows.withColumn("rank", rank_key(F.col("_key"), relative_odds(F.col("size")), seed))
-    sized = materialize(rows.select("source", "size", "rank", F.col("_key").alias("key")), "sizes")
+    sized = materialize(rows.select("source", "size", relative_odds(F.col("size")).alias("odds"), F.col("_key").alias("key")), "sizes")
     goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), list(weights), factor, most)
-    ends = materialize(plan(sized, goal), "mix")
-    return choose(rows, ends, "_key").drop("_key", "rank")
+    base = materialize(copies(goal), "mix")
+    factors = materialize(inclusion(sized, base), "mix")
+    rank = lambda k: rank_key(F.col(k), F.least(F.lit(1.0), F.col("factor") * F.col("odds")), seed).alias("rank")
+    ends = materialize(plan(_match(sized, factors).select("source", "size", "key", rank("key")), base), "mix")
+    held = _match(rows.withColumn("odds", relative_odds(F.col("size"))), factors)
+    return choose(held.select(*rows.columns, rank("_key")), ends, "_key").drop("_key", "rank")
 
 
 def repeat(mixed: DataFrame) -> DataFrame:

@@ -68,9 +68,17 @@ r as (
   select d.doc_id, d.size, d.source, g.source_size, g.target, g.whole, g.target - g.whole * g.source_size as rest,
          ((('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '') || '|42'), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) as u
   from d join g on d.source is not distinct from g.source),
-q as (select *, (u / (1.0::DOUBLE - u)) / length(bin(size))::DOUBLE as q from r),
+h as (select source, length(bin(size))::DOUBLE as x, sum(size) as n, any_value(rest) as rest from r group by 1, 2),
+f2 as (
+  select source, x, (rest - coalesce(sum(n) over (partition by source order by x desc rows between unbounded preceding and 1 preceding), 0))
+         / nullif(sum(x * n) over (partition by source order by x rows between unbounded preceding and current row), 0) as factor from h),
+i as (select source, max_by(factor, x) as factor from f2 where factor * x <= 1 group by 1),
+p as (select r.*, least(1.0::DOUBLE, i.factor * length(bin(size))::DOUBLE) as p from r left join i on i.source is not distinct from r.source),
+q as (
+  select *, case when p >= 1 then 0 else coalesce(floor(q / (q + 1.0::DOUBLE) * 1125899906842624.0::DOUBLE)::BIGINT, 1125899906842623) end as k
+  from (select *, (u / (1.0::DOUBLE - u)) / nullif(p / nullif(1.0::DOUBLE - p, 0), 0) as q from p)),
 o as (
-  select *, sum(size) over (partition by source order by floor(q / (q + 1.0::DOUBLE) * 1125899906842624.0::DOUBLE)::BIGINT, doc_id nulls last, size
+  select *, sum(size) over (partition by source order by k, doc_id nulls last, size
                             rows between unbounded preceding and current row) as upto from q)
 select doc_id, size, source_size, target, (size * (whole + case when rest > 0 and 2 * upto - size <= 2 * rest then 1 else 0 end))::BIGINT as taken from o
 """

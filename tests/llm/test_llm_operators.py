@@ -246,3 +246,29 @@ def test_last_level_compares_words(spark, monkeypatch):
     at = np.array([0, 4, 8, 12])
     same = w.classes(at, 4)
     assert same[0] == same[1] == same[3] != same[2] and sorted(set(same.tolist())) == [0, 1]
+
+
+def test_inclusion_follows_the_probabilities(spark):
+    """The same 40 documents in 400 sources of their own: each document is taken about as often as its probability says."""
+    sizes = [3, 3, 5, 9, 9, 17, 33, 70, 150, 700] * 4
+    rows = spark.createDataFrame([(s * 1000 + i, f"s{s:03d}", n) for s in range(400) for i, n in enumerate(sizes)], "doc_id long, source string, size long")
+    out = mixing.mix(rows, F.col("size"), weights=(1,), factor=0.4).select("doc_id", "copies", "target").collect()
+    assert abs(out[0].target - 0.4 * sum(sizes)) < 1e-6
+    share = np.zeros(len(sizes))
+    for r in out:
+        share[r.doc_id % 1000] += r.copies / 400
+    odds = np.array([n.bit_length() for n in sizes], float)
+    factor = 0.0  # by halving
+    low, high = 0.0, 10.0
+    for _ in range(100):
+        factor = (low + high) / 2
+        low, high = (factor, high) if (np.minimum(1, factor * odds) * sizes).sum() < 0.4 * sum(sizes) else (low, factor)
+    want = np.minimum(1, factor * odds)
+    groups = [np.flatnonzero(odds == o) for o in np.unique(odds)]
+    assert all(abs(share[g].mean() - want[g].mean()) < 0.05 for g in groups), [(share[g].mean(), want[g].mean()) for g in groups]
+
+
+def test_certain_documents_are_taken(spark):
+    rows = spark.createDataFrame([(i, "a", 1 if i else 1000) for i in range(50)], "doc_id long, source string, size long")
+    got = {r.doc_id: r.copies for r in mixing.mix(rows, F.col("size"), weights=(1,), factor=0.99).collect()}
+    assert got[0] == 1 and set(got.values()) == {0, 1}
