@@ -1,10 +1,11 @@
 """Quality rules: base limits, then robust multivariate outliers per language and source.
 
 Each document has a vector of five transformed statistics: mean word length, share of symbols, of repeated lines,
-of words in repeated windows, and of capitals. Per group a minimum-covariance-determinant estimate is found by
-concentration steps: the rows nearest to the current centre give the next mean and covariance. Everything is
-DataFrame expressions; statistics are whole numbers (ten-thousandths) and their sums exact, so the estimate does
-not depend on the order of rows.
+of words in repeated windows, and of capitals. Per group a minimum-covariance-determinant estimate is found: from
+several starts, concentration steps (the rows nearest to the current centre give the next mean and covariance) go on
+until the determinant no longer falls, and the start with the smallest one wins. Everything is DataFrame expressions;
+statistics are whole numbers (ten-thousandths) and their sums exact, so the estimate does not depend on the order of
+rows.
 """
 
 from __future__ import annotations
@@ -28,6 +29,9 @@ SALTS = 32  # parts of a hot group while rows meet its estimate
 FLOORS = [0.15, 0.20, 0.20, 0.20, 0.20]
 _VECTOR = [f"_y{j}" for j in DIMS]
 _GROUP = "_group"
+#: Shares of a group's rows, nearest to the medians, that give the starts; 0 is the medians with spreads from quartiles.
+STARTS = (0.0, 0.25, 0.5, 1.0)
+_KEY = ["_pool", "_start"]
 
 
 def _repeat_words(hashes: Column) -> Column:
@@ -119,13 +123,14 @@ def distance(prefix: str = "_") -> Column:
     return reduce(lambda a, b: a + b, [F.col(f"{prefix}a{i}{j}") * dx[i] * dx[j] * (1.0 if i == j else 2.0) for i, j in PAIRS])
 
 
-def _precision(est: DataFrame, factor: float) -> DataFrame:
-    """Inverse of each covariance: spread floors on the diagonal, then one sweep per dimension."""
+def _precision(est: DataFrame, factor: Column) -> DataFrame:
+    """Inverse of each covariance and the log of its determinant: spread floors on the diagonal, then one sweep per
+    dimension, whose pivots multiply to the determinant."""
     at = lambda i, j: F.col(f"_c{min(i, j)}{max(i, j)}")
-    keep = ["_pool", *[f"_m{j}" for j in DIMS]]
+    keep = [*_KEY, *[f"_m{j}" for j in DIMS]]
     start = {(i, j): at(i, j) * factor for i, j in PAIRS}
     start |= {(j, j): F.greatest(start[j, j], F.lit(FLOORS[j] ** 2)) for j in DIMS}
-    out = est.select(*keep, *[e.alias(f"_c{i}{j}") for (i, j), e in start.items()])
+    out = est.select(*keep, *[e.alias(f"_c{i}{j}") for (i, j), e in start.items()], F.lit(0.0).alias("_det"))
     for k in DIMS:
         swept = {}
         for i, j in PAIRS:
@@ -135,12 +140,15 @@ def _precision(est: DataFrame, factor: float) -> DataFrame:
                 swept[i, j] = at(i, j) / at(k, k)
             else:
                 swept[i, j] = at(i, j) - at(i, k) * at(j, k) / at(k, k)
-        out = out.select(*keep, *[e.alias(f"_c{i}{j}") for (i, j), e in swept.items()])
-    return out.select(*keep, *[(-at(i, j)).alias(f"_a{i}{j}") for i, j in PAIRS])
+        out = out.select(*keep, *[e.alias(f"_c{i}{j}") for (i, j), e in swept.items()], (F.col("_det") + F.log(F.abs(at(k, k)))).alias("_det"))
+    return out.select(*keep, *[(-at(i, j)).alias(f"_a{i}{j}") for i, j in PAIRS], "_det")
 
 
 def _start(rows: DataFrame) -> DataFrame:
-    """First estimate: medians, and spreads from quartiles, read off a histogram of 0.02 steps per dimension."""
+    """First estimate: medians, and spreads from quartiles, read off a histogram of 0.02 steps per dimension.
+
+    Its determinant counts as infinite.
+    """
     step = SCALE // 50
     long = rows.select("_pool", F.posexplode(F.array(*[F.floor(F.col(y) / step) for y in _VECTOR])).alias("j", "bin"))
     bins = long.groupBy("_pool", "j", "bin").agg(F.count("*").alias("n"))
@@ -150,43 +158,61 @@ def _start(rows: DataFrame) -> DataFrame:
     quart = cum.groupBy("_pool", "j").agg(value(0.25).alias("q1"), value(0.5).alias("q2"), value(0.75).alias("q3"))
     one = lambda j, e: F.max(F.when(F.col("j") == j, e))
     spread = lambda j: F.pow(F.greatest((one(j, F.col("q3")) - one(j, F.col("q1"))) / 1.349, F.lit(FLOORS[j])), F.lit(2.0))
-    return quart.groupBy("_pool").agg(*[one(j, F.col("q2")).alias(f"_m{j}") for j in DIMS], *[(F.lit(1.0) / spread(j) if i == j else F.lit(0.0)).alias(f"_a{i}{j}") for i, j in PAIRS])
+    found = quart.groupBy("_pool").agg(*[one(j, F.col("q2")).alias(f"_m{j}") for j in DIMS], *[(F.lit(1.0) / spread(j) if i == j else F.lit(0.0)).alias(f"_a{i}{j}") for i, j in PAIRS])
+    return found.select("_pool", F.lit(0).alias("_start"), *found.columns[1:], F.lit(float("inf")).alias("_det"))
 
 
-def _concentrate(rows: DataFrame, est: DataFrame, share: float) -> DataFrame:
-    """Mean and covariance of the `share` of each group's rows that are nearest to its estimate.
+def _concentrate(rows: DataFrame, est: DataFrame, shares: dict[int, float]) -> DataFrame:
+    """Mean and covariance of the rows of each group that are nearest to its estimate, for several shares of them.
 
-    Rows are counted and summed per step of the log distance, so a hot group sends a few sums per task; the step
-    that reaches the share counts whole.
+    `shares` maps the number of the new start to the share; with one number alone every estimate keeps its own. Rows
+    are counted and summed per step of the log distance, so a hot group sends a few sums per task; the step that
+    reaches the share counts whole.
     """
     salted = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
     copies = est.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    near = salted.join(copies, ["_pool", "_salt"]).select("_pool", *_VECTOR, F.floor(F.log1p(F.greatest(distance(), F.lit(0.0))) * 32).alias("bin"))
+    near = salted.join(copies, ["_pool", "_salt"]).select(*_KEY, *_VECTOR, F.floor(F.log1p(F.greatest(distance(), F.lit(0.0))) * 32).alias("bin"))
     exact = lambda e: F.sum(e.cast("decimal(20,0)"))
-    sums = near.groupBy("_pool", "bin").agg(F.count("*").alias("n"), *[exact(F.col(f"_y{j}")).alias(f"s{j}") for j in DIMS], *[exact(F.col(f"_y{i}") * F.col(f"_y{j}")).alias(f"p{i}{j}") for i, j in PAIRS])
-    by = Window.partitionBy("_pool")
+    sums = near.groupBy(*_KEY, "bin").agg(F.count("*").alias("n"), *[exact(F.col(f"_y{j}")).alias(f"s{j}") for j in DIMS], *[exact(F.col(f"_y{i}") * F.col(f"_y{j}")).alias(f"p{i}{j}") for i, j in PAIRS])
+    by = Window.partitionBy(*_KEY)
     below = sums.select("*", (F.sum("n").over(by.orderBy("bin")) - F.col("n")).alias("below"), F.sum("n").over(by).alias("all"))
-    total = below.where(F.col("below") < F.col("all") * share).groupBy("_pool").agg(F.sum("n").cast("double").alias("n"), *[F.sum(c).cast("double").alias(c) for c in sums.columns if c[0] in "sp"])
+    correct = {share: share / _chi2_share(chi2_quantile(share, len(DIMS)), len(DIMS) + 2) if share < 1 else 1.0 for share in shares.values()}
+    wanted = F.inline(F.array(*[F.struct(F.lit(i).alias("_to"), F.lit(x).alias("share"), F.lit(correct[x]).alias("factor")) for i, x in shares.items()]))
+    below = below.select("*", wanted)
+    if len(shares) > 1:
+        below = below.withColumn("_start", F.col("_to"))
+    total = below.where(F.col("below") < F.col("all") * F.col("share")).groupBy(*_KEY).agg(F.sum("n").cast("double").alias("n"), F.first("factor").alias("factor"), *[F.sum(c).cast("double").alias(c) for c in sums.columns if c[0] in "sp"])
     mean = [F.col(f"s{j}") / F.col("n") / SCALE for j in DIMS]
     cov = {(i, j): F.col(f"p{i}{j}") / F.col("n") / SCALE**2 - mean[i] * mean[j] for i, j in PAIRS}
-    found = total.select("_pool", *[m.alias(f"_m{j}") for j, m in enumerate(mean)], *[e.alias(f"_c{i}{j}") for (i, j), e in cov.items()])
-    return _precision(found, share / _chi2_share(chi2_quantile(share, len(DIMS)), len(DIMS) + 2))
+    found = total.select(*_KEY, *[m.alias(f"_m{j}") for j, m in enumerate(mean)], *[e.alias(f"_c{i}{j}") for (i, j), e in cov.items()], "factor")
+    return _precision(found, F.col("factor"))
 
 
-def fit(measured: DataFrame, share: float = 0.75, steps: int = 4, least: int = 50) -> DataFrame:
+def fit(measured: DataFrame, share: float = 0.75, steps: int = 30, least: int = 50) -> DataFrame:
     """Estimates per group key, from all measured rows that pass the base rules.
 
-    `share` of the rows carry the estimate (the robust subset), `steps` concentration steps follow a median start.
-    Groups of fewer than `least` rows are pooled by language, then together; still fewer have no estimate. Reads
-    `measured` several times: give a stored table. One small table is written per step.
+    `share` of the rows carry the estimate (the robust subset). Each of STARTS takes concentration steps until the
+    determinant of the covariance (with the spread floors) falls by less than a millionth, `steps` at most; the
+    smallest determinant wins, the earlier start among equal ones. Groups of fewer than `least` rows are pooled by
+    language, then together; still fewer have no estimate. Reads `measured` several times: give a stored table. One
+    small table is written per step.
     """
     good = measured.where(~F.col("base_failed")).select(_GROUP, *_VECTOR)
     pools = materialize(_pooled(good, least).where("_pool is not null"), "pools")
     rows = good.join(pools, _GROUP).drop(_GROUP)
-    est = materialize(_start(rows), "mcd")
+    first = materialize(_start(rows), "mcd")
+    more = _concentrate(rows, first, {i: x for i, x in enumerate(STARTS) if i}).withColumn("_det", F.lit(float("inf")))
+    est = materialize(first.unionByName(more).withColumn("moving", F.lit(True)), "mcd")
     for _ in range(steps):
-        est = materialize(_concentrate(rows, est, share), "mcd")
-    return pools.join(est, "_pool").drop("_pool")
+        step = _concentrate(rows, est.where("moving").drop("moving"), {0: share})
+        after = step.select(*_KEY, F.struct(*[c for c in step.columns if c not in _KEY]).alias("new"))
+        both = est.join(after, _KEY, "left")
+        better = F.coalesce(F.col("new._det") < F.col("_det") - 1e-6, F.lit(False))
+        est = materialize(both.select(*_KEY, *[F.when(better, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in est.columns if c not in (*_KEY, "moving")], better.alias("moving")), "mcd")
+        if est.where("moving").isEmpty():
+            break
+    best = est.groupBy("_pool").agg(F.min(F.struct("_det", "_start")).alias("m")).select("_pool", "m._start")
+    return pools.join(est.join(best, _KEY).drop("_start", "_det", "moving"), "_pool").drop("_pool")
 
 
 def judge(measured: DataFrame, estimates: DataFrame, tail: float = 1e-6) -> DataFrame:
