@@ -33,6 +33,7 @@ SLICE = 4 << 20  # bytes of text whose id pairs are counted together
 BLOCK = 256 << 10  # bytes of text in one product
 KEEP = 400_000  # pre-tokens and marked words remembered in a task; only speed depends on it
 SHORT = 64
+PAIR_BITS = 40  # of a pair of ids; the number of its text in a block lies above
 
 
 class Csr:
@@ -109,6 +110,8 @@ class Pair:
         self.a_bytes = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.a_bytes[i] = token.encode() if token in added else bytes(of[c] for c in token)
+        if {of[c] for c in vocab if len(c) == 1 and c in of} != set(range(256)):
+            raise ValueError(f"{first} cannot spell every byte")  # with all of them, its merges keep the bytes of a text
         self.sp = pieces.load(second)
         self.b_bytes = [self._piece(i) for i in range(self.sp.get_piece_size())]
         self.a_size, self.b_size = (np.array([len(b) for b in t], np.int64) for t in (self.a_bytes, self.b_bytes))
@@ -127,7 +130,7 @@ class Pair:
         return piece.replace(pieces.MARK, " ").encode()
 
     def _look_up(self, known: dict[str, bytes], cut: list[list[str]], encode, table: list[bytes], raw) -> list[np.ndarray]:
-        """Ids of texts from their parts; parts that are not known are encoded, and their bytes compared, once."""
+        """Ids of texts from their parts; parts that are not known are encoded, and their bytes compared with a table, once."""
         distinct = set(chain.from_iterable(cut))
         new = [w for w in distinct if w not in known]
         if len(known) + len(new) > KEEP:
@@ -137,7 +140,7 @@ class Pair:
             part = new[at : at + 20_000]
             for w, ids in zip(part, encode(part), strict=True):
                 known[w] = array("i", ids).tobytes()
-                if b"".join([table[i] for i in ids]) != raw(w):
+                if table is not None and b"".join([table[i] for i in ids]) != raw(w):
                     self.changed.add(w)
         out = [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in cut]
         for w in new:
@@ -151,7 +154,7 @@ class Pair:
         full = [t or "" for t in texts]
         self.changed = set()
         first = [PATTERN.findall(" " + t) if t else [] for t in full]
-        a = self._look_up(self.known, first, lambda part: (e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)), self.a_bytes, str.encode)
+        a = self._look_up(self.known, first, lambda part: (e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)), None, None)
         marked = [self.sp.normalize(t) if t else "" for t in full]
         second = [pieces.MARKED.findall(m) for m in marked]
         b = self._look_up(self.words, second, lambda part: pieces.segment(self.sp, part), self.b_bytes, lambda w: w.replace(pieces.MARK, " ").encode())
@@ -293,13 +296,12 @@ def _sliced(batches: Iterable[pa.RecordBatch], first: str, second: str) -> Itera
         for batch in slices(whole, "t", SLICE):
             done, keys, docs, seen = [], [], [], 0
             for x in _blocks(pair, batch.column("t")):
-                key = pair_keys = x.a[x.link_a].astype(np.int64) * width + x.b[x.links.columns]
-                # one entry per text and pair
-                order = np.lexsort((key, x.doc_a[x.link_a]))
-                doc, key = x.doc_a[x.link_a][order], pair_keys[order]
-                new = np.flatnonzero(np.append(True, (np.diff(doc) != 0) | (np.diff(key) != 0)) if len(key) else np.zeros(0, bool))
-                keys.append(key[new])
-                docs.append((doc[new] + seen, np.diff(np.append(new, len(key)))))
+                key = x.a[x.link_a].astype(np.int64) * width + x.b[x.links.columns]
+                # one entry per text and pair: both numbers in one, sorted
+                both = np.sort((x.doc_a[x.link_a] << PAIR_BITS) | key)
+                new = np.flatnonzero(np.diff(both, prepend=-1))
+                keys.append(both[new] & ((1 << PAIR_BITS) - 1))
+                docs.append(((both[new] >> PAIR_BITS) + seen, np.diff(np.append(new, len(both)))))
                 done.append((x.n_a, x.n_b, x.n_groups, x.n_links, x.group_texts()))
                 seen += len(x.n_a)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
