@@ -1,23 +1,19 @@
 """Row tables kept as parquet folders: create, insert, read, page, update, delete.
 
-Every insert is a batch, a folder of its own. An update or delete writes its result as a new batch and then commits an
-edit: a small numbered file that names the new batch and those it replaces. Batches that arrived meanwhile are not
-named and stay. Of two edits of the same rows one gets the number, the other starts again on what it finds then.
-Ids are reserved the same way. This needs a file system on which only one writer can create a file, as on HDFS; on a
-plain local disk it holds for the threads of one process.
+A table is a folder of versions. An insert adds a parquet folder of its own to the newest version; an update or delete
+writes the whole changed table as the next version, which counts once it is complete. Writers of one process take turns.
+Several processes that write the same table at the same time need a table format with transactions, which is left to the cluster.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import threading
-import time
 import uuid
 from collections.abc import Callable, Sequence
 from functools import reduce
 from typing import Any
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,11 +21,7 @@ from pyspark.sql import types as T
 from quern.core import col, one_row
 from quern.operators import ordered
 
-SCHEMA = "batch-schema"
-END = "end"  # last line of a whole file
-WAIT_SECONDS = 30.0
-
-_local = threading.Lock()
+_turn = threading.Lock()
 
 
 class TableError(ValueError):
@@ -44,84 +36,28 @@ def sample_types(record: dict[str, Any]) -> dict[str, str]:
 class Tables:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self._numbered: set[str] = set()
 
-    # ---- folders ----------------------------------------------------------------------
+    # ---- versions ---------------------------------------------------------------------
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _names(self, path: str) -> list[str]:
-        fs, p = self._fs(path)
-        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
-
-    def _ready(self, path: str) -> bool:
-        fs, p = self._fs(path + "/_SUCCESS")
-        return fs.exists(p)
-
-    def _claim(self, path: str, lines: Sequence[str]) -> bool:
-        """Create a small file unless it exists already; tells whether this call made it."""
-        fs, p = self._fs(path)
-        with _local:
-            try:
-                out = fs.create(p, False)
-            except Py4JJavaError:
-                if fs.exists(p):
-                    return False
-                raise
-            try:
-                out.write(bytearray("\n".join([*lines, END]).encode()))
-            finally:
-                out.close()
-        return True
-
-    def _lines(self, path: str) -> list[str] | None:
-        """Lines of a small file, None while it is being written."""
-        fs, p = self._fs(path)
-        size = fs.getFileStatus(p).getLen()
-        stream = fs.open(p)
-        try:
-            lines = bytes(stream.readNBytes(int(size))).decode().split("\n")
-        finally:
-            stream.close()
-        return lines[:-1] if lines[-1] == END else None
-
-    def _whole(self, path: str) -> list[str]:
-        """Lines of a small file, once its writer is done."""
-        since = time.monotonic()
-        while (lines := self._lines(path)) is None:
-            if time.monotonic() - since > WAIT_SECONDS:
-                raise TableError(f"unfinished file {path}: remove it if its writer is gone")
-            time.sleep(0.05)
-        return lines
-
-    def _base(self, table: str) -> str:
-        base = f"{self.root}/{table}"
-        if not self._ready(f"{base}/{SCHEMA}"):
+    def _version(self, table: str) -> int:
+        """Number of the newest complete version, 0 where there is none."""
+        fs, p = self._fs(f"{self.root}/{table}")
+        found = fs.globStatus(self._fs(f"{p}/v*/rows/_SUCCESS")[1]) if fs.exists(p) else []
+        return max((int(s.getPath().getParent().getParent().getName()[1:]) for s in found), default=0)
+
+    def _folder(self, table: str) -> str:
+        """Folder of the newest version: the rows it began with, and those added since."""
+        version = self._version(table)
+        if not version:
             raise TableError(f"no such table: {table}")
-        return base
-
-    def _live(self, table: str) -> tuple[int, list[str]]:
-        """Number of the newest edit, and the batches that hold the table's rows after it."""
-        base = self._base(table)
-        names = self._names(base)
-        edits = [n for n in names if n.startswith("edit-")]
-        live = {n for n in names if n.startswith("batch-") and n != SCHEMA and self._ready(f"{base}/{n}")}
-        gone: set[str] = set()
-        for n in edits:
-            made, *replaced = self._whole(f"{base}/{n}")
-            live.add(made)
-            gone.update(replaced)
-        return int(edits[-1].removeprefix("edit-")) if edits else 0, sorted(live - gone)
-
-    def _load(self, table: str, batches: Sequence[str]) -> DataFrame:
-        base = self._base(table)
-        schema = self.spark.read.parquet(f"{base}/{SCHEMA}").schema
-        return self.spark.read.schema(schema).parquet(*[f"{base}/{n}" for n in (SCHEMA, *batches)])
+        return f"{self.root}/{table}/v{version}"
 
     def exists(self, table: str) -> bool:
-        return self._ready(f"{self.root}/{table}/{SCHEMA}")
+        return self._version(table) > 0
 
     # ---- schema -----------------------------------------------------------------------
 
@@ -132,59 +68,55 @@ class Tables:
             raise TableError(f"table '{table}' already exists")
         types = {**columns, **({"id": "bigint"} if auto_id else {})}
         empty = self.spark.createDataFrame([], T.StructType.fromDDL(", ".join(f"`{c}` {t}" for c, t in types.items())))
-        empty.write.parquet(f"{self.root}/{table}/{SCHEMA}")
+        empty.write.parquet(f"{self.root}/{table}/v1/rows")
 
     def drop(self, table: str, if_exists: bool = True) -> None:
         if not self.exists(table) and not if_exists:
             raise TableError(f"no such table: {table}")
         fs, p = self._fs(f"{self.root}/{table}")
         fs.delete(p, True)
-        self._numbered.discard(table)
 
     def frame(self, table: str) -> DataFrame:
-        """All rows of the finished batches."""
-        return self._load(table, self._live(table)[1])
+        """All rows of the newest version; inserts that are still running do not show."""
+        folder = self._folder(table)
+        schema = self.spark.read.parquet(f"{folder}/rows").schema
+        return self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(folder)
 
     # ---- rows -------------------------------------------------------------------------
 
-    def _reserve(self, table: str, rows: int) -> int:
-        """First of `rows` ids that no other insert gets, from this object or another."""
-        base = self._base(table)
-        least = 1 if table in self._numbered else (one_row(self.frame(table), F.max("id"))[0] or 0) + 1
-        while True:
-            taken = [n for n in self._names(base) if n.startswith("ids-")]
-            after = int(self._whole(f"{base}/{taken[-1]}")[0]) if taken else 1
-            first = max(least, after)
-            if self._claim(f"{base}/ids-{len(taken) + 1:09d}", [str(first + rows)]):
-                self._numbered.add(table)
-                return first
-
     def insert(self, table: str, rows: DataFrame | Sequence[dict[str, Any]], order: Sequence[str] = ()) -> int:
         """Append rows and return how many were written; an empty list writes none.
 
         Where the table has an automatic id, a list is numbered as given and a DataFrame by `order`.
         """
-        base = self._base(table)
-        schema = self.spark.read.parquet(f"{base}/{SCHEMA}").schema
+        schema = self.frame(table).schema
+        numbered = "id" in schema.names
         if not isinstance(rows, DataFrame):
             rows = [rows] if isinstance(rows, dict) else list(rows)
             if not rows:
                 return 0
-            first = self._reserve(table, len(rows)) if "id" in schema.names and "id" not in rows[0] else None
+            numbered = numbered and "id" not in rows[0]
+            names = [n for n in schema.names if not (numbered and n == "id")]
+            unknown = sorted({k for r in rows for k in r} - set(schema.names))
             plain = [{k: str(v) if isinstance(v, (dt.date, dt.datetime)) else v for k, v in r.items()} for r in rows]
-            if first is not None:
-                plain = [{**r, "id": first + i} for i, r in enumerate(plain)]
-            rows = self.spark.createDataFrame([tuple(r.get(n) for n in schema.names) for r in plain], schema)
-        elif "id" in schema.names and "id" not in rows.columns:
-            if not order:
+            if numbered:
+                plain, names = [{**r, "_place": i + 1} for i, r in enumerate(plain)], [*names, "_place"]
+            fields = T.StructType([schema[n] if n in schema.names else T.StructField(n, T.LongType()) for n in names])
+            rows = self.spark.createDataFrame([tuple(r.get(n) for n in names) for r in plain], fields)
+        else:
+            numbered = numbered and "id" not in rows.columns
+            unknown = [c for c in rows.columns if c not in schema.names]
+            if numbered and not order:
                 raise TableError("numbering a DataFrame needs an order column")
-            first = self._reserve(table, rows.count())
-            rows = ordered.position(rows, [], order, "id").withColumn("id", F.col("id") + first - 1)
-        unknown = [c for c in rows.columns if c not in schema.names]
+            rows = ordered.position(rows, [], order, "_place") if numbered else rows
         if unknown:
             raise TableError(f"table '{table}' has no column {unknown}")
-        fitted = rows.select(*[(col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
-        return self._write(fitted, f"{base}/batch-{uuid.uuid4().hex}")
+        with _turn:
+            if numbered:
+                last = one_row(self.frame(table), F.max("id"))[0] or 0
+                rows = rows.withColumn("id", F.col("_place") + last).drop("_place")
+            fitted = rows.select(*[(col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+            return self._write(fitted, f"{self._folder(table)}/added-{uuid.uuid4().hex}")
 
     def _write(self, df: DataFrame, path: str) -> int:
         """Rows written, counted from the new files' footers.
@@ -224,18 +156,14 @@ class Tables:
     # ---- rewriting --------------------------------------------------------------------
 
     def _rewrite(self, table: str, where: dict[str, Any], change: Callable[[DataFrame, Column], DataFrame]) -> int:
-        """Replace the rows by change(rows, hit) and return how many rows were hit."""
-        while True:
-            number, batches = self._live(table)
-            df = self._load(table, batches)
+        """Write change(rows, hit) as the next version and return how many rows were hit."""
+        with _turn:
+            version, df = self._version(table), self.frame(table)
             hit = F.coalesce(self._where(df, where), F.lit(False))
             hits = df.where(hit).count()
-            if not hits:
-                return 0
-            made = f"made-{uuid.uuid4().hex}"
-            change(df, hit).write.parquet(f"{self._base(table)}/{made}")
-            if self._claim(f"{self._base(table)}/edit-{number + 1:09d}", [made, *batches]):
-                return hits
+            if hits:
+                change(df, hit).write.mode("overwrite").parquet(f"{self.root}/{table}/v{version + 1}/rows")
+            return hits
 
     def update(self, table: str, changes: dict[str, Any], where: dict[str, Any]) -> int:
         def changed(df: DataFrame, hit: Column) -> DataFrame:

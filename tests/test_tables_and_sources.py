@@ -67,17 +67,28 @@ def test_writers_at_the_same_time_lose_nothing(spark, store):
     assert all(r["balance"] == -1.0 for r in rows if r["name"] == "base")
 
 
-def test_insert_between_read_and_commit_stays(store):
+def test_insert_during_a_rewrite_stays(spark, store):
     store.insert("company", [{"name": "x", "balance": 0.0, "rank": 1}])
+    with ThreadPoolExecutor(1) as pool:
+        waiting = []
 
-    def late(df, hit):
-        store.insert("company", [{"name": "late", "balance": 0.0, "rank": 2}])
-        return df.where(~hit)
+        def late(df, hit):
+            waiting.append(pool.submit(tables.Tables(spark, store.root).insert, "company", [{"name": "late", "balance": 0.0, "rank": 2}]))
+            return df.where(~hit)
 
-    assert store._rewrite("company", {"rank": 1}, late) == 1
+        assert store._rewrite("company", {"rank": 1}, late) == 1
+        assert waiting[0].result() == 1
     assert [r["name"] for r in store.frame("company").collect()] == ["late"]
 
 
+def test_unfinished_version_is_not_read(spark, store):
+    store.insert("company", [{"name": "x", "balance": 0.0, "rank": 1}])
+    store.frame("company").limit(0).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{store.root}/company/v2/rows")
+    assert store.count("company") == 1
+    assert store.update("company", {"rank": 7}, {"name": "x"}) == 1
+    assert store.read_one("company", {"name": "x"})["rank"] == 7
+
+
 def test_hostile_values_are_plain_values(store):
     store.insert("company", {"name": "'; DROP TABLE company; --", "balance": 0.0, "rank": 0})
     assert store.count("company", {"name": "' OR '1'='1"}) == 0
