@@ -33,6 +33,13 @@ def parse_list(c: Column) -> Column:
     return _cleaned(items)
 
 
+def literal_items(c: Column) -> Column:
+    """Items of a list literal of quoted texts and numbers; any other text is no list and gives none."""
+    item = r"""(?:'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+"|[-+]?\d[\d._]*+)"""
+    whole = F.trim(c).rlike(r"(?s)^\[\s*+(?:" + item + r"\s*+(?:,\s*+" + item + r"\s*+)*+(?:,\s*+)?)?+\]$")
+    return F.when(whole, parse_list(c)).otherwise(F.array().cast("array<string>"))
+
+
 def list_features(items: Column) -> dict[str, Column]:
     """Size, first item or `Unknown`, joined length and a more-than-one flag."""
     return {

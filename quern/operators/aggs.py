@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.core import attach, bounded_levels, col, describe_rows, explode_rows, is_numeric, materialize, numeric_columns, one_row, per_column, string_columns
+from quern.operators import ordered
 from quern.operators.quality import duplicate_counts
 from quern.operators.quantiles import group_quantiles, quantiles
 
@@ -249,12 +250,22 @@ def box_stats(df: DataFrame, key: str, value: str, reach: float = 1.5) -> DataFr
     )
 
 
+# Most levels that become columns of a pivot.
+PIVOT_LEVELS = 500
+
+
 def pivot_wide(df: DataFrame, index: str, category: str, value: str, levels: Sequence | None = None) -> DataFrame:
-    """Index × category table; the category levels are listed or checked to be few."""
-    levels = list(levels) if levels is not None else bounded_levels(df, category, 500)
+    """Index × category table; the category levels are listed or checked to be few (`pivot_long` takes any number)."""
+    levels = list(levels) if levels is not None else bounded_levels(df, category, PIVOT_LEVELS)
     return df.groupBy(index).pivot(category, levels).agg(F.first(value, ignorenulls=True))
 
 
+def pivot_long(df: DataFrame, index: str, category: str, value: str) -> DataFrame:
+    """The filled cells of the index × category table as rows, for any number of levels."""
+    filled = df.where(col(category).isNotNull() & col(value).isNotNull())
+    return filled.groupBy(index, category).agg(F.first(value).alias(value))
+
+
 def category_shares(df: DataFrame, key: str, value: str) -> DataFrame:
     """Percent of the total and mean per category."""
     totals = df.groupBy(key).agg(F.sum(value).alias("total"), F.avg(value).alias("mean"))
@@ -280,20 +291,28 @@ def confidence_interval(df: DataFrame, keys: Sequence[str], value: str, confiden
     return df.groupBy(*keys).agg(F.avg(value).alias("mean"), (F.avg(value) - half).alias("lower"), (F.avg(value) + half).alias("upper"))
 
 
-def consolidate(df: DataFrame, keys: Sequence[str], order: str, labels: Sequence[str], metrics: Sequence[str], source: str) -> DataFrame:
-    """Per group: labels of the first row, first present value of each metric, sources joined.
+def consolidate(df: DataFrame, keys: Sequence[str], order: str, labels: Sequence[str], metrics: Sequence[str], source: str | None = None) -> DataFrame:
+    """Per group: labels of the first row, first present value of each metric, and the distinct sources joined.
 
-    The distinct sources of a group are joined after deduplication, so the list holds one
-    entry per source file and not one per row.
+    The joined text holds one entry per source of the group. Where a group may have very many sources leave `source`
+    out and take `source_rows`.
     """
     first = df.groupBy(*keys).agg(
         *[F.min_by(col(c), col(order)).alias(c) for c in labels],
         *[F.min_by(col(c), F.when(col(c).isNotNull(), col(order))).alias(c) for c in metrics],
     )
+    if source is None:
+        return first
     sources = df.select(*keys, source).distinct().groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(source)), "; ").alias("sources"))
     return attach(first, sources, keys)
 
 
+def source_rows(df: DataFrame, keys: Sequence[str], source: str) -> DataFrame:
+    """The distinct sources of every group as rows (keys, source, position), for groups of any size."""
+    known = df.select(*keys, source).where(col(source).isNotNull()).distinct()
+    return ordered.position(known, list(keys), [source], "position")
+
+
 def best_rows(df: DataFrame, task: str, name: str, higher: Sequence[str], lower: Sequence[str]) -> DataFrame:
     """Best row per task and metric: largest for `higher`, smallest for `lower`."""
     aggs, cells = [], []

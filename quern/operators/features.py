@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.ml import functions as MF
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import PCA, OneHotEncoder, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,6 +129,20 @@ def one_hot(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return base.select(*[col(c) for c in df.columns if c not in cols], *marks)
 
 
+def one_hot_sparse(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """One-hot vector per row for any number of levels, and the table of (level, code).
+
+    Levels as in `one_hot`. `<column>_code` is the place of the 1 and `<column>_onehot` a sparse vector, which the
+    models take as a feature. The levels stay in a table; only their number reaches the driver.
+    """
+    clean = F.coalesce(F.lower(F.trim(col(column).cast("string"))), F.lit("nan"))
+    rows = replace_columns(df, {column: clean})
+    codes = level_codes(rows, column)
+    coded = attach(rows, codes.select(F.col("level").alias(column), F.col("code").cast("long").alias(f"{column}_code")), [column])
+    encoder = OneHotEncoder(inputCol=f"{column}_code", outputCol=f"{column}_onehot", dropLast=False)
+    return encoder.fit(coded).transform(coded), codes
+
+
 # Fixed value: name of the column that pools rare levels.
 POOLED = "infrequent_sklearn"
 

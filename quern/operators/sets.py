@@ -101,16 +101,17 @@ def target_encode_by_fold(df: DataFrame, key: str, target: str, row_id: str, alp
 
 
 def match_phrases(df: DataFrame, text: str, phrases: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Whole-word occurrences of the phrases of a gazetteer table in a text column.
+    """Whole-word occurrences of the phrases of a gazetteer table in a text column, one row per text and phrase.
 
-    Every text is expanded into its runs of one to longest-phrase words (one blank apart,
-    starting at each word, overlaps included) and those are equi-joined with the phrases, so a
-    gazetteer of any size needs no pairwise matching. Phrases are lower case, words and blanks.
+    The distinct words of a text are joined with the first words of the phrases, so only phrases that may begin in a
+    text are looked for in it, however long they are. Phrases are lower case and match letter by letter, punctuation
+    included; a word character may neither precede nor follow. Phrases without any word are looked for in every text.
     """
-    longest = one_row(phrases, F.max(F.size(F.split("phrase", " "))))[0] or 1
-    runs = []
-    for n in range(1, longest + 1):
-        word = r"\w+" + r" \w+" * (n - 1)
-        runs.append(F.regexp_extract_all(F.lower(col(text)), F.lit(r"(?U)\b(?=(" + word + r")\b)"), F.lit(1)))
-    found = explode_rows(df, keys, F.array_distinct(F.concat(*runs)), "phrase")
-    return found.join(phrases.select("phrase").distinct(), "phrase").select(*keys, "phrase")
+    known = phrases.select("phrase").where("phrase <> ''").distinct().withColumn("_first", F.regexp_extract("phrase", r"(?U)\w+", 0))
+    low = F.lower(col(text))
+    words = F.array_distinct(F.array_append(F.regexp_extract_all(low, F.lit(r"(?U)\w+"), F.lit(0)), F.lit("")))
+    begun = explode_rows(df, keys, words, "_first").join(known, "_first").select(*[col(k).alias(f"_key{i}") for i, k in enumerate(keys)], "phrase").distinct()
+    same = reduce(lambda a, b: a & b, [col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)])
+    pattern = F.concat(F.lit(r"(?U)(?<!\w)"), F.regexp_replace("phrase", r"(?U)([^\w\s])", r"\\$1"), F.lit(r"(?!\w)"))
+    near = df.select(*keys, low.alias("_text")).join(begun, same)
+    return near.where(F.contains("_text", "phrase") & F.regexp_like("_text", pattern)).select(*keys, "phrase")

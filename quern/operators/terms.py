@@ -12,8 +12,9 @@ from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, IndexToString, N
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.core import attach, col, explode_rows, hash_unit, one_row
+from quern.core import attach, col, explode_rows, hash_unit, materialize, one_row
 from quern.functions.text import ENGLISH_STOPS
+from quern.operators import vectors
 from quern.operators.sets import top_per_group
 
 # ---- long-form term tables ------------------------------------------------------------
@@ -130,10 +131,32 @@ class HashEmbedder:
         return done.select(*df.columns, MF.vector_to_array(F.col("_unit")).alias(out))
 
 
-def word_vectors(df: DataFrame, text: str, size: int = 100, window: int = 5, min_count: int = 2, seed: int = 42):
-    """Fitted word embeddings; `.getVectors()` and `.findSynonyms(word, n)` answer queries."""
-    tokens = df.select(term_tokens(col(text)).alias("tokens"))
-    return Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, seed=seed, inputCol="tokens", outputCol="_v").fit(tokens)
+# Tokens that one partition of the training takes, and most passes over them.
+PARTITION_TOKENS = 2_000_000
+MOST_PASSES = 5
+
+
+def word_vectors(df: DataFrame, text: str, size: int = 100, window: int = 5, min_count: int = 2, seed: int = 42, partitions: int | None = None):
+    """Fitted word embeddings; `nearest_words` searches their vectors.
+
+    Partitions are trained side by side and averaged after each pass, one for every PARTITION_TOKENS tokens; the more
+    partitions, the more passes.
+    """
+    tokens = materialize(df.select(term_tokens(col(text)).alias("tokens")), "word-tokens")
+    total = one_row(tokens, F.sum(F.size("tokens")))[0] or 0
+    parts = partitions or max(1, -(-total // PARTITION_TOKENS))
+    return Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, seed=seed, numPartitions=parts, maxIter=min(parts, MOST_PASSES), inputCol="tokens", outputCol="_v").fit(tokens)
+
+
+def nearest_words(words: DataFrame, k: int, word: str = "word", vector: str = "vector") -> DataFrame:
+    """The k words of the largest cosine similarity to every word: (word, neighbour, similarity, rank).
+
+    Takes a table of words and array vectors; ties go to the smaller word, words without length have no neighbours.
+    """
+    length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x))
+    unit = words.select(col(word).alias("word"), col(vector).alias("v"), length.alias("n")).where("n > 0").select("word", F.transform("v", lambda x: x / F.col("n")).alias("v"))
+    found = vectors.nearest(unit, unit, k, "word", "v", "word", "v", inner=True, skip_self=True)
+    return found.select(F.col("query_id").alias("word"), F.col("item_id").alias("neighbour"), F.col("score").alias("similarity"), "rank")
 
 
 # ---- models ---------------------------------------------------------------------------

@@ -75,6 +75,19 @@ def windowed_means(stream: DataFrame, ts: str, value: str, keys: list[str], wind
     return out.select(F.col("window.start").alias("window_start"), *keys, "mean", "rows")
 
 
+def end_of_input(spark: SparkSession, path: str, schema: T.StructType | str, ts: str, window: str = "1 hour", delay: str = WATERMARK, fmt: str = "parquet") -> None:
+    """Let the next run close the windows that are still open: nothing more will arrive.
+
+    Lands one row without values, a window and a delay after the newest time, so the watermark passes every window of
+    real rows. Its own window stays open and is never written. Rows that arrive later count as late. Call it once.
+    """
+    landed = spark.read.schema(schema).format(fmt).load(path)
+    newest = landed.agg(F.max(col(ts).cast("timestamp")).alias("_newest")).where("_newest is not null")
+    after = F.col("_newest") + F.expr(f"interval {window}") + F.expr(f"interval {delay}")
+    marker = newest.select(*[(after if f.name == ts else F.lit(None)).cast(f.dataType).alias(f.name) for f in landed.schema.fields])
+    marker.write.format(fmt).mode("append").save(path)
+
+
 def validate_on_arrival(stream: DataFrame, rules: RuleSet, good: str, bad: str, checkpoint: str) -> None:
     """Valid rows to one folder, failing rows with their first error to another.
 

@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from quern.core import describe_rows
 from quern.core import read_table as table
-from quern.operators import features, sets
+from quern.operators import features, models, sets
 from quern.plans import jobs
+from quern.workload.model_queries import UNIT
 from quern.workload.registry import query
 from quern.workload.shaping import GAPPY, MODES, gappy_orders
 from quern.workload.statistics import rounded
@@ -74,6 +75,13 @@ def f07(spark, d):
     return features.one_hot(gappy_orders(spark, d).select("o_orderkey", "priority"), ["priority"])
 
 
+@query("f07_sparse_levels", "select c_custkey, lower(trim(c_name)) as c_name, dense_rank() over (order by lower(trim(c_name))) - 1 as c_name_code, (select count(distinct lower(trim(c_name))) from customer) as levels from customer")
+def f07_sparse(spark, d):
+    """One level per customer name."""
+    rows, codes = features.one_hot_sparse(table(spark, d, "customer", "c_custkey", "c_name"), "c_name")
+    return rows.drop("c_name_onehot").withColumn("levels", F.lit(codes.count()))
+
+
 @query("f08_one_hot_capped", """with c as (select p_brand, count(*) n from part group by 1), k as (select p_brand from c order by n desc, p_brand desc limit 9),
     l as (select p_brand, row_number() over (order by p_brand) rn from k)
     select 'kept' as kind, p.p_brand as level, count(*) as rows from part p join l on l.p_brand = p.p_brand where rn > 1 group by 2
@@ -162,7 +170,7 @@ def f17(spark, d):
 
 @query("f18_variance_selection", "select l_extendedprice, l_quantity, l_returnflag from lineitem")
 def f18(spark, d):
-    return features.select_by_variance(table(spark, d, "lineitem", "l_extendedprice", "l_discount", "l_returnflag", "l_quantity", "l_tax"), 0.01)[0].select("l_extendedprice", "l_quantity", "l_returnflag")
+    return features.select_by_variance(table(spark, d, "lineitem", "l_extendedprice", "l_discount", "l_returnflag", "l_quantity", "l_tax"), 0.01)[0]
 
 
 @query("f19_drop_correlated", "select p_size, p_retailprice from part")
@@ -239,12 +247,29 @@ def f24(spark, d):
     return rounded(out, "o_custkey", "price", "priority", "status")
 
 
-@query("f25_engineer_features", """select p_partkey::double as p_partkey, p_size::double as p_size, p_retailprice, (p_partkey * p_size)::double as p_partkey_x_p_size, round(p_partkey * p_retailprice, 4) as p_partkey_x_p_retailprice,
-    round(p_size * p_retailprice, 4) as p_size_x_p_retailprice, length(p_name)::double as p_name_length from part""")
+J07_SQL = f"""with g as (select *, {UNIT.format(k='o_orderkey', s=42)} < 0.8 as train from ({GAPPY})), m as (select avg(price) as p from g where train),
+    i as (select o_orderkey, train, o_custkey, coalesce(price, p) as price, coalesce(priority, 'nan') as priority, coalesce(status, 'nan') as status from g, m),
+    a as (select priority, row_number() over (order by priority) - 1 as pc from (select distinct priority from i where train)), b as (select status, row_number() over (order by status) - 1 as sc from (select distinct status from i where train)),
+    k as (select o_orderkey, train, o_custkey, price, coalesce(pc, -1) as priority, coalesce(sc, -1) as status from i left join a using (priority) left join b using (status)),
+    f as (select {", ".join(f"avg({c}) as m_{c}, stddev_pop({c}) as s_{c}" for c in ("o_custkey", "price", "priority", "status"))} from k where train)
+    select o_orderkey, {", ".join(f"round(({c} - m_{c}) / s_{c}, 6) + 0 as {c}" for c in ("o_custkey", "price", "priority", "status"))} from k, f where not train"""
+
+
+@query("j07_apply_preprocess", J07_SQL)
+def j07(spark, d):
+    """Fitted on four fifths of the orders, applied to the rest."""
+    rows = models.random_split(gappy_orders(spark, d), "o_orderkey", {"train": 0.8, "test": 0.2})
+    train, test = (rows.where(F.col("split") == s).drop("split") for s in ("train", "test"))
+    _, fitted = jobs.preprocess(train, row_id="o_orderkey")
+    return rounded(jobs.apply_preprocess(test, fitted), "o_custkey", "price", "priority", "status")
+
+
+@query("f25_engineer_features", """select p_partkey, p_size, p_retailprice, length(p_name) as p_name_length, length(p_brand) as p_brand_length, length(p_type) as p_type_length, p_partkey * p_size as p_partkey_x_p_size,
+    round(p_partkey * p_retailprice, 4) as p_partkey_x_p_retailprice, round(p_size * p_retailprice, 4) as p_size_x_p_retailprice, p_name, p_brand, p_type from part""")
 def f25(spark, d):
+    """All that the selection leaves, by the names it has."""
     out, _ = jobs.engineer_features(table(spark, d, "part"))
-    made = out.select("p_partkey", "p_size", "p_retailprice", "p_partkey_x_p_size", "p_partkey_x_p_retailprice", "p_size_x_p_retailprice", "p_name_length")
-    return rounded(made.select(*[F.col(c).cast("double") for c in made.columns]), "p_partkey_x_p_retailprice", "p_size_x_p_retailprice", digits=4)
+    return rounded(out, "p_partkey_x_p_retailprice", "p_size_x_p_retailprice", digits=4)
 
 
 @query("f25_feature_report")

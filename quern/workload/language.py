@@ -353,18 +353,23 @@ FIELDS_SQL = rf"""(select o_orderkey, coalesce({first_sql(nlu.FIELD_PATTERNS['ag
     coalesce({first_sql(nlu.FIELD_PATTERNS['years_employed'], 1)}, {ANY}) as years_employed, case {WORD_CASE} end as education from (select o_orderkey, q, lower(q) as low from {QUESTIONS}))"""
 
 
-@query("x31_applicant_fields", f"select * from {FIELDS_SQL}")
+TEXT_SQL = ", ".join(f"education as {n}" for n in nlu.TEXT_FIELDS[1:])
+
+
+@query("x31_applicant_fields", f"select *, {TEXT_SQL} from {FIELDS_SQL}")
 def x31(spark, d):
-    f = questions(spark, d).select("o_orderkey", nlu.applicant_fields(F.col("q")).alias("f"))
-    return f.select("o_orderkey", *[f"f.{n}" for n in nlu.NUMBER_FIELDS], "f.education")
+    return questions(spark, d).select("o_orderkey", nlu.applicant_fields(F.col("q")).alias("f")).select("o_orderkey", "f.*")
+
+
+FILLED_SQL = ", ".join([*[f"coalesce({n}, 0) as {n}" for n in nlu.NUMBER_FIELDS], *[f"coalesce(education, '{nlu.REQUEST_TEXTS.get(n, '2026-09-21')}') as {n}" for n in nlu.TEXT_FIELDS]])
 
 
 @query("x31_missing_fields", f"""select o_orderkey, (age is null)::int + (income is null)::int + (credit_score is null)::int + (loan_amount is null)::int + (years_employed is null)::int + 5 * (education is null)::int as n_missing,
-    coalesce(credit_score, 0) as credit_score, coalesce(education, 'bachelor') as education from {FIELDS_SQL}""")
+    {FILLED_SQL} from {FIELDS_SQL}""")
 def x31_missing(spark, d):
     f = questions(spark, d).select("o_orderkey", nlu.applicant_fields(F.col("q")).alias("f"))
     g = f.withColumn("g", nlu.filled_fields(F.col("f"), F.lit("2026-09-21")))
-    return g.select("o_orderkey", F.size(nlu.missing_fields(F.col("f"))).alias("n_missing"), "g.credit_score", "g.education")
+    return g.select("o_orderkey", F.size(nlu.missing_fields(F.col("f"))).alias("n_missing"), "g.*")
 
 
 X32_SQL = r"""with recursive p as (
@@ -435,7 +440,12 @@ def x36(spark, d):
     return table(spark, d, "pages").select("page_id", *[e.alias(n) for n, e in numeric.dataset_tag(path).items()], numeric.is_result_file(path).alias("is_result"))
 
 
-@query("x36_page_dataset_tag")
+KEY_SQL = r"regexp_replace(regexp_replace(replace(lower(trim({c})), '%', 'percent'), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
+TAG_SQL = [" ".join(f"when contains(k, '{w}') then '{v[i]}'" for w, v in numeric.DATASET_TAGS.items()) for i in (0, 1)]
+
+
+@query("x36_page_dataset_tag", f"""select page_id, case {TAG_SQL[0]} end as dataset, case {TAG_SQL[1]} end as task, {" or ".join(f"contains(n, '{w}')" for w in numeric.RESULT_WORDS)} as is_result
+    from (select page_id, {KEY_SQL.format(c='url')} as k, {KEY_SQL.format(c="string_split(url, '/')[-1]")} as n from pages)""")
 def x36_pages(spark, d):
     """The tags of the pages' own paths."""
     path = F.col("url")

@@ -132,6 +132,13 @@ def n10(spark, d):
     return model.getVectors().select("word", F.size(vector_to_array("vector")).alias("size"))
 
 
+@query("n10_nearest_words")
+def n10_nearest(spark, d):
+    """Ten neighbours of every word."""
+    model = terms.word_vectors(texts(spark, d, "text"), "text")
+    return terms.nearest_words(model.getVectors().select("word", vector_to_array("vector").alias("vector")), 10)
+
+
 MONEY = r"(?i)[₹$€£]\s?\d[\d,]*(?:\.\d+)?\s?(?:crore|lakh|million|billion|trillion)?"
 
 
@@ -142,7 +149,13 @@ def n11(spark, d):
     return found.where(F.col("label").isin("PERCENT", "MONEY"))
 
 
-@query("n11_all_entity_counts")
+# Letters beyond ASCII become underscores: DuckDB's word boundary knows ASCII only.
+ASCII_TEXT = r"regexp_replace(text, '[\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{1fff}\x{3040}-\x{fdff}]', '_', 'g')"
+SPANS_SQL = {"PERSON_OR_ORG": r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,3}\b", "MONEY": MONEY, "PERCENT": r"\d+(?:\.\d+)?\s?%", "DATE": r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b|\b(?:19|20)\d{2}\b"}
+
+
+@query("n11_all_entity_counts", " union all ".join(f"""select '{label}' as label, count(*) as documents, sum(n)::bigint as spans
+    from (select len(list_distinct(list_transform(regexp_extract_all({ASCII_TEXT}, '{pattern}'), lambda x: trim(x)))) as n from documents) where n > 0 having count(*) > 0""" for label, pattern in SPANS_SQL.items()))
 def n11_all(spark, d):
     """Every label, also those that the SQL of n11_entity_counts does not have."""
     return terms.entity_counts(texts(spark, d), "doc_id", text.entities(F.col("text")))
