@@ -18,7 +18,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.core import attach, col, describe_rows, explode_rows, hash_unit, materialize, one_row
+from quern.core import attach, col, describe_rows, explode_rows, hash_unit, materialize, one_row, spread
 from quern.operators import evaluate, ordered
 from quern.operators.neighbours import Neighbours
 from quern.operators.shape import signed_log, signed_log_inverse
@@ -182,9 +182,10 @@ def score_model(scored: DataFrame, label: str, task: str) -> dict[str, float]:
 def compare(train_df: DataFrame, test_df: DataFrame, features: Sequence[str], label: str, algorithms: dict[str, dict]) -> tuple[list[dict], dict[str, PipelineModel]]:
     """Train each algorithm on one split; a failing one is recorded and skipped.
 
-    The columns in use are written once, so no algorithm computes its input again.
+    The columns in use are written once, in files for all cores, so no algorithm computes its input again; so are the
+    predictions, of which several metrics are taken.
     """
-    train_df, test_df = (materialize(df.select(*dict.fromkeys([*features, label])), "split") for df in (train_df, test_df))
+    train_df, test_df = (materialize(spread(df.select(*dict.fromkeys([*features, label]))), "split") for df in (train_df, test_df))
     rows, fitted, pairs = [], {}, {}
     for name, params in algorithms.items():
         row = {"model_name": name, "task_type": None, "training_time_seconds": 0.0, "metrics": {}, "hyperparameters": {k: str(v) for k, v in params.items()}, "error": None}
@@ -200,7 +201,7 @@ def compare(train_df: DataFrame, test_df: DataFrame, features: Sequence[str], la
         except Exception as exc:  # the other models still count
             row["error"] = str(exc).split("\n")[0]
     for task, scored in pairs.items():
-        for r in score_pairs(scored, task, ["_model"]).collect():
+        for r in score_pairs(materialize(scored, "scored"), task, ["_model"]).collect():
             found = r.asDict()
             target = next(row for row in rows if row["model_name"] == found["_model"])
             target["metrics"] = {k: v for k, v in found.items() if k != "_model" and v is not None}
