@@ -324,8 +324,8 @@ def signed_log_regression(train_df: DataFrame, test_df: DataFrame, features: Seq
 
 
 def forest_forecast(df: DataFrame, key: str, features: Sequence[str], label: str, trees: int = 200, test_size: float = 0.2) -> tuple[PipelineModel, dict[str, float]]:
-    """Random-forest forecaster on engineered features with its held-out errors."""
-    parts = random_split(df, key, {"train": 1 - test_size, "test": test_size})
+    """Random-forest forecaster on engineered features with its held-out errors; the rows are dealt out to all cores."""
+    parts = random_split(spread(df), key, {"train": 1 - test_size, "test": test_size})
     model = train(parts.where("split = 'train'"), features, label, "RandomForestRegressor", {"n_estimators": trees})
     return model, score_model(batch_predict(model, parts.where("split = 'test'")), label, "regression")
 

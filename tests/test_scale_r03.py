@@ -3,8 +3,9 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from quern.operators import vectors
+from quern.operators import models, vectors
 
 
 def searched(how, q, ids, x, items, k, skip):
@@ -31,3 +32,12 @@ def test_boxed_search_skips_far_leaves(monkeypatch):
     for _ in vectors._found(rng.normal(size=(8000, 2)), np.arange(8000), rng.normal(size=(40_000, 2)), np.arange(40_000), 5, False, False):
         pass
     assert sum(met) < 8000 * 40_000 / 8
+
+
+def test_forest_is_trained_by_all_cores(spark, tmp_path, monkeypatch):
+    """A table in one file is one task for a scan."""
+    spark.range(0, 400, 1, 1).select("id", (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 5).cast("double").alias("y")).write.parquet(str(tmp_path / "rows"))
+    seen, plain = [], models.train
+    monkeypatch.setattr(models, "train", lambda df, *rest: seen.append(df.rdd.getNumPartitions()) or plain(df, *rest))
+    models.forest_forecast(spark.read.parquet(str(tmp_path / "rows")), "id", ["x"], "y", trees=2)
+    assert seen == [spark.sparkContext.defaultParallelism]
