@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import functions as MF
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, IndexToString, Normalizer, RegexTokenizer, StopWordsRemover, StringIndexer, Word2Vec
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quern.core import attach, col, explode_rows, hash_unit, materialize, one_row
 from quern.functions.text import ENGLISH_STOPS
@@ -58,16 +63,73 @@ def corpus_frequencies(df: DataFrame, tokens: Column) -> DataFrame:
     return explode_rows(df, [], tokens, "term").groupBy("term").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "term")
 
 
-def tf_idf(df: DataFrame, doc: str, tokens: Column, min_df: int | float = 1, max_df: int | float = 1.0, max_features: int | None = None, sublinear: bool = False) -> DataFrame:
-    """(doc, term, weight): tf · (ln((1+n)/(1+df)) + 1), each document scaled to length 1."""
-    bag = bag_of_words(df, doc, tokens, min_df, max_df, max_features)
-    rows = df.select(col(doc)).distinct().count()
-    tf = 1 + F.ln(F.col("count")) if sublinear else F.col("count").cast("double")
-    raw = bag.select(doc, "term", (tf * (F.ln(F.lit(1.0 + rows) / (1 + F.col("df"))) + 1)).alias("raw"))
-    # A document's terms come from one text, so a window per document stays small, and it spares
-    # computing the weights once for the norm and once for the join.
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(doc)))
-    return raw.select(doc, "term", (F.col("raw") / norm).alias("weight"))
+# Bytes of text (as far as known from the columns of a table) that one block of documents holds.
+BLOCK_BYTES = 16 * 1024 * 1024
+
+
+def _block_counts(table: pa.Table) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Documents and terms of a block, and its (document number, term number, count), by document."""
+    tokens = table.column("tokens").combine_chunks()
+    docs = table.column("doc").combine_chunks().dictionary_encode(null_encoding="encode")
+    terms = tokens.flatten().dictionary_encode()
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(tokens), 0))
+    owner = np.repeat(np.asarray(docs.indices, np.int64), sizes)
+    pairs, counts = np.unique(owner * max(len(terms.dictionary), 1) + np.asarray(terms.indices, np.int64), return_counts=True)
+    at, term = np.divmod(pairs, max(len(terms.dictionary), 1))
+    return docs.dictionary, terms.dictionary, at, term, counts
+
+
+def _block_terms(table: pa.Table) -> pa.Table:
+    """(block, term, df, total) of one block."""
+    _, terms, _, term, counts = _block_counts(table)
+    df = np.bincount(term, minlength=len(terms))
+    total = np.bincount(term, weights=counts, minlength=len(terms)).astype(np.int64)
+    return pa.table({"block": pa.array(np.full(len(terms), table.column("block")[0].as_py(), np.int32)), "term": terms.cast(pa.string()), "df": pa.array(df.astype(np.int64)), "total": pa.array(total)})
+
+
+def _block_weights(rows: int, sublinear: bool, keep: Sequence[str], schema: pa.Schema):
+    """Group function: the weights of a block's documents, given the document frequencies of its terms."""
+
+    def run(table: pa.Table, known: pa.Table) -> pa.Table:
+        if not table.num_rows or not known.num_rows:
+            return schema.empty_table()
+        _, terms, at, term, counts = _block_counts(table)
+        place = pc.index_in(terms.cast(pa.string()), known.column("term").combine_chunks())
+        held = np.asarray(pc.is_valid(place))[term]
+        at, term, counts = at[held], term[held], counts[held]
+        df = np.asarray(known.column("df"), np.float64)[np.asarray(pc.fill_null(place, 0), np.int64)[term]]
+        raw = (1 + np.log(counts) if sublinear else counts.astype(np.float64)) * (np.log((1.0 + rows) / (1 + df)) + 1)
+        norm = np.sqrt(np.bincount(at, weights=raw * raw, minlength=int(at.max(initial=0)) + 1))
+        # The columns to keep are those of the first row of a document.
+        codes = np.asarray(table.column("doc").combine_chunks().dictionary_encode(null_encoding="encode").indices, np.int64)
+        first = np.unique(codes, return_index=True)[1][at]
+        kept = [table.column(c).combine_chunks().take(pa.array(first)) for c in ("doc", *keep)]
+        return pa.Table.from_arrays([*kept, terms.cast(pa.string()).take(pa.array(term)), pa.array(raw / norm[at])], schema=schema)
+
+    return run
+
+
+def tf_idf(df: DataFrame, doc: str, tokens: Column, min_df: int | float = 1, max_df: int | float = 1.0, max_features: int | None = None, sublinear: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc, columns to keep, term, weight): tf · (ln((1+n)/(1+df)) + 1), each document scaled to length 1.
+
+    Documents are dealt into blocks of about BLOCK_BYTES. What travels between blocks is each block's distinct terms and
+    their frequencies, not the terms of every document; tokens are cut after the texts have been dealt.
+    """
+    used = [c for c in df.columns if isinstance(df.schema[c].dataType, T.StringType)]
+    rows, size = one_row(df, F.count_distinct(F.struct(col(doc))), F.sum(sum((F.coalesce(F.octet_length(col(c)), F.lit(0)) for c in used), F.lit(0)).cast("long")))
+    parts = max(-(-(size or 0) // BLOCK_BYTES), df.sparkSession.sparkContext.defaultParallelism)
+    dealt = df.withColumn("_block", F.pmod(F.xxhash64(col(doc)), F.lit(parts)).cast("int")).repartition(parts, "_block")
+    cut = dealt.select(F.col("_block").alias("block"), col(doc).alias("doc"), *[col(c) for c in keep], tokens.alias("tokens"))
+    local = materialize(cut.select("block", "doc", "tokens").groupBy("block").applyInArrow(_block_terms, "block int, term string, df long, total long"), "block-terms")
+    low = min_df * rows if isinstance(min_df, float) else min_df
+    high = max_df * rows if isinstance(max_df, float) else max_df
+    vocabulary = local.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total")).where((F.col("df") >= low) & (F.col("df") <= high))
+    if max_features:
+        vocabulary = vocabulary.orderBy(F.desc("total"), "term").limit(max_features)
+    known = local.select("block", "term").join(vocabulary.select("term", "df"), "term")
+    schema = T.StructType([T.StructField(doc, df.schema[doc].dataType), *[df.schema[c] for c in keep], T.StructField("term", T.StringType()), T.StructField("weight", T.DoubleType())])
+    run = _block_weights(rows, sublinear, list(keep), to_arrow_schema(schema))
+    return cut.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, schema)
 
 
 def top_terms(weights: DataFrame, group: str, k: int) -> DataFrame:
@@ -78,8 +140,8 @@ def top_terms(weights: DataFrame, group: str, k: int) -> DataFrame:
 
 def chi_square(weights: DataFrame, doc: str, labels: DataFrame, label: str) -> DataFrame:
     """Σ (observed − expected)² / expected per term, where a class expects its share of the
-    documents of the term's total weight."""
-    labelled = weights.join(labels.select(doc, col(label).alias("_class")), doc)
+    documents of the term's total weight. Weights that hold the label already are not joined with the labels."""
+    labelled = weights.withColumn("_class", col(label)) if label in weights.columns else weights.join(labels.select(doc, col(label).alias("_class")), doc)
     observed = labelled.groupBy("term", "_class").agg(F.sum("weight").alias("o"))
     # Σ (o − e)²/e over all classes, with e = total·share, is Σ o²/(total·share) − total: classes
     # where the term is absent need no row of their own.

@@ -1,11 +1,14 @@
 """Work that must not grow faster than the input: boxed search, dealt input, blocks in small row groups, small batches."""
 
+import collections
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import models, vectors
+from quern.operators import models, terms, vectors
 
 
 def searched(how, q, ids, x, items, k, skip):
@@ -41,3 +44,35 @@ def test_forest_is_trained_by_all_cores(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(models, "train", lambda df, *rest: seen.append(df.rdd.getNumPartitions()) or plain(df, *rest))
     models.forest_forecast(spark.read.parquet(str(tmp_path / "rows")), "id", ["x"], "y", trees=2)
     assert seen == [spark.sparkContext.defaultParallelism]
+
+
+def exchanged(df):
+    """The keys of the shuffles in a plan."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    return [line for line in lines if "Exchange hashpartitioning" in line]
+
+
+def test_weights_by_block_of_documents(spark):
+    """Documents in several rows, without an id or without words; terms never travel with their document."""
+    rows = [(1, "en", "a b b c"), (2, "de", "b c c"), (1, "en", "a d"), (None, "fr", "c d d"), (3, "en", ""), (4, "en", None), (5, "de", "z")]
+    df = spark.createDataFrame(rows, "id long, lang string, text string")
+    found = terms.tf_idf(df, "id", F.filter(F.split("text", " "), lambda w: w != ""), min_df=2, keep=["lang"])
+    counts = collections.defaultdict(collections.Counter)
+    for i, _, text in rows:
+        counts[i].update((text or "").split())
+    df_of = collections.Counter(w for c in counts.values() for w in c)
+    expected = {}
+    for i, c in counts.items():
+        raw = {w: n * (math.log((1 + len(counts)) / (1 + df_of[w])) + 1) for w, n in c.items() if df_of[w] >= 2}
+        norm = math.sqrt(sum(v * v for v in raw.values()))
+        expected |= {(i, w): v / norm for w, v in raw.items()}
+    got = {(r["id"], r["term"]): r["weight"] for r in found.collect()}
+    assert got == pytest.approx(expected)
+    assert {(r["id"], r["lang"]) for r in found.collect()} == {(1, "en"), (2, "de"), (None, "fr")}
+    assert not any("id#" in line for line in exchanged(found))
+
+
+def test_keywords_move_texts_once(spark):
+    from quern.workload import QUERIES
+
+    assert len(exchanged(QUERIES["k04_top_keywords"](spark, "/root/testdata/sf0.001"))) == 1
