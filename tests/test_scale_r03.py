@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import models, terms, vectors
+from quern.operators import models, spatial, terms, vectors
 
 
 def searched(how, q, ids, x, items, k, skip):
@@ -76,3 +76,29 @@ def test_keywords_move_texts_once(spark):
     from quern.workload import QUERIES
 
     assert len(exchanged(QUERIES["k04_top_keywords"](spark, "/root/testdata/sf0.001"))) == 1
+
+
+def test_lookup_decides_pairs_where_they_meet(spark):
+    """Flat, steep and many-sided features with holes, against even-odd counting of all edges."""
+    rng = np.random.default_rng(5)
+    shapes = []
+    for n in range(25):
+        x, y, w, h = rng.uniform(-5, 5), rng.uniform(-5, 5), 10 ** rng.uniform(-3, 0.7), 10 ** rng.uniform(-3, 0.7)
+        turn = np.linspace(0, 2 * np.pi, int(rng.integers(4, 400)))
+        ring = [[x + w * math.cos(t), y + h * math.sin(t)] for t in turn[:-1]]
+        hole = [[x + w * a, y + h * b] for a, b in ((-0.1, -0.1), (0.2, -0.1), (0.1, 0.3))]
+        shapes.append((f"f{n}", [ring + ring[:1], hole + hole[:1]]))
+    centres = [(float(np.mean([p[0] for p in r[0]])), float(np.mean([p[1] for p in r[0]]))) for _, r in shapes]
+    spots = [(i, float(cx + rng.normal() * 0.1), float(cy + rng.normal() * 0.1)) for i, (cx, cy) in enumerate(centres * 8)]
+
+    def inside(x, y, rings):
+        return sum((a[1] > y) != (b[1] > y) and x < a[0] + (y - a[1]) * (b[0] - a[0]) / (b[1] - a[1]) for r in rings for a, b in zip(r, r[1:])) % 2 == 1
+
+    points = spark.createDataFrame(spots, "id int, lon double, lat double")
+    features = spark.createDataFrame(shapes, "name string, rings array<array<array<double>>>")
+    expected = {(i, name) for i, x, y in spots for name, rings in shapes if inside(x, y, rings)}
+    found = spatial.locate(points, features, keep=["name"])
+    assert found.columns == ["id", "lon", "lat", "name"] and len(expected) > 20
+    rows = [(r["id"], r["name"]) for r in found.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == expected
+    assert {(r["id"], r["name"]) for r in spatial.locate(points, features).collect()} == expected
