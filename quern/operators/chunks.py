@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.core import col, explode_rows
+from quern.llm.batches import release, slices
 from quern.operators.shape import strip_ends
 
 # Chunk settings.
 CHUNK_SIZE, CHUNK_OVERLAP = 500, 50
+# Bytes of text that are cut at a time.
+SLICE_BYTES = 1024 * 1024
 SEPARATORS = ["\n\n", "\n", ".", " ", ""]
 
 
@@ -85,10 +88,18 @@ def recursive_chunks(
     measure: Callable[[str], int] = len,
 ) -> DataFrame:
     """Recursive chunks of every document, inheriting its other columns. Cutting is a small
-    per-text function in an Arrow batch; documents stay where they are."""
+    per-text function; documents stay where they are, and a task holds the chunks of SLICE_BYTES of text."""
     seps = list(separators)
-    cut = F.pandas_udf(lambda s: pd.Series([cut_recursively(t, size, overlap, seps, measure) if t and t.strip() else [] for t in s]), T.ArrayType(T.StringType()))
-    return number_chunks(df.withColumn("_pieces", cut(col(text))), document_id, "_pieces", [c for c in df.columns if c != text])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text, SLICE_BYTES):
+                pieces = [cut_recursively(t, size, overlap, seps, measure) if t and t.strip() else [] for t in part.column(text).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pieces, pa.list_(pa.string()))], names=[*part.schema.names, "_pieces"])
+        release()
+
+    schema = T.StructType([*df.schema.fields, T.StructField("_pieces", T.ArrayType(T.StringType()))])
+    return number_chunks(df.mapInArrow(cut, schema), document_id, "_pieces", [c for c in df.columns if c != text])
 
 
 def chunk_statistics(chunks: DataFrame, document_id: str) -> DataFrame:

@@ -5,10 +5,11 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import models, spatial, terms, vectors
+from quern.operators import chunks, models, spatial, terms, vectors
 
 
 def searched(how, q, ids, x, items, k, skip):
@@ -102,3 +103,24 @@ def test_lookup_decides_pairs_where_they_meet(spark):
     rows = [(r["id"], r["name"]) for r in found.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == expected
     assert {(r["id"], r["name"]) for r in spatial.locate(points, features).collect()} == expected
+
+
+def test_chunks_are_cut_a_slice_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(chunks, "SLICE_BYTES", 100)
+    texts = [None, "", " \n", "a b. " * 300, "é" * 700, *(f"row {i}.\n\nmore of it" for i in range(40))]
+    df = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "id int, source string, text string").coalesce(1)
+    found = chunks.recursive_chunks(df, "id", "text", 50, 5)
+    expected = {f"{i}-chunk-{n + 1}": c for i, t in enumerate(texts) if t and t.strip() for n, c in enumerate(chunks.cut_recursively(t, 50, 5))}
+    assert {r["chunk_id"]: r["text"] for r in found.collect()} == expected and {r["source"] for r in found.collect()} == {"s"}
+
+
+def test_blocks_of_vectors_lie_in_small_row_groups(spark, monkeypatch, tmp_path):
+    """A writer counts the bytes of a row group only after a hundred rows, unless told otherwise."""
+    monkeypatch.setitem(vectors.BLOCK_FILES, "parquet.block.size", "100000")
+    stored, plain = [], vectors.materialize
+    monkeypatch.setattr(vectors, "materialize", lambda df, *rest: stored.append(plain(df.coalesce(1), *rest)) or stored[-1])
+    rows = spark.range(4000).select("id", F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.rand(3)).alias("v"))
+    vectors.nearest(rows.where("id < 3"), rows, 2, "id", "v", "id", "v", block_rows=100).count()
+    files = [f for s in stored for f in s.inputFiles()]
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in files]
+    assert sum(g.num_rows for g in groups) == 41 and max(g.row_group(i).num_rows for g in groups for i in range(g.num_row_groups)) < 10
