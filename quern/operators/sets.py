@@ -110,7 +110,9 @@ def match_phrases(df: DataFrame, text: str, phrases: DataFrame, keys: Sequence[s
     known = phrases.select("phrase").where("phrase <> ''").distinct().withColumn("_first", F.regexp_extract("phrase", r"(?U)\w+", 0))
     low = F.lower(col(text))
     words = F.array_distinct(F.array_append(F.regexp_extract_all(low, F.lit(r"(?U)\w+"), F.lit(0)), F.lit("")))
-    begun = explode_rows(df, keys, words, "_first").join(known, "_first").select(*[col(k).alias(f"_key{i}") for i, k in enumerate(keys)], "phrase").distinct()
+    begun = explode_rows(df, keys, words, "_first").join(known, "_first").select(*[col(k).alias(f"_key{i}") for i, k in enumerate(keys)], "phrase")
+    # Dealt by text first: the join may run in the few tasks of a short list of phrases, which could not hold all pairs.
+    begun = begun.repartition(*[F.col(f"_key{i}") for i in range(len(keys))]).distinct()
     same = reduce(lambda a, b: a & b, [col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)])
     pattern = F.concat(F.lit(r"(?U)(?<!\w)"), F.regexp_replace("phrase", r"(?U)([^\w\s])", r"\\$1"), F.lit(r"(?!\w)"))
     near = df.select(*keys, low.alias("_text")).join(begun, same)

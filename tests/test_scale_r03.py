@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import chunks, models, spatial, terms, vectors
+from quern.operators import chunks, models, sets, spatial, terms, vectors
 
 
 def searched(how, q, ids, x, items, k, skip):
@@ -124,3 +124,13 @@ def test_blocks_of_vectors_lie_in_small_row_groups(spark, monkeypatch, tmp_path)
     files = [f for s in stored for f in s.inputFiles()]
     groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in files]
     assert sum(g.num_rows for g in groups) == 41 and max(g.row_group(i).num_rows for g in groups for i in range(g.num_row_groups)) < 10
+
+
+def test_phrase_pairs_are_dealt_before_they_are_made_distinct(spark):
+    """A short list of phrases is one task, and so was the table of all pairs."""
+    df = spark.range(0, 3000, 1, 1).select("id", F.lit("red ring of the sea").alias("text"))
+    phrases = spark.createDataFrame([("red ring",), ("of the",), ("the red",), ("ring",)], "phrase string")
+    found = sets.match_phrases(df, "text", phrases, ["id"])
+    assert found.count() == 9000
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan
