@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.core import col, materialize
+from quern.core import col, materialize, one_row
 
 BLOCK_ROWS = 1_000_000
 # Cuts held by the driver and every task, and sampled rows per cut.
@@ -40,16 +40,17 @@ def _sortable(df: DataFrame, name: str) -> Column:
     return col(name)
 
 
-def blocked(df: DataFrame, order: Sequence[str], block_rows: int | None = None) -> tuple[DataFrame, list[str], bool]:
+def blocked(df: DataFrame, order: Sequence[str], block_rows: int | None = None, keys: Sequence[str] = ()) -> tuple[DataFrame, list[str], bool]:
     """The rows with `_block`, the order that makes them unique, and whether there is more than one block.
 
-    A table of more than `block_rows` rows is stored once with a number for each row, so every later pass sees the same
+    Nothing is cut while no key has more than `block_rows` rows: the keys are blocks enough. Else a table of more than `block_rows` rows is stored once with a number for each row, so every later pass sees the same
     blocks. The cuts are every SAMPLED-th of a sorted sample of (order, row number); a row's block is the number of
     cuts that are not above it, found by halving.
     """
     block_rows = block_rows or BLOCK_ROWS
-    total = df.count()
-    if total <= block_rows:
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    total, largest = one_row(sizes, F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0)))
+    if largest <= block_rows:
         return df.withColumn("_block", F.lit(0)), list(order), False
     stored = materialize(df.withColumn(ROW, F.monotonically_increasing_id()), "ordered")
     cuts = min(-(-total // block_rows), MAX_CUTS)
@@ -93,7 +94,7 @@ def running_sum(
     block_rows: int | None = None,
 ) -> DataFrame:
     """Inclusive running sums per key in `order`; rows that tie follow each other in some order."""
-    work, order, cut = blocked(df, order, block_rows)
+    work, order, cut = blocked(df, order, block_rows, keys)
     window = Window.partitionBy(*keys, "_block").orderBy(*_sorts(order, descending)).rowsBetween(Window.unboundedPreceding, 0)
     out = work.select("*", *[F.sum(e).over(window).alias(n) for n, e in sums.items()])
     if not cut:
@@ -127,18 +128,23 @@ def previous(
     block_rows: int | None = None,
 ) -> DataFrame:
     """Value of the row before, per key: `values` maps output name to input column."""
-    work, order, cut = blocked(df, order, block_rows)
+    work, order, cut = blocked(df, order, block_rows, keys)
+    return lagged(work, keys, order, values, cut).select(*df.columns, *values)
+
+
+def lagged(work: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, str], cut: bool) -> DataFrame:
+    """`previous` on rows that `blocked` has cut, so that several steps share one stored and cut table."""
     window = Window.partitionBy(*keys, "_block").orderBy(*_sorts(order, False))
     out = work.select("*", *[F.lag(col(c)).over(window).alias(n) for n, c in values.items()], F.row_number().over(window).alias("_pos"))
     if not cut:
-        return out.select(*df.columns, *values)
+        return out.drop("_pos")
     last = F.max_by(F.struct(*[col(c).alias(f"_l{i}") for i, c in enumerate(values.values())]), F.struct(*[col(c) for c in order]))
     ends = work.groupBy(*keys, "_block").agg(last.alias("_last"))
     chain = Window.partitionBy(*keys).orderBy("_block")
     carry = ends.select(*keys, "_block", F.lag("_last").over(chain).alias("_carry"))
     joined = _chain(out, keys, carry)
     fixed = {n: F.when(F.col("_pos") == 1, F.col(f"_carry._l{i}")).otherwise(F.col(n)) for i, n in enumerate(values)}
-    return joined.withColumns(fixed).select(*df.columns, *values)
+    return joined.withColumns(fixed).drop("_pos", "_carry")
 
 
 def fill(
@@ -150,7 +156,7 @@ def fill(
     block_rows: int | None = None,
 ) -> DataFrame:
     """Forward (or backward) fill of missing values per key in `order`."""
-    work, order, cut = blocked(df, order, block_rows)
+    work, order, cut = blocked(df, order, block_rows, keys)
     window = Window.partitionBy(*keys, "_block").orderBy(*_sorts(order, backward)).rowsBetween(Window.unboundedPreceding, 0)
     out = work.withColumns({f"_f{i}": F.last(col(c), ignorenulls=True).over(window) for i, c in enumerate(cols)})
     if cut:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.core import attach, col, explode_rows, hash_unit
+from quern.core import attach, col, explode_rows, hash_unit, materialize
 from quern.operators import ordered
 from quern.operators.quantiles import group_quantiles
 
@@ -94,8 +94,10 @@ def autoregressive_forecast(df: DataFrame, keys: Sequence[str], order: Sequence[
     A stand-in for an ARIMA(1,1,1) maximum-likelihood fit, not the same estimator. Keys with a
     constant difference repeat it; keys with fewer than three differences are left out.
     """
-    first = ordered.previous(df, keys, order, {"_before": value}, block_rows).withColumn("_diff", col(value) - F.col("_before"))
-    second = ordered.previous(first, keys, order, {"_diff_before": "_diff"}, block_rows)
+    # Cut and stored once, with the differences, for both steps back.
+    work, rows, cut = ordered.blocked(df.select(*dict.fromkeys([*keys, *order, value])), order, block_rows, keys)
+    first = ordered.lagged(work, keys, rows, {"_before": value}, cut).withColumn("_diff", col(value) - F.col("_before")).drop("_before")
+    second = ordered.lagged(materialize(first, "differences") if cut else first, keys, rows, {"_diff_before": "_diff"}, cut)
     latest = F.struct(*[col(c) for c in order])
     pair = F.col("_diff").isNotNull() & F.col("_diff_before").isNotNull()
     y, x = F.when(pair, F.col("_diff")), F.when(pair, F.col("_diff_before"))

@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import chunks, models, sets, spatial, terms, vectors
+from quern.operators import chunks, models, ordered, sets, spatial, terms, vectors, windows
 
 
 def searched(how, q, ids, x, items, k, skip):
@@ -134,3 +134,15 @@ def test_phrase_pairs_are_dealt_before_they_are_made_distinct(spark):
     assert found.count() == 9000
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_COL" in plan
+
+
+def test_small_keys_are_not_cut(spark):
+    """Many rows in many keys: one shuffle by key for both steps back, and none for the fit."""
+    df = spark.range(3000).select((F.col("id") % 300).alias("key"), "id", F.sqrt("id").alias("value"))
+    _, order, cut = ordered.blocked(df, ["id"], 50, ["key"])
+    assert (order, cut) == (["id"], False)
+    assert ordered.blocked(df, ["id"], 5, ["key"])[2] and ordered.blocked(df, ["id"], 50)[2]
+    whole, parts = (windows.autoregressive_forecast(df, ["key"], ["id"], "value", 2, n) for n in (50, 4))
+    assert len(exchanged(whole)) == 1
+    got = {(r["key"], r["step"]): r["forecast"] for r in parts.collect()}
+    assert len(got) == 600 and got == pytest.approx({(r["key"], r["step"]): r["forecast"] for r in whole.collect()})
