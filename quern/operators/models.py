@@ -285,7 +285,7 @@ def permutation_importance(model: PipelineModel, df: DataFrame, key: str, featur
     (the last from the first): one self-join per repeat serves all features, and all features
     and repeats are scored in one job.
     """
-    base = df.select(key, label, F.array(*[col(f).cast("double") for f in features]).alias("_x"))
+    base = materialize(df.select(key, label, F.array(*[col(f).cast("double") for f in features]).alias("_x")), "permuted")
     rows = base.count()
     last = PipelineModel(stages=[model.stages[-1]])
     trials = None

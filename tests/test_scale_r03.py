@@ -146,3 +146,10 @@ def test_small_keys_are_not_cut(spark):
     assert len(exchanged(whole)) == 1
     got = {(r["key"], r["step"]): r["forecast"] for r in parts.collect()}
     assert len(got) == 600 and got == pytest.approx({(r["key"], r["step"]): r["forecast"] for r in whole.collect()})
+
+
+def test_permuted_rows_are_computed_once(spark):
+    rows = spark.range(300).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("b"), (F.col("id") % 21).cast("double").alias("y"))
+    model = models.train(rows, ["a", "b"], "y", "LinearRegression")
+    found = models.permutation_importance(model, rows, "id", ["a", "b"], "y", "regression", repeats=2)
+    assert found.inputFiles() and all("/permuted-" in f for f in found.inputFiles())
