@@ -19,6 +19,14 @@ from quern.llm.batches import words
 #: unrelated texts in 256; over the first 64 bits in 10 (12) and 32. The shingles decide.
 NEAR = {"shingle": 5, "similarity": 0.8, "lanes": 8, "radius": 130, "first_radius": 24, "tile_rows": 8192}
 
+#: Rows of an Arrow batch: whole texts meet in it, in the executor and in its Python worker.
+BATCH_ROWS = "1000"
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Hold fewer texts at a time than Spark's 10,000 rows; results do not depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the quality rules keep."""
@@ -27,11 +35,13 @@ def keep_good(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id."""
+    short_batches(spark)
     return simhash.deduplicate(docs, **NEAR)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Texts without the passages of 20 words or more that an earlier document has, too; n_chars follows the text."""
+    short_batches(spark)
     out = substrings.remove_repeats(docs, size=20)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
@@ -44,6 +54,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Piece ids of every text."""
+    short_batches(spark)
     out = pieces.encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"))
     return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 

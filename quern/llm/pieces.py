@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from quern.core import col
 from quern.llm.batches import lists, release, slices, without
 
-CHUNK = 4 << 20
+CHUNK = 1 << 20  # bytes of text whose words are held at a time
 KEEP = 300_000  # words remembered in a task; only speed depends on it
 SHORT = 64  # longer ones are forgotten after their block of texts
 MARK = "▁"
@@ -47,9 +47,8 @@ def segment(sp: sentencepiece.SentencePieceProcessor, marked: list[str]) -> list
     return [[alone] if m == MARK else ids for m, ids in zip(marked, found, strict=True)]
 
 
-def encode_texts(sp: sentencepiece.SentencePieceProcessor, texts: list[str | None], table: dict[str, bytes] | None = None) -> list[list[int]]:
-    """Ids of each text; `table` holds the ids of words met before and takes up the new ones."""
-    table = {} if table is None else table
+def packed_ids(sp: sentencepiece.SentencePieceProcessor, texts: list[str | None], table: dict[str, bytes]) -> list[bytes]:
+    """Ids of each text as 32-bit numbers end to end; `table` holds those of words met before and takes up the new ones."""
     cut = [MARKED.findall(sp.normalize(t)) if t else [] for t in texts]
     distinct = set(chain.from_iterable(cut))
     new = [w for w in distinct if w not in table]
@@ -57,22 +56,27 @@ def encode_texts(sp: sentencepiece.SentencePieceProcessor, texts: list[str | Non
         table.clear()
         new = list(distinct)
     table.update((w, array("i", ids).tobytes()) for w, ids in zip(new, segment(sp, new), strict=True))
-    found = [array("i", b"".join(map(table.__getitem__, words))).tolist() for words in cut]
+    found = [b"".join(map(table.__getitem__, words)) for words in cut]
     for w in new:
         if len(w) > SHORT:
             del table[w]
     return found
 
 
+def encode_texts(sp: sentencepiece.SentencePieceProcessor, texts: list[str | None]) -> list[list[int]]:
+    """Ids of each text."""
+    return [array("i", ids).tolist() for ids in packed_ids(sp, texts, {})]
+
+
 def _encode(batches: Iterable[pa.RecordBatch], path: str, decode: bool) -> Iterator[pa.RecordBatch]:
     sp, table = load(path), {}
     for whole in batches:
         for batch in slices(whole, "_text", CHUNK):
-            ids = encode_texts(sp, batch.column("_text").to_pylist(), table)
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            made = {"ids": lists(np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())), sizes)}
+            ids = packed_ids(sp, batch.column("_text").to_pylist(), table)
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            made = {"ids": lists(np.frombuffer(b"".join(ids), np.int32), sizes)}
             if decode:
-                made["decoded"] = pa.array([sp.decode(x) if x else "" for x in ids], pa.string())
+                made["decoded"] = pa.array([sp.decode(array("i", x).tolist()) if x else "" for x in ids], pa.string())
             rest = {f: c for f, c in zip(batch.schema.names, batch.columns, strict=True) if f != "_text"} | made
             yield pa.RecordBatch.from_arrays(list(rest.values()), names=list(rest))
     table.clear()
