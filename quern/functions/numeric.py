@@ -70,11 +70,8 @@ def normal_key(c: Column) -> Column:
 
 def metric_name(c: Column) -> Column:
     """Canonical metric name of a column or metric label; missing when it is no metric."""
-    key = normal_key(c)
-    out = F.lit(None).cast("string")
-    for name, spellings in METRIC_NAMES.items():
-        out = F.when(key.isin(spellings), name).otherwise(out)
-    return out
+    known = {s: name for name, spellings in METRIC_NAMES.items() for s in spellings}
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in known.items() for x in pair]), normal_key(c))
 
 
 # Patterns per metric in log text, tried in order.
@@ -132,7 +129,9 @@ def is_result_file(path: Column) -> Column:
 
 def metrics_from_pairs(df: DataFrame, keys: Sequence[str], metric: str, value: str, order: str) -> DataFrame:
     """Metric/value rows: the last usable value per canonical metric wins."""
-    rows = df.select(*keys, metric_name(col(metric)).alias("metric"), number_in_text(col(value)).alias("value"), col(order).alias("_at"))
+    # A cell of its own: a filter on plain columns would have both computed twice.
+    cell = F.struct(metric_name(col(metric)).alias("metric"), number_in_text(col(value)).alias("value"))
+    rows = df.select(*keys, col(order).alias("_at"), F.inline(F.array(cell)))
     usable = rows.where("metric is not null and value is not null")
     return usable.groupBy(*keys, "metric").agg(F.max_by("value", "_at").alias("value"))
 
