@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
@@ -260,10 +260,13 @@ def pivot_wide(df: DataFrame, index: str, category: str, value: str, levels: Seq
     return df.groupBy(index).pivot(category, levels).agg(F.first(value, ignorenulls=True))
 
 
-def pivot_long(df: DataFrame, index: str, category: str, value: str) -> DataFrame:
-    """The filled cells of the index × category table as rows, for any number of levels."""
+def pivot_long(df: DataFrame, index: str, category: str, value: str, how: Callable[[Column], Column] = F.first) -> DataFrame:
+    """The filled cells of the index × category table as rows, for any number of levels.
+
+    `how` makes one value of a cell's rows; totals made before would hold every cell in several tables of a task.
+    """
     filled = df.where(col(category).isNotNull() & col(value).isNotNull())
-    return filled.groupBy(index, category).agg(F.first(value).alias(value))
+    return filled.groupBy(index, category).agg(how(col(value)).alias(value))
 
 
 def category_shares(df: DataFrame, key: str, value: str) -> DataFrame:

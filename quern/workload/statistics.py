@@ -140,8 +140,8 @@ def a11(spark, d):
 @query("a11_pivot_long", "select l_suppkey, l_partkey, sum(l_quantity) as quantity from lineitem group by 1, 2")
 def a11_long(spark, d):
     """Every part is a level: far more than columns could hold."""
-    totals = table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("quantity"))
-    return aggs.pivot_long(totals, "l_suppkey", "l_partkey", "quantity")
+    cells = table(spark, d, "lineitem").select("l_suppkey", "l_partkey", F.col("l_quantity").alias("quantity"))
+    return aggs.pivot_long(cells, "l_suppkey", "l_partkey", "quantity", F.sum)
 
 
 @query("a12_category_shares", """select c_mktsegment, round(avg(c_acctbal), 6) as mean, round(sum(c_acctbal) * 100 / (select sum(c_acctbal) from customer), 6) as percent from customer group by 1""")
