@@ -20,6 +20,7 @@ from quern.core import (
     string_columns,
     time_columns,
 )
+from quern.operators.aggs import distinct_counts
 
 # Texts that stand for "missing" after trimming.
 MISSING_TEXTS = ["nan", "None", ""]
@@ -219,7 +220,10 @@ def align_features(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def column_roles(df: DataFrame, low: int = 2, high: int = 50) -> DataFrame:
-    """One row per column: storage type, distinct values, missing values and role."""
+    """One row per column: storage type, distinct values, missing values and role.
+
+    Distinct values are counted a column at a time: in one aggregate every row would be repeated for every column.
+    """
     year = re.compile(r"(19|20)\d{2}")
     times = set(time_columns(df))
     stats = per_column(
@@ -230,9 +234,8 @@ def column_roles(df: DataFrame, low: int = 2, high: int = 50) -> DataFrame:
             "kind": lambda c: F.any_value(F.lit("datetime" if c in times else "year" if year.search(c) else "numeric" if is_numeric(df.schema[c].dataType) else "text")),
             "rows": lambda c: F.count("*"),
             "missing": lambda c: F.count_if(col(c).isNull()),
-            "distinct": lambda c: F.count_distinct(col(c)),
         },
-    )
+    ).join(distinct_counts(df), "column")
     idlike = (F.col("distinct") == F.col("rows")) & F.col("column").rlike("(?i)(^|_)(id|key|[a-z]*key)$")
     role = (
         F.when(F.col("kind").isin("datetime", "year"), F.col("kind"))
