@@ -17,6 +17,9 @@ from quern.operators.aggs import correlations, corrected_skew
 from quern.operators.quantiles import quantiles
 from quern.operators.vectors import nearest
 
+# Most bytes of levels that are sent to every executor.
+LEVEL_BYTES = 4 * 1024 * 1024
+
 # ---- outliers -------------------------------------------------------------------------
 
 
@@ -223,13 +226,19 @@ def apply_codes(df: DataFrame, fitted: dict[str, DataFrame], missing: str = "cod
 
 
 def frequency_encode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """count / rows per level as `<col>_freq`; missing stays missing."""
+    """count / rows per level as `<col>_freq`; missing stays missing.
+
+    The levels are stored and measured. Up to LEVEL_LIMIT of them in LEVEL_BYTES go to the rows: dealt by a column of
+    a few levels, most rows would meet in one task. More are joined like any other table.
+    """
     rows = df.count()
     out = df
     for c in cols:
         if f"{c}_freq" not in out.columns:
-            freq = df.where(col(c).isNotNull()).groupBy(col(c)).agg((F.count("*") / F.lit(rows)).alias(f"{c}_freq"))
-            out = attach(out, freq, [c])
+            freq = materialize(df.where(col(c).isNotNull()).groupBy(col(c)).agg((F.count("*") / F.lit(rows)).alias(f"{c}_freq")), "levels")
+            levels, size = one_row(freq, F.count("*"), F.sum(F.octet_length(col(c).cast("string"))))
+            few = levels <= LEVEL_LIMIT and (size or 0) <= LEVEL_BYTES
+            out = attach(out, F.broadcast(freq) if few else freq, [c])
     return out.select(*df.columns, *[f"{c}_freq" for c in cols if f"{c}_freq" not in df.columns])
 
 
