@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.core import attach, col
 from quern.operators.shape import strip_ends
-from quern.operators.vectors import nearest
+from quern.operators.vectors import Packed, nearest
 
 # Separator, fallback text, defaults.
 SEPARATOR = "\n\n---\n\n"
@@ -20,12 +20,12 @@ SYSTEM_PROMPT = (
 )
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, k: int = RETRIEVAL_K, min_score: float | None = None, question_id: str = "question_id", chunk_id: str = "chunk_id", vector: str = "vector", inner: bool = False) -> DataFrame:
+def retrieve(questions: DataFrame, chunks: DataFrame, k: int = RETRIEVAL_K, min_score: float | None = None, question_id: str = "question_id", chunk_id: str = "chunk_id", vector: str = "vector", inner: bool = False, packed: Packed | None = None) -> DataFrame:
     """Best k chunks per question above a minimum score, with the chunk's columns.
 
-    A blank question has no vector and finds nothing.
+    A blank question has no vector and finds nothing. The vectors of the chunks may have been `packed` before.
     """
-    hits = nearest(questions, chunks, k, question_id, vector, chunk_id, vector, inner)
+    hits = nearest(questions, chunks, k, question_id, vector, chunk_id, vector, inner, packed=packed)
     if min_score is not None:
         hits = hits.where(F.col("score") >= min_score)
     kept = chunks.drop(vector).withColumnRenamed(chunk_id, "item_id")

@@ -173,19 +173,29 @@ class HashEmbedder:
         self.model: PipelineModel | None = None
 
     def fit(self, df: DataFrame, text: str) -> HashEmbedder:
-        stages = [
+        self.model = Pipeline(stages=self._stages()).fit(self._tokens(df, text))
+        return self
+
+    def _stages(self) -> list:
+        return [
             HashingTF(numFeatures=self.dimension, inputCol="_tokens", outputCol="_tf"),
             IDF(inputCol="_tf", outputCol="_idf"),
             Normalizer(inputCol="_idf", outputCol="_unit"),
         ]
-        self.model = Pipeline(stages=stages).fit(self._tokens(df, text))
-        return self
 
     @staticmethod
     def _tokens(df: DataFrame, text: str) -> DataFrame:
         """Blank texts are skipped."""
         return df.where(F.trim(col(text)) != "").withColumn("_tokens", term_tokens(col(text)))
 
+    def fit_transform(self, df: DataFrame, text: str, out: str = "vector") -> DataFrame:
+        """`fit` and `transform` of the same texts: they are made and cut into words once, and stored with their counts."""
+        counts, idf, unit = self._stages()
+        counted = materialize(counts.transform(self._tokens(df, text)).select(*df.columns, "_tf"), "term-counts")
+        fitted = idf.fit(counted)
+        self.model = PipelineModel(stages=[counts, fitted, unit])
+        return unit.transform(fitted.transform(counted)).select(*df.columns, MF.vector_to_array(F.col("_unit")).alias(out))
+
     def transform(self, df: DataFrame, text: str, out: str = "vector") -> DataFrame:
         if self.model is None:
             raise ValueError("fit the embedder first")
