@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +40,11 @@ def number_chunks(df: DataFrame, document_id: str, pieces: str, parents: Sequenc
     return rows.select(*[col(c) for c in parents], label.alias("chunk_id"), "chunk_index", "chunk_total", "text")
 
 
+def chunk_document(chunk_id: Column) -> Column:
+    """The text of a document's id, from the id of one of its chunks."""
+    return F.regexp_extract(chunk_id, r"(?s)^(.*)-chunk-\d+$", 1)
+
+
 def _pack(pieces: list[str], size: int, overlap: int, measure: Callable[[str], int]) -> list[str]:
     """Greedy chunks of whole pieces; a new chunk starts with the last pieces that fit the overlap."""
     out, held, total = [], [], 0

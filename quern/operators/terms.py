@@ -11,7 +11,8 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import functions as MF
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, IndexToString, Normalizer, RegexTokenizer, StopWordsRemover, StringIndexer, Word2Vec
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, HashingTF, IndexToString, Normalizer, RegexTokenizer, StopWordsRemover, StringIndexer, Word2Vec
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -196,6 +197,18 @@ class HashEmbedder:
         self.model = PipelineModel(stages=[counts, fitted, unit])
         return unit.transform(fitted.transform(counted)).select(*df.columns, MF.vector_to_array(F.col("_unit")).alias(out))
 
+    def fit_packed(self, df: DataFrame, text: str, row_id: str) -> vectors.PackedCounts:
+        """`fit`, and the texts packed for searches: they are made and cut into words once, and their counts stored sparse."""
+        counts, _, unit = self._stages()
+        tf = F.unwrap_udt("_tf")
+        found = counts.transform(self._tokens(df, text)).select(col(row_id), tf["indices"].alias("at"), tf["values"].cast("array<int>").alias("n"))
+        packed = vectors.PackedCounts(found, row_id, self.dimension)
+        # The weights of Spark's IDF.
+        packed.weights = np.log((packed.rows + 1.0) / (packed.frequencies() + 1.0))
+        scale = ElementwiseProduct(scalingVec=Vectors.dense(packed.weights), inputCol="_tf", outputCol="_idf")
+        self.model = PipelineModel(stages=[counts, scale, unit])
+        return packed
+
     def transform(self, df: DataFrame, text: str, out: str = "vector") -> DataFrame:
         if self.model is None:
             raise ValueError("fit the embedder first")

@@ -8,7 +8,7 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.core import col, describe_rows, materialize, scratch_dir, spread
+from quern.core import col, describe_rows, materialize, spread
 from quern.functions.text import clean_documents
 from quern.operators import chunks, retrieval, vectors
 from quern.operators.terms import HashEmbedder
@@ -62,24 +62,26 @@ def answer_questions(questions: DataFrame, path: str, question_id: str = "questi
 def sweep(documents: DataFrame, questions: DataFrame, document_id: str, text: str, question_id: str, question: str, sizes=(300, 500), overlaps=(30, 50), ks=(3, 5), dimension: int = 384) -> DataFrame:
     """One row per chunk size × overlap × k, ranked by quality and measured speed.
 
-    Documents are cleaned once. Chunks and vectors depend on size and overlap only, so each pair is built, stored and
-    packed for its searches once; the speed is that of a search of the packed vectors.
+    Documents are cleaned once. Chunks and vectors depend on size and overlap only, so words are cut and their counts
+    packed for the searches once for each pair; the speed is that of a search of the packed counts. Texts of chunks are
+    not stored: the few that were found are cut from their documents again.
     """
     spark = documents.sparkSession
     clean = materialize(spread(clean_documents(documents, text)), "clean")
     rows = []
     for size, overlap in product(sizes, overlaps):
-        table, embedder = embed_clean(clean, document_id, text, size, overlap, dimension, recursive=False)
-        path = scratch_dir(spark, "sweep")
-        table.write.parquet(path)
-        store = spark.read.parquet(path)
-        count = store.count()
+        embedder = HashEmbedder(dimension)
+        packed = embedder.fit_packed(chunks.window_chunks(clean, document_id, text, size, overlap), "text", "chunk_id")
+        count = packed.rows
         asked = embedder.transform(questions, question)
-        packed = vectors.Packed(store, "chunk_id", "vector")
         for k in ks:
             start = time.perf_counter()
-            hits = retrieval.retrieve(asked, store, k, question_id=question_id, packed=packed)
-            pairs = hits.join(questions.select(question_id, col(question).alias("_q")), question_id)
+            found = vectors.nearest(asked, asked, k, question_id, "vector", "chunk_id", packed=packed)
+            hits = materialize(found.select(col("query_id").alias(question_id), col("item_id").alias("chunk_id"), "score"), "hits")
+            named = hits.select(chunks.chunk_document(F.col("chunk_id")).alias("_document")).distinct()
+            used = clean.join(named, col(document_id).cast("string") == F.col("_document"), "left_semi")
+            texts = chunks.window_chunks(used, document_id, text, size, overlap).select("chunk_id", "text")
+            pairs = hits.join(texts, "chunk_id").join(questions.select(question_id, col(question).alias("_q")), question_id)
             mean = pairs.agg(F.count("*"), F.avg("score"), F.avg(retrieval.lexical_overlap(F.col("_q"), F.col("text")))).collect()[0]
             spent = time.perf_counter() - start
             rows.append((size, overlap, k, count, mean[0], round(mean[1] or 0.0, 6), round(mean[2] or 0.0, 6), spent))
