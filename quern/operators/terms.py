@@ -201,7 +201,7 @@ class HashEmbedder:
         """`fit`, and the texts packed for searches: they are made and cut into words once, and their counts stored sparse."""
         counts, _, unit = self._stages()
         tf = F.unwrap_udt("_tf")
-        found = counts.transform(self._tokens(df, text)).select(col(row_id), tf["indices"].alias("at"), tf["values"].cast("array<int>").alias("n"))
+        found = counts.transform(self._tokens(df, text)).select(col(row_id), tf["indices"].cast("array<smallint>" if self.dimension < 1 << 15 else "array<int>").alias("at"), tf["values"].cast("array<int>").alias("n"))
         packed = vectors.PackedCounts(found, row_id, self.dimension)
         # The weights of Spark's IDF.
         packed.weights = np.log((packed.rows + 1.0) / (packed.frequencies() + 1.0))
