@@ -33,6 +33,7 @@ def test_sparse_counts_are_searched_as_vectors(spark, chunk_texts, monkeypatch):
         found = vectors.nearest(questions, questions, 7, "q", "vector", "chunk_id", packed=packed)
         assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want))
         assert packed.rows == 60 and (packed.parts >= 8 or block == 1 << 24)
+        assert 2 * len(packed.table.inputFiles()) >= packed.parts
         # The many blocks of chunks are not dealt out.
         joined = found._jdf.queryExecution().executedPlan().toString()
         assert ("Exchange hashpartitioning(block" in joined) == (not light)
